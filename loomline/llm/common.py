@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage are maximal runs of characters other than the ASCII blanks.
@@ -60,6 +60,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once even where lambdas in the body use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``, the smallest node.
 

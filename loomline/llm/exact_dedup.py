@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import let, save
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(row.alias("d")).select(F.col("d.i").alias("doc_id"), F.col("d.t").cast("binary").alias("raw"))
     size = F.octet_length("raw")
     n_blocks = F.greatest(F.lit(1), F.ceil(size / BLOCK).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(F.col("raw"), i * BLOCK + 1, F.lit(BLOCK)))
+    cut = let(F.col("raw"), lambda raw: F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK))))
     blocks = base.select("doc_id", F.xxhash64("raw").alias("row_hash"), n_blocks.alias("n"), F.posexplode(cut).alias("pos", "block"))
     level = save(_named(blocks, ["block"], "name"))
     done, depth = [], 0

@@ -44,9 +44,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return rows.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def _draw(seed: Column | int) -> Column:
+def _draw(seed: Column) -> Column:
     """A number in [0, 1) from the document's id and a seed."""
-    bits = F.xxhash64(F.lit("mix"), seed if isinstance(seed, Column) else F.lit(seed), F.col("doc_id"), F.col("size"))
+    bits = F.xxhash64(F.lit("mix"), seed, F.col("doc_id"), F.col("size"))
     return F.pmod(bits, F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
@@ -59,14 +59,14 @@ def rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = save(goal.withColumn("rate", rate))
-    whole, part = F.floor(F.col("rate")), F.col("rate") - F.floor(F.col("rate"))
+    part = F.col("rate") - F.floor(F.col("rate"))
     same = F.col("l.source").eqNullSafe(F.col("r.source"))
     tries = sized.alias("l").join(goal.select("source", "rate").alias("r"), same).select("l.*", "r.rate")
-    sums = [F.sum(F.when(_draw(s) < part, F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
-    extra = tries.groupBy("source").agg(*sums)
-    off = [F.struct(F.abs(F.col(f"s{s}") + whole * F.col("source_size") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]
-    picked = goal.alias("l").join(extra.alias("r"), same).select("l.*", *[f"r.s{s}" for s in range(SEEDS)])
-    return save(picked.select("source", "source_size", "target", "rate", F.array_min(F.array(*off))["seed"].alias("seed")))
+    tries = tries.select("source", "doc_id", "size", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
+    extra = tries.groupBy("source", "seed").agg(F.sum(F.when(_draw(F.col("seed")) < F.col("part"), F.col("size")).otherwise(0)).alias("extra"))
+    off = F.abs(F.col("r.extra") + F.floor(F.col("l.rate")) * F.col("l.source_size") - F.col("l.target"))
+    best = goal.alias("l").join(extra.alias("r"), same).select("l.*", F.struct(off.alias("off"), F.col("r.seed").alias("seed")).alias("try"))
+    return save(best.groupBy("source", "source_size", "target", "rate").agg(F.min("try").alias("try")).select("source", "source_size", "target", "rate", F.col("try.seed").alias("seed")))
 
 
 def _copies() -> Column:

@@ -13,6 +13,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Rules of this list, as host and path prefix with a verdict.
 RULES = (
     ("com/en/", "block"),
@@ -66,8 +68,10 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _bucket(tag: str, chars: Column, n: int):
-    return lambda i: F.pmod(F.xxhash64(F.lit(tag), *[F.get(chars, i + k) for k in range(n)]), F.lit(BUCKETS)).cast("int")
+def _grams(tag: str, chars: Column, n: int) -> Column:
+    last = F.size(chars) - n
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(tag), *[F.get(chars, i + k) for k in range(n)]), F.lit(BUCKETS)).cast("int"))
 
 
 def buckets_of(host: Column, path: Column) -> Column:
@@ -75,13 +79,14 @@ def buckets_of(host: Column, path: Column) -> Column:
     out = []
     for tag, text in (("h", host), ("p", path)):
         chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-        for n in GRAMS:
-            last = F.size(chars) - n
-            starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-            out.append(F.transform(starts, _bucket(f"{tag}{n}", chars, n)))
+        out.append(let(chars, _all_grams(tag)))
     return F.concat(*out)
 
 
+def _all_grams(tag: str):
+    return lambda chars: F.concat(*[_grams(f"{tag}{n}", chars, n) for n in GRAMS])
+
+
 def fit(spark: SparkSession, labelled=LABELLED) -> list[float]:
     """Weights of the BUCKETS buckets and the bias, from at most MOST_LABELS (url, label) rows."""
     if len(labelled) > MOST_LABELS:
@@ -115,16 +120,14 @@ def fit(spark: SparkSession, labelled=LABELLED) -> list[float]:
 def score(host: Column, path: Column, weights: list[float]) -> Column:
     """Probability that a URL is unwanted; n-gram counts are scaled to unit length."""
     table = F.from_json(F.lit(json.dumps(weights[:-1])), "array<double>")
-    grams = F.array_sort(buckets_of(host, path))
-    dot = F.aggregate(grams, F.lit(0.0), lambda m, b: m + F.get(table, b))
-    zero = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("n"), F.lit(0.0).alias("q"))
+    zero = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("n"), F.lit(0.0).alias("q"), F.lit(0.0).alias("dot"))
 
     def counted(s: Column, b: Column) -> Column:
         n = F.when(s["b"] == b, s["n"] + 1.0).otherwise(1.0)
-        return F.struct(b.alias("b"), n.alias("n"), (s["q"] + 2.0 * n - 1.0).alias("q"))
+        return F.struct(b.alias("b"), n.alias("n"), (s["q"] + 2.0 * n - 1.0).alias("q"), (s["dot"] + F.get(table, b)).alias("dot"))
 
-    norm = F.aggregate(grams, zero, counted, lambda s: F.sqrt(F.greatest(s["q"], F.lit(1.0))))
-    return 1.0 / (1.0 + F.exp(-(dot / norm + F.lit(float(weights[-1])))))
+    margin = F.aggregate(F.array_sort(buckets_of(host, path)), zero, counted, lambda s: s["dot"] / F.sqrt(F.greatest(s["q"], F.lit(1.0))))
+    return 1.0 / (1.0 + F.exp(-(margin + F.lit(float(weights[-1])))))
 
 
 def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
