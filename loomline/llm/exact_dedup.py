@@ -16,25 +16,34 @@ from .common import let, save
 
 #: Bytes of a block.
 BLOCK = 4096
-#: Ranges in which distinct blocks or pairs are sorted: names carry the range above RANK_BITS bits.
+#: Hash ranges in which blocks or pairs are sorted: names carry the range above RANK_BITS bits.
 RANGES, RANK_BITS = 4096, 44
+#: A value is common with more rows than COMMON and than a SHARE of the documents.
+COMMON, SHARE = 1000, 1e-4
 
 
-def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], name: str, n_docs: int) -> DataFrame:
     """``rows`` with an integer in place of ``keys``: one for each distinct value, equal for equal values only.
 
-    Distinct values are found with map-side combining, so a value that fills a third of the rows
-    reaches the shuffle once for each task, and are ranked in sorted order within hash ranges.
+    Rows go to hash ranges, are sorted there, and the rank is the name: one shuffle. Common values
+    are found by counting hashes, of which there are a bounded number. Their rows stay out of that shuffle:
+    their distinct values, combined in each task first, are ranked alone and joined back.
     """
-    spread = F.pmod(F.xxhash64(*keys), F.lit(RANGES))
-    distinct = rows.select(*keys).distinct().withColumn("_range", spread)
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)).cast("long")
-    names = distinct.select(*keys, (F.shiftleft(F.col("_range"), RANK_BITS) + rank).alias(name))
+    rows = rows.withColumn("_h", F.xxhash64(*keys))
+    common = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(COMMON, int(n_docs * SHARE)))
+    rows = rows.join(F.broadcast(common.select("_h", F.lit(True).alias("_common"))), "_h", "left")  # some 1 / SHARE hashes
+    rest = [c for c in rows.columns if c not in (*keys, "_h", "_common")]
+    spread = F.pmod(F.col("_h"), F.lit(RANGES))
+    rank = F.dense_rank().over(Window.partitionBy("_range").orderBy(*keys)).cast("long")
+    number = F.shiftleft(F.col("_range"), RANK_BITS) + rank
+    few = rows.where("_common is null").withColumn("_range", spread).select(*rest, number.alias(name))
+    many = rows.where("_common")
+    names = many.select(*keys, "_h").distinct().withColumn("_range", spread + RANGES).select(*keys, number.alias(name))
     same: Column = F.lit(True)
-    left, right = rows.alias("l"), names.alias("r")
+    left, right = many.alias("l"), names.alias("r")
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return left.join(right, same).select(*[F.col(f"l.{c}") for c in rows.columns if c not in keys], f"r.{name}")
+    return few.unionByName(left.join(right, same).select(*[F.col(f"l.{c}") for c in rest], f"r.{name}"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +59,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_blocks = F.greatest(F.lit(1), F.ceil(size / BLOCK).cast("int"))
     cut = let(F.col("raw"), lambda raw: F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK))))
     blocks = base.select("doc_id", F.xxhash64("raw").alias("row_hash"), n_blocks.alias("n"), F.posexplode(cut).alias("pos", "block"))
-    level = save(_named(blocks, ["block"], "name"))
+    n_docs = docs.count()
+    level = save(_named(blocks, ["block"], "name", n_docs))
     done, depth = [], 0
     while True:
         done.append(level.where("n = 1").select("doc_id", "row_hash", F.lit(depth).alias("depth"), "name"))
@@ -65,7 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.min(F.when(even, F.col("name"))).alias("first"), F.min(F.when(odd, F.col("name"))).alias("second")
         )
         pairs = pairs.withColumn("n", F.ceil(F.col("n") / 2).cast("int"))
-        level, depth = save(_named(pairs, ["first", "second"], "name")), depth + 1
+        level, depth = save(_named(pairs, ["first", "second"], "name", n_docs)), depth + 1
     names = done[0]
     for more in done[1:]:
         names = names.unionByName(more)
