@@ -42,13 +42,15 @@ def save(df: DataFrame) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembering at most a million of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
-            self[word] = value
-        return value
+    """64-bit hashes of words, forgotten whenever there are more than a million."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = list(dict.fromkeys(words).keys() - self.keys())
+        if len(self) + len(new) > 1_000_000:
+            self.clear()
+            new = list(dict.fromkeys(words))
+        self.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

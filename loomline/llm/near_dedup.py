@@ -38,7 +38,7 @@ _SEED = 0x5851F42D4C957F2D
 def shingles_of(texts: list[bytes | None], hashes: WordHashes, n: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct shingle hashes of each text and their counts. Fewer than n words are one shingle."""
     split = [t.split() if t else [] for t in texts]
-    flat = np.fromiter((hashes[w] for ws in split for w in ws), dtype=np.uint64, count=sum(map(len, split)))
+    flat = hashes.of([w for ws in split for w in ws])
     if len(flat) >= n:
         acc = flat[: len(flat) - n + 1].copy()
         for k in range(1, n):

@@ -10,6 +10,7 @@ word, and reports which windows also start in a document with a smaller doc_id.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,17 +62,17 @@ def _pack(strings: list[bytes], places: list[list[int]], squeeze: zstandard.Zstd
     return squeeze.compress(head.tobytes() + counts.tobytes() + flat.reshape(-1, 3).T.tobytes() + text)
 
 
-def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m, size = np.frombuffer(raw, dtype=np.int64, count=3)
     counts = np.frombuffer(raw, dtype=np.int64, count=n, offset=24)
     places = np.frombuffer(raw, dtype=np.int64, count=3 * m, offset=24 + 8 * n).reshape(3, m)
-    return raw[len(raw) - size :].split(b"\n"), counts, places
+    return raw[len(raw) - size :], counts, places
 
 
 def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of documents (doc_id, row, text) as one compressed blob a bucket."""
-    hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
+    hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3)
     held: dict[bytes, list[int]] = {}
     where: list[int] = []
     size = 0
@@ -92,7 +93,7 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
             split = [t.split() if t else [] for t in texts]
             sizes = [len(ws) for ws in split]
             words = [w for ws in split for w in ws]
-            flat = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+            flat = hashes.of(words)
             first, last, key = runs(flat, np.repeat(np.arange(len(split)), sizes))
             if not len(first):
                 continue
@@ -120,23 +121,19 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
         yield from flush()
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def settle(blobs: Iterator[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of a bucket where repeated windows begin: doc_id, row, first word, word after the last."""
-    numbers = _Numbers()
-    ids, lengths, counts, places = [], [], [], []
+    words: list[bytes] = []
+    lengths, counts, places = [], [], []
     for blob in blobs:
-        strings, n, p = _unpack(blob)
-        words = [s.split(b" ") for s in strings]
-        lengths.append(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-        ids.append(np.fromiter((numbers[w] for ws in words for w in ws), dtype=np.int64, count=int(lengths[-1].sum())))
+        text, n, p = _unpack(blob)
+        lengths.append(np.fromiter((s.count(b" ") for s in text.split(b"\n")), dtype=np.int64, count=len(n)) + 1)
+        words += text.replace(b"\n", b" ").split(b" ")
         counts.append(n), places.append(p)
-    w, length, count, place = np.concatenate(ids), np.concatenate(lengths), np.concatenate(counts), np.concatenate(places, axis=1)
+    numbers = dict(zip(dict.fromkeys(words), itertools.count()))
+    w = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    del words, numbers
+    length, count, place = np.concatenate(lengths), np.concatenate(counts), np.concatenate(places, axis=1)
     n_windows = length - window + 1
     begin = np.cumsum(length) - length
     owner = np.repeat(np.arange(len(length)), n_windows)
