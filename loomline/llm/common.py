@@ -44,12 +44,13 @@ def save(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, forgotten whenever there are more than a million."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = got = xxhash.xxh3_64_intdigest(word)
+        return got
+
     def of(self, words: list[bytes]) -> np.ndarray:
-        new = list(dict.fromkeys(words).keys() - self.keys())
-        if len(self) + len(new) > 1_000_000:
+        if len(self) > 1_000_000:
             self.clear()
-            new = list(dict.fromkeys(words))
-        self.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
