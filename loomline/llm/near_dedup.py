@@ -8,9 +8,9 @@ probability of their weighted Jaccard similarity. Documents that agree on a whol
 candidates, and the similarity of a candidate pair is computed exactly.
 
 Pairs are never expanded within a bucket. Each document is first compared with the smallest document of its
-buckets, then with the smallest of each bucket where it isn't yet known to be of one class with it. Only
-buckets that still hold several classes are gone through further: their members outside the
-leader's class are compared with the members of other classes, except where the triangle inequality of
+buckets, then with the smallest of each bucket where it isn't yet known to be of one class with it. Where a
+bucket still holds several classes, its members outside the leader's class are compared with PIVOTS members drawn by
+hash, and those that are still outside then with all members of other classes, except where the triangle inequality of
 the distance 1 - similarity rules a link out. So no link that joins two classes is lost among
 the candidates, while a bucket of copies costs one comparison a member.
 """
@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.001.
 BANDS, ROWS = 10, 3
 DF_BUCKETS = 1 << 17
+#: Members of a bucket that its strays are compared with before all others; they decide the order of work, not the result.
+PIVOTS = 8
 _SEED = 0x5851F42D4C957F2D
 
 
@@ -157,9 +159,9 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``pairs(a, b)`` with their exact similarity ``sim``, saved. Texts are fetched for the ids in pairs only."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``pairs(a, b)`` with their exact similarity ``sim``, saved. ``texts(id, text)`` has the texts of all candidates."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, idf = WordHashes(), shared.value
@@ -177,12 +179,9 @@ def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     sims.append(weighted_jaccard(held, weigh(y)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
-    pairs = save(pairs)
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where("id is not null")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(ids, "id", "left_semi")
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    # Hints keep the strategy the same at every size; a leader with many pairs is split by AQE's skew join.
+    rows = save(pairs).join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
     return save(rows.mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")))
 
 
@@ -203,8 +202,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
     members = save(rows.join(buckets, ["band", "key"]))
 
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where("id is not null")
+    texts = save(texts.join(ids.hint("merge"), "id", "left_semi"))
+
     copies = signed.join(reps.select("same", "rep"), "same").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    known = verify(members.groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).where("a < b").select("a", "b"), docs, idf)
+    known = verify(members.groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).where("a < b").select("a", "b"), texts, idf)
     linked = lambda df: df.where(F.col("sim") >= similarity).select("a", "b")
 
     def classed(df: DataFrame, classes: DataFrame, *cols: str) -> DataFrame:
@@ -215,20 +218,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     classes = save(components(linked(known)))
     others = members.select(F.col("leader").alias("a"), F.col("rep").alias("b")).where("a < b").distinct().join(known, ["a", "b"], "left_anti")
-    more = verify(classed(others, classes, "a", "b").where("a_class <> b_class").select("a", "b"), docs, idf)
+    more = verify(classed(others, classes, "a", "b").where("a_class <> b_class").select("a", "b"), texts, idf)
     known = known.unionByName(more)
     classes = save(components(linked(known)))
 
-    far = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("far"))
-    placed = classed(members, classes, "rep", "leader").join(far, ["leader", "rep"], "left")
-    placed = placed.withColumn("far", F.when(F.col("rep") == F.col("leader"), 0.0).otherwise(F.col("far")))
-    strays = placed.where("rep_class <> leader_class")
-    open_ = save(placed.join(strays.select("band", "key").distinct(), ["band", "key"], "left_semi"))
-    x, y = open_.where("rep_class <> leader_class").alias("x"), open_.alias("y")
-    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) <= 1 - similarity
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep_class") != F.col("y.rep_class")) & near)
-    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    last = verify(pairs.join(known, ["a", "b"], "left_anti"), docs, idf)
+    def open_rows() -> DataFrame:
+        """Members, with their classes and distances to the leader, of the buckets that hold several classes."""
+        far = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("far"))
+        placed = classed(members, classes, "rep", "leader").join(far, ["leader", "rep"], "left")
+        placed = placed.withColumn("far", F.when(F.col("rep") == F.col("leader"), 0.0).otherwise(F.col("far")))
+        strays = placed.where("rep_class <> leader_class")
+        return save(placed.join(strays.select("band", "key").distinct(), ["band", "key"], "left_semi"))
+
+    def across(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of one bucket and different classes, not yet compared, that the distances to the leader allow."""
+        x, y = x.alias("x"), y.alias("y")
+        near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) <= 1 - similarity
+        pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep_class") != F.col("y.rep_class")) & near)
+        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        return pairs.join(known, ["a", "b"], "left_anti")
+
+    stray = "rep_class <> leader_class"
+    open_ = open_rows()
+    drawn = F.xxhash64("rep")
+    pivots = open_.groupBy("band", "key", F.pmod(drawn, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(F.struct("rep", "rep_class", "far"), drawn).alias("p"))
+    known = known.unionByName(verify(across(open_.where(stray), pivots.select("band", "key", "p.*")), texts, idf))
+    classes = save(components(linked(known)))
+
+    open_ = open_rows()
+    last = verify(across(open_.where(stray), open_), texts, idf)
     classes = save(components(linked(known.unionByName(last)).union(copies)))
 
     out = docs.select("doc_id").join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
