@@ -34,6 +34,8 @@ BANDS, ROWS = 10, 3
 DF_BUCKETS = 1 << 17
 #: Members of a bucket that its strays are compared with before all others; they decide the order of work, not the result.
 PIVOTS = 8
+#: Rows and bytes of text of a block.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 _SEED = 0x5851F42D4C957F2D
 
 
@@ -185,6 +187,58 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return save(rows.mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")))
 
 
+def links_across(rows: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between members of different classes of open buckets, saved; one for each stray and class it links with.
+
+    A bucket's strays and members are cut into blocks of bounded rows and bytes. Each pair of blocks is
+    compared in one task, where each text comes once, so pairs are neither emitted nor shuffled.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    sized = texts.groupBy(F.col("id").alias("rep")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    rows = save(rows.join(sized.hint("merge"), "rep").withColumn("stray", F.col("rep_class") != F.col("leader_class")))
+    bucket = ["band", "key"]
+    cuts = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    one, size = F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("bytes")).otherwise(0))
+    blocks = rows.groupBy(*bucket).agg(cuts(F.count("*"), F.sum("bytes")).alias("n"), cuts(one, size).alias("m"))
+    rows = rows.join(blocks, bucket)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    drawn = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    fetched = texts.select(F.col("id").alias("rep"), "text").hint("merge")
+    kept = [*bucket, "i", "j", "rep", "rep_class", "far"]
+    left = rows.where("stray").withColumn("i", drawn("stray", "m")).withColumn("j", each("n")).select(*kept).join(fetched, "rep")
+    right = rows.withColumn("j", drawn("member", "n")).withColumn("i", each("m")).select(*kept).join(fetched, "rep")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a: list[int] = []
+        b: list[int] = []
+        if left.num_rows and right.num_rows:
+            hashes, idf = WordHashes(), shared.value
+            mine, theirs = (shingles_of(t.column("text").to_pylist(), hashes) for t in (left, right))
+            (x, xc, xf), (y, yc, yf) = ([t.column(c).to_numpy() for c in ("rep", "rep_class", "far")] for t in (left, right))
+            vocabulary, at = np.unique(np.concatenate([k for k, _ in theirs]), return_inverse=True)
+            weight = np.concatenate([n for _, n in theirs]) * idf[bucket_of(vocabulary)][at]
+            starts = np.cumsum([0, *(len(k) for k, _ in theirs)])[:-1]
+            total = np.add.reduceat(weight, starts)
+            own = np.zeros(len(vocabulary))
+            for i, (k, n) in enumerate(mine):
+                w = n * idf[bucket_of(k)]
+                place = np.minimum(np.searchsorted(vocabulary, k), len(vocabulary) - 1)
+                there = vocabulary[place] == k
+                own[place[there]] = w[there]
+                low = np.add.reduceat(np.minimum(own[at], weight), starts)
+                own[place[there]] = 0
+                apart = np.nan_to_num(np.abs(yf.astype(np.float64) - float(np.nan if xf[i] is None else xf[i])))
+                hit = np.flatnonzero((low / (w.sum() + total - low) >= similarity - 1e-12) & (yc != xc[i]) & (apart <= 1 - similarity + 1e-9))
+                hit = hit[np.unique(yc[hit], return_index=True)[1]]
+                a += [int(x[i])] * len(hit)
+                b += y[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = [*bucket, "i", "j"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from one table: columns need ids of their own
+    return save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id).
 
@@ -245,9 +299,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     known = known.unionByName(verify(across(open_.where(stray), pivots.select("band", "key", "p.*")), texts, idf))
     classes = save(components(linked(known)))
 
-    open_ = open_rows()
-    last = verify(across(open_.where(stray), open_), texts, idf)
-    classes = save(components(linked(known.unionByName(last)).union(copies)))
+    found = links_across(open_rows(), texts, idf, similarity)
+    classes = save(components(linked(known).union(found).union(copies)))
 
     out = docs.select("doc_id").join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
