@@ -89,3 +89,29 @@ def test_components(spark):
             root[y] = x
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
+    """Links between classes of one bucket, cut into many blocks."""
+    import numpy as np
+
+    from loomline.llm import near_dedup as N
+
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(14):
+        words = list(base)
+        for p in rng.choice(80, i % 4, replace=False):
+            words[p] = f"x{i}_{p}"
+        texts.append((i, " ".join(words)))
+    idf = np.ones(N.DF_BUCKETS)
+    frame = spark.createDataFrame(texts, "id long, text string").selectExpr("id", "cast(text as binary) as text")
+    rows = spark.createDataFrame([(0, i, 0, 7, i // 2, 0, None) for i, _ in texts], "leader long, rep long, band int, key long, rep_class long, leader_class long, far double")
+    got = N.shingles_of([t.encode() for _, t in texts], N.WordHashes())
+    weighed = [(k, n.astype(float)) for k, n in got]
+    linked = {(a, b // 2) for a in range(2, 14) for b in range(14) if a // 2 != b // 2 and N.weighted_jaccard(weighed[a], weighed[b]) >= 0.8}
+    assert linked and len(linked) < 12 * 7
+    monkeypatch.setattr(N, "BLOCK_ROWS", 3)
+    found = {(r.a, r.b // 2) for r in N.links_across(rows, frame, idf, 0.8).collect()}
+    assert found == linked
