@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,17 +40,45 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, forgotten whenever there are more than a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+#: The factor of a byte's place in a hash, and a random number for each byte.
+_PLACE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+_kept: dict[int, np.ndarray] = {}
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2^64; up to 2^23 of them are kept."""
+    if n > len(_kept.get(factor, ())):
+        out = np.full(max(n, 1 << 20), np.uint64(factor))
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if len(out) > 1 << 23:
+            return out[:n]
+        _kept[factor] = out
+    return _kept[factor][:n]
+
+
+def spelled(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings between start and stop in a buffer of bytes; equal strings have equal ones, wherever they are."""
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    terms = _BYTES[buf]
+    terms *= _powers(_PLACE, len(buf))
+    np.cumsum(terms, out=sums[1:])
+    return (sums[stop] - sums[start]) * _powers(pow(_PLACE, -1, 1 << 64), len(buf) + 1)[start]
+
+
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words, each followed by one space, in one buffer; where each starts and stops; and their number by text."""
+    raw = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]), dtype=np.uint8)
+    blank = ((raw - np.uint8(9)) < 5) | (raw == 32)
+    edge = np.flatnonzero(np.concatenate([[not blank[0]], blank[1:] != blank[:-1]])) if len(raw) else np.empty(0, dtype=np.int64)
+    first, end = edge[0::2], edge[1::2]  # the last byte is blank
+    ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    sizes = np.diff(np.searchsorted(first, ends), prepend=0)
+    after = np.concatenate([[False], ~blank[:-1]]) if len(raw) else blank
+    buf = np.where(blank, np.uint8(32), raw)[~blank | after]
+    stop = np.cumsum(end - first + 1) - 1
+    return buf, stop - (end - first), stop, sizes
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, WordHashes, components, mix, save
+from .common import SLICE, components, mix, save, spelled, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.001.
@@ -39,28 +39,34 @@ BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 _SEED = 0x5851F42D4C957F2D
 
 
-def shingles_of(texts: list[bytes | None], hashes: WordHashes, n: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+def shingles_of(texts: list[bytes | None], n: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct shingle hashes of each text and their counts. Fewer than n words are one shingle."""
-    split = [t.split() if t else [] for t in texts]
-    flat = hashes.of([w for ws in split for w in ws])
+    buf, start, stop, sizes = words_of(texts)
+    flat = mix(spelled(buf, start, stop))
     if len(flat) >= n:
         acc = flat[: len(flat) - n + 1].copy()
         for k in range(1, n):
             acc = acc * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - n + 1 + k]
         acc = mix(acc)
     out, at = [], 0
-    for ws in split:
-        m = len(ws)
+    for m in sizes.tolist():
         if m >= n:
-            out.append(np.unique(acc[at : at + m - n + 1], return_counts=True))
+            out.append(_distinct(acc[at : at + m - n + 1]))
         elif m:
-            out.append((np.array([xxhash.xxh3_64_intdigest(b" ".join(ws))], dtype=np.uint64), np.array([1])))
+            out.append((mix(spelled(buf, start[at : at + 1], stop[at + m - 1 : at + m])), np.array([1])))
         else:
             out.append((np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)))
         at += m
     return out
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and their counts."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], np.diff(first, append=len(x))
+
+
 def bucket_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - 17)).astype(np.int64)
 
@@ -69,11 +75,11 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     """Inverse document frequencies by bucket, over all documents. DF_BUCKETS numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, df, n = WordHashes(), np.zeros(DF_BUCKETS, dtype=np.int64), 0
+        df, n = np.zeros(DF_BUCKETS, dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for at in range(0, batch.num_rows, SLICE):
-                got = shingles_of(batch.column(0).slice(at, SLICE).to_pylist(), hashes)
+                got = shingles_of(batch.column(0).slice(at, SLICE).to_pylist())
                 df += np.bincount(bucket_of(np.concatenate([s for s, _ in got])), minlength=DF_BUCKETS)
         full = np.flatnonzero(df)
         for at in range(0, len(full), 50_000):
@@ -129,12 +135,12 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # DF_BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, idf = WordHashes(), shared.value
+        idf = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = part.column(1).to_pylist()
-                got = shingles_of(texts, hashes)
+                got = shingles_of(texts)
                 full = [i for i, (s, _) in enumerate(got) if len(s)]
                 if not full:
                     continue
@@ -166,18 +172,18 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, idf = WordHashes(), shared.value
+        idf = shared.value
         held_id, held = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 a, b, ta, tb = (part.column(i).to_pylist() for i in range(4))
                 weigh = lambda sc: (sc[0], sc[1] * idf[bucket_of(sc[0])])
-                right = shingles_of(tb, hashes)
+                right = shingles_of(tb)
                 sims = []
                 for i, (x, y) in enumerate(zip(a, right, strict=True)):
                     if held_id != (x, len(ta[i])):
-                        held_id, held = (x, len(ta[i])), weigh(shingles_of([ta[i]], hashes)[0])
+                        held_id, held = (x, len(ta[i])), weigh(shingles_of([ta[i]])[0])
                     sims.append(weighted_jaccard(held, weigh(y)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
@@ -212,8 +218,8 @@ def links_across(rows: DataFrame, texts: DataFrame, idf: np.ndarray, similarity:
         a: list[int] = []
         b: list[int] = []
         if left.num_rows and right.num_rows:
-            hashes, idf = WordHashes(), shared.value
-            mine, theirs = (shingles_of(t.column("text").to_pylist(), hashes) for t in (left, right))
+            idf = shared.value
+            mine, theirs = (shingles_of(t.column("text").to_pylist()) for t in (left, right))
             (x, xc, xf), (y, yc, yf) = ([t.column(c).to_numpy() for c in ("rep", "rep_class", "far")] for t in (left, right))
             vocabulary, at = np.unique(np.concatenate([k for k, _ in theirs]), return_inverse=True)
             weight = np.concatenate([n for _, n in theirs]) * idf[bucket_of(vocabulary)][at]

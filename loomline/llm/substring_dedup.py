@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, WordHashes, mix, save
+from .common import SLICE, mix, save, spelled, words_of
 
 WINDOW, MINIMISER = 13, 3
 #: Bytes of text for each bucket, the fewest buckets, and bytes of strings that a task holds before it sends them.
@@ -53,13 +54,11 @@ def runs(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, group: int
     return whole[first], whole[last], best[whole[first]]
 
 
-def _pack(strings: list[bytes], places: list[list[int]], squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Strings with their places; each place is (doc_id, row, word)."""
-    counts = np.array([len(p) // 3 for p in places], dtype=np.int64)
-    flat = np.array([x for p in places for x in p], dtype=np.int64)
+def _pack(strings: list[bytes], counts: np.ndarray, places: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Strings with their places, one string's after another's; the rows of places are doc_id, row and word."""
     text = b"\n".join(strings)
-    head = np.array([len(strings), len(flat) // 3, len(text)], dtype=np.int64)
-    return squeeze.compress(head.tobytes() + counts.tobytes() + flat.reshape(-1, 3).T.tobytes() + text)
+    head = np.array([len(strings), places.shape[1], len(text)], dtype=np.int64)
+    return squeeze.compress(head.tobytes() + counts.astype(np.int64).tobytes() + np.ascontiguousarray(places).tobytes() + text)
 
 
 def _unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -72,88 +71,72 @@ def _unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 def send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of documents (doc_id, row, text) as one compressed blob a bucket."""
-    hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3)
-    held: dict[bytes, list[int]] = {}
-    where: list[int] = []
+    squeeze = zstandard.ZstdCompressor(level=3)
+    held: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    seen: list[np.ndarray] = []  # by place: number of the string, its bucket, doc_id, row, word
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        strings, places = list(held), list(held.values())
-        to = np.array(where, dtype=np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.diff(to[order])) + 1
-        for part in np.split(order, cuts):
-            blob = _pack([strings[i] for i in part], [places[i] for i in part], squeeze)
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[part[0]])]), pa.array([blob], pa.binary())], ["bucket", "blob"])
+        strings = list(held)
+        number, to, *place = np.concatenate(seen, axis=1)
+        order = np.lexsort((number, to))
+        number, to, place = number[order], to[order], np.stack(place)[:, order]
+        new = np.flatnonzero(np.diff(number, prepend=-1))  # where a string's places begin
+        counts = np.diff(new, append=len(number))
+        cuts = np.flatnonzero(np.diff(to[new], prepend=-1))  # where a bucket's strings begin
+        for x, y in itertools.pairwise([*cuts.tolist(), len(new)]):
+            a, z = new[x], new[y] if y < len(new) else len(number)
+            blob = _pack([strings[i] for i in number[new[x:y]].tolist()], counts[x:y], place[:, a:z], squeeze)
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[a])]), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            ids, rows, texts = (part.column(i).to_pylist() for i in range(3))
-            split = [t.split() if t else [] for t in texts]
-            sizes = [len(ws) for ws in split]
-            words = [w for ws in split for w in ws]
-            flat = hashes.of(words)
-            first, last, key = runs(flat, np.repeat(np.arange(len(split)), sizes))
+            buf, begin, end, sizes = words_of(part.column(2).to_pylist())
+            first, last, key = runs(mix(spelled(buf, begin, end)), np.repeat(np.arange(len(sizes)), sizes))
             if not len(first):
                 continue
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-            begin, end = ends - np.diff(ends, prepend=-1) + 1, ends
-            starts = np.cumsum([0, *sizes])
-            doc = np.searchsorted(starts, first, side="right") - 1
-            bucket = (key % np.uint64(buckets)).astype(np.int64).tolist()
-            word = (first - starts[doc]).tolist()
-            for b, a, z, d, w in zip(bucket, begin[first].tolist(), end[last + WINDOW - 1].tolist(), doc.tolist(), word, strict=True):
-                s = joined[a:z]
-                place = held.get(s)
-                if place is None:
-                    held[s] = [ids[d], rows[d], w]
-                    where.append(b)
-                    size += z - a
-                else:
-                    place += (ids[d], rows[d], w)
-                    size += 24
+            joined, known = buf.tobytes(), len(held)
+            a, z = begin[first], end[last + WINDOW - 1]
+            number = np.fromiter((held[joined[i:j]] for i, j in zip(a.tolist(), z.tolist(), strict=True)), dtype=np.int64, count=len(a))
+            starts = np.cumsum(sizes)
+            doc = np.searchsorted(starts, first, side="right")
+            ids, rows = (part.column(i).to_numpy()[doc] for i in range(2))
+            seen.append(np.stack([number, (key % np.uint64(buckets)).astype(np.int64), ids, rows, first - (starts - sizes)[doc]]))
+            _, new = np.unique(number[number >= known], return_index=True)
+            size += 24 * len(a) + int((z - a)[number >= known][new].sum())
             if size > HELD:
                 yield from flush()
-                held, where, size = {}, [], 0
+                held, seen, size = defaultdict(itertools.count().__next__), [], 0
     if held:
         yield from flush()
 
 
 def settle(blobs: Iterator[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of a bucket where repeated windows begin: doc_id, row, first word, word after the last."""
-    words: list[bytes] = []
-    lengths, counts, places = [], [], []
-    for blob in blobs:
-        text, n, p = _unpack(blob)
-        lengths.append(np.fromiter((s.count(b" ") for s in text.split(b"\n")), dtype=np.int64, count=len(n)) + 1)
-        words += text.replace(b"\n", b" ").split(b" ")
-        counts.append(n), places.append(p)
-    numbers = dict(zip(dict.fromkeys(words), itertools.count()))
-    w = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
-    del words, numbers
-    length, count, place = np.concatenate(lengths), np.concatenate(counts), np.concatenate(places, axis=1)
+    texts, counts, places = zip(*map(_unpack, blobs), strict=True)
+    text, count, place = b"\n".join(texts), np.concatenate(counts), np.concatenate(places, axis=1)
+    del texts, counts, places
+    buf = np.frombuffer(text, dtype=np.uint8)
+    gap = np.flatnonzero((buf == 32) | (buf == 10))
+    lines = np.flatnonzero(buf[gap] == 10) + 1
+    length = np.diff(lines, prepend=0, append=len(gap) + 1)
     n_windows = length - window + 1
     begin = np.cumsum(length) - length
     owner = np.repeat(np.arange(len(length)), n_windows)
     base = np.cumsum(n_windows) - n_windows
     at = begin[owner] + np.arange(len(owner)) - base[owner]
-    scrambled = mix(w.astype(np.uint64) + np.uint64(1))
-    code = np.zeros(len(at), dtype=np.uint64)
-    for k in range(window):
-        code = code * np.uint64(0xD1342543DE82EF95) + scrambled[at + k]
+    a, z = np.concatenate([[0], gap + 1])[at], np.append(gap, len(buf))[at + window - 1]
+    code = spelled(buf, a, z)
     order = np.argsort(code, kind="stable")
     equal = code[order][1:] == code[order][:-1]
     i = np.flatnonzero(equal)
-    exact = np.ones(len(i), dtype=bool)
-    for k in range(window):
-        exact &= w[at[order[i]] + k] == w[at[order[i + 1]] + k]
-    if not exact.all():  # two different windows share a code: sort by the words themselves
-        order = np.lexsort([w[at + k] for k in reversed(range(window))])
-        equal = np.ones(len(order) - 1, dtype=bool)
-        for k in range(window):
-            equal &= w[at[order[1:]] + k] == w[at[order[:-1]] + k]
+    left, right = order[i], order[i + 1]
+    both = zip(a[left].tolist(), z[left].tolist(), a[right].tolist(), z[right].tolist(), strict=True)
+    if not all(text[p:q] == text[r:s] for p, q, r, s in both):  # two different windows share a code: sort by the words themselves
+        windows = [text[p:q] for p, q in zip(a.tolist(), z.tolist(), strict=True)]
+        order = np.array(sorted(range(len(windows)), key=windows.__getitem__))
+        equal = np.array([windows[p] == windows[q] for p, q in itertools.pairwise(order.tolist())], dtype=bool)
     group = np.empty(len(at), dtype=np.int64)
     group[order] = np.concatenate([[0], np.cumsum(~equal)])
     start = np.cumsum(count) - count

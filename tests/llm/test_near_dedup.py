@@ -3,16 +3,15 @@ import random
 import numpy as np
 
 from loomline.llm import near_dedup as N
-from loomline.llm.common import WordHashes, components
+from loomline.llm.common import components
 from loomline.llm.queries import op3_near_dedup
 
 
 def classes(docs, idf):
     """Brute force over all pairs, with shingles as tuples of words."""
-    hashes = WordHashes()
     items = []
     for _, text in docs:
-        (s, c), = N.shingles_of([text.encode() if text else None], hashes)
+        (s, c), = N.shingles_of([text.encode() if text else None])
         items.append((s, c * idf[N.bucket_of(s)]))
     root = list(range(len(docs)))
 
@@ -108,7 +107,7 @@ def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
     idf = np.ones(N.DF_BUCKETS)
     frame = spark.createDataFrame(texts, "id long, text string").selectExpr("id", "cast(text as binary) as text")
     rows = spark.createDataFrame([(0, i, 0, 7, i // 2, 0, None) for i, _ in texts], "leader long, rep long, band int, key long, rep_class long, leader_class long, far double")
-    got = N.shingles_of([t.encode() for _, t in texts], N.WordHashes())
+    got = N.shingles_of([t.encode() for _, t in texts])
     weighed = [(k, n.astype(float)) for k, n in got]
     linked = {(a, b // 2) for a in range(2, 14) for b in range(14) if a // 2 != b // 2 and N.weighted_jaccard(weighed[a], weighed[b]) >= 0.8}
     assert linked and len(linked) < 12 * 7

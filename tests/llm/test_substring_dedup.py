@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from loomline.llm import substring_dedup as B
+from loomline.llm.common import spelled, words_of
 from loomline.llm.queries import op10_substring_dedup
 
 
@@ -63,9 +64,9 @@ def test_super_k_mers_cover_each_window_once():
 def test_colliding_codes_are_told_apart(monkeypatch):
     import zstandard
 
-    monkeypatch.setattr(B, "mix", lambda x: np.zeros_like(x))
+    monkeypatch.setattr(B, "spelled", lambda buf, start, stop: np.zeros(len(start), dtype=np.uint64))
     s = [" ".join(f"{p}{i}" for i in range(15)).encode() for p in "abab"]
-    blob = B._pack(s, [[i, 0, 0] for i in range(4)], zstandard.ZstdCompressor())
+    blob = B._pack(s, np.ones(4), np.array([[0, 1, 2, 3], [0] * 4, [0] * 4]), zstandard.ZstdCompressor())
     ids, _, start, end = B.settle([blob])
     assert sorted(zip(ids.tolist(), start.tolist(), end.tolist())) == [(2, 0, 15), (3, 0, 15)]
 
@@ -74,3 +75,17 @@ def test_edges(spark, odd_docs, no_docs):
     docs = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert got(B.remove_repeats(odd_docs)) == want(docs)
     assert B.remove_repeats(no_docs).count() == 0
+
+
+def test_words_and_their_hashes():
+    texts = [None, b"", b" \x0b", "ab\u00e9  cd\tab\u00e9\x1c".encode(), b"\n\nx\n", b"cd", b"a" * 5000]
+    buf, start, stop, sizes = words_of(texts)
+    want = [(t or b"").split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert [buf[a:z].tobytes() for a, z in zip(start, stop)] == flat and buf.tobytes() == b" ".join([*flat, b""])
+    codes = spelled(buf, start, stop).tolist()
+    assert len(set(codes)) == len(set(flat)) and codes[1] == codes[4]
+    other, a, z, _ = words_of([b"x cd"])
+    assert spelled(other, a, z)[1] == codes[1]
+    assert [len(x) for x in words_of([])] == [0] * 4
