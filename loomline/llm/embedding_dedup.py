@@ -29,6 +29,8 @@ SAMPLE = 8192
 SUBSPACES, CODES, MOST_LISTS = 8, 64, 1024
 #: Entries and queries of a block.
 ENTRIES, QUERIES = 2048, 8192
+#: Pairs of a query and an entry that are looked up at once: a block's queries are cut into slices of PAIRS / entries.
+PAIRS = 1_000_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -168,7 +170,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             error = right.column("error").to_numpy()
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), dtype=np.uint8).reshape(len(x), -1)
             label = xid.copy()
-            step = max(64, 1_000_000 // max(1, len(x)))
+            step = max(1, PAIRS // len(x))
             for at in range(0, left.num_rows, step):
                 part = left.slice(at, step)
                 q, qid = get(part), part.column("id").to_numpy()
@@ -185,7 +187,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 i, j = i[qid[i] != xid[j]], j[qid[i] != xid[j]]
                 if not len(i):
                     continue
-                mine = qid.copy()
+                mine, before = qid.copy(), label.copy()
                 while True:
                     was = mine.copy(), label.copy()
                     np.minimum.at(mine, i, label[j])
@@ -196,8 +198,9 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 ids.append(qid[hit])
                 counts.append(np.bincount(i, weights=copies[j], minlength=len(q))[hit].astype(np.int64))
                 tops.append(mine[hit])
-            moved = np.flatnonzero(label != xid)
-            ids.append(xid[moved]), counts.append(np.zeros(len(moved), dtype=np.int64)), tops.append(label[moved])
+                # Each label an entry has had is reported, as queries of earlier slices are tied to it by that one only.
+                moved = np.flatnonzero(label != before)
+                ids.append(xid[moved]), counts.append(np.zeros(len(moved), dtype=np.int64)), tops.append(label[moved])
         cat = lambda a: pa.array(np.concatenate(a) if a else [], pa.int64())
         return pa.table({"id": cat(ids), "n": cat(counts), "top": cat(tops)})
 

@@ -55,6 +55,17 @@ def test_clusters(spark, monkeypatch):
     assert told(E.link_vectors(df)) == brute(rows)
 
 
+def test_paths_over_many_slices_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIRS", 1)
+    rng = np.random.default_rng(5)
+    rows = []
+    for label in range(12):
+        ids = rng.permutation(25) + 100 * label
+        rows += [(int(i), [float(np.cos(a)), float(np.sin(a)), 0.0], label) for i, a in zip(ids, np.radians(10) * np.arange(25))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert told(E.link_vectors(df)) == brute(rows)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [1.0, 2.0], None), (8, [1.0, 2.0], 0), (9, [2.0, 4.0], 0), (None, [1.0, 2.0], 0), (10, [1.0, 2.0, 0.0], 0), (11, [1.0, 2.0, 0.0], 0), (12, [1e300, 2e300], 1), (13, [1e-300, 2e-300], 1)]
