@@ -4,7 +4,8 @@ Words are runs of letters and digits in lower case. Words that occur once in bot
 template anchor the alignment; the longest increasing subsequence of their positions is kept, and
 the gaps between kept anchors are aligned in the same way. A gap without such a word is closed by
 the words its two sides have in common at either end. Coverage is the share of the template's words
-that were aligned.
+that were aligned. The words that name a license, its kind and its version are no part of that
+leeway: each marked phrase of a template has to be aligned as a whole, with nothing in between.
 """
 
 from __future__ import annotations
@@ -19,18 +20,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Notices by which works name their license, under SPDX names.
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = " Neither the name of the nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 TEMPLATES = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "MIT-notice": "Released under the MIT License.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT-0-notice": "Released under the MIT-0 License.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC-notice": "Released under the ISC License.",
+    "GPL-3.0": _GPL.format("", "3"),
+    "GPL-2.0": _GPL.format("", "2"),
+    "LGPL-3.0": _GPL.format("Lesser ", "3"),
+    "LGPL-2.1": _GPL.format("Lesser ", "2.1"),
+    "AGPL-3.0": _GPL.format("Affero ", "3"),
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD": _BSD,  # what the kinds of BSD licenses begin with
+    "BSD-2-Clause": _BSD + _BINARY,
+    "BSD-3-Clause": _BSD + _BINARY + _ENDORSE,
+    "BSD-notice": "Released under the BSD License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Phrases of a template that have to stand in the text word by word: what tells it from other templates and from prose.
+MARKS = {
+    "Apache-2.0": ["apache license", "2 0"],
+    "Apache-2.0-notice": ["apache license", "2 0"],
+    "Apache-1.1-notice": ["apache license", "1 1"],
+    "MIT-notice": ["mit license"],
+    "MIT-0-notice": ["mit 0 license"],
+    "ISC-notice": ["isc license"],
+    "GPL-3.0": ["gnu general public", "version 3 of"],
+    "GPL-2.0": ["gnu general public", "version 2 of"],
+    "LGPL-3.0": ["gnu lesser general public", "version 3 of"],
+    "LGPL-2.1": ["gnu lesser general public", "version 2 1 of"],
+    "AGPL-3.0": ["gnu affero general public", "version 3 of"],
+    "GPL-3.0-notice": ["gnu general public license", "version 3"],
+    "GPL-2.0-notice": ["gnu general public license", "version 2"],
+    "LGPL-3.0-notice": ["gnu lesser general public license", "version 3"],
+    "LGPL-2.1-notice": ["gnu lesser general public license", "version 2 1"],
+    "AGPL-3.0-notice": ["gnu affero general public license", "version 3"],
+    "BSD-2-Clause": ["in binary form must reproduce"],
+    "BSD-3-Clause": ["in binary form must reproduce", "endorse or promote"],
+    "BSD-notice": ["bsd license"],
+    "MPL-2.0": ["mozilla public license", "2 0"],
+}
+_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _kind, _name in _KINDS.items():
+    for _v in ("3.0", "4.0"):
+        # "CC-BY-4.0-notice" is the long form, "CC-BY-NC-4.0-notice" the short one.
+        _long, _short = (f"CC-{_kind}-{_v}{x}" for x in (("-notice", "-short-notice") if _kind == "BY" else ("-long-notice", "-notice")))
+        TEMPLATES[_long] = f"This work is licensed under a Creative Commons {_name} {_v} International License."
+        MARKS[_long] = [f"creative commons {_name} {_v}"]
+        TEMPLATES[_short] = f"Licensed under CC {_kind} {_v}."
+        MARKS[_short] = [f"cc {_kind} {_v}"]
 #: Least coverage of a template that counts as its license.
 COVERAGE = 0.8
 #: Words of text on which a template of n words is laid at once: WINDOW x n, from every place with a rare word of it.
@@ -96,9 +146,16 @@ class Scanner:
     passed over, which loses nothing, as coverage is never above that bound.
     """
 
-    def __init__(self, templates: dict[str, str], coverage: float) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float, marks: dict[str, list[str]] = MARKS) -> None:
         self.coverage = coverage
         self.templates = [(name, words(t)) for name, t in templates.items()]
+        # For each phrase of a template the places where it stands there.
+        self.marks = []
+        for name, t in self.templates:
+            phrases = [words(p) for p in marks.get(name, ())]
+            self.marks.append([[range(i, i + len(p)) for i in range(len(t)) if t[i : i + len(p)] == p] for p in phrases])
+            if not all(self.marks[-1]):
+                raise ValueError(f"a marked phrase isn't in template {name}")
         every = Counter(w for _, t in self.templates for w in set(t))
         common = {"the", "of", "and", "to", "in", "a", "is", "this", "with", "by", "at", "or", "you", "under", "not", "from", "for", "be", "are", "that", "on"}
         self.counts = [Counter(t) for _, t in self.templates]
@@ -137,7 +194,7 @@ class Scanner:
                 count = Counter(x for x in part if x in self.counts[k])
                 if sum((count & self.counts[k]).values()) < self.coverage * len(t):
                     continue
-                pairs = self._place(part, t)
+                pairs = self._place(part, t, self.marks[k])
                 share = len(pairs) / len(t)
                 if share >= self.coverage and (best is None or share > best[1]):
                     best = (name, share, a + pairs[0][0], a + pairs[-1][0] + 1)
@@ -145,35 +202,45 @@ class Scanner:
                 out.append(best)
         return out
 
-    def _place(self, part: list[str], t: list[str]) -> list[tuple[int, int]]:
-        """The best alignment of the template with the stretch, or with the windows of its length within it."""
-        best = align(part, t)
+    def _place(self, part: list[str], t: list[str], marks: list[list[range]]) -> list[tuple[int, int]]:
+        """The best alignment of the template with the stretch, or with the windows of its length within it, that holds the marks."""
+
+        def marked(pairs: list[tuple[int, int]]) -> bool:
+            at = {q: p for p, q in pairs}
+            return all(any(all(at.get(q, -1) == at.get(m[0], -2) + q - m[0] for q in m) for m in spots) for spots in marks)
+
+        whole = align(part, t)
+        best = whole if marked(whole) else []
         if len(best) < len(t):
             first = Counter(t)
             starts = [i for i, x in enumerate(part) if x in first]
             for i in starts:
-                j = t.index(part[i])
-                got = [(i - j + p if i >= j else p, q) for p, q in align(part[max(0, i - j) : max(0, i - j) + len(t) + 2], t)]
-                if len(got) > len(best):
-                    best = got
+                # From each place of the word in the template.
+                for j in [j for j, x in enumerate(t) if x == part[i]] if marks else [t.index(part[i])]:
+                    at = max(0, i - j)
+                    got = [(at + p, q) for p, q in align(part[at : at + len(t) + 2], t)]
+                    if len(got) > len(best) and marked(got):
+                        best = got
                 if len(best) == len(t):
                     break
         return best
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, marks: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, license, coverage, n_found, found.
 
     ``found`` lists (license, coverage, start, end) of every template that is covered well enough, in word
     positions; license and coverage are the best one's (null and 0.0 where none is), of equals the
-    longer template's, then the first in the alphabet. A null or empty text has none. Repeated rows are judged alike.
+    longer template's, then the first in the alphabet. ``marks`` are the phrases of each template that have
+    to stand in the text whole (MARKS for our own templates). A null or empty text has none. Repeated rows are judged alike.
     """
+    marks = marks if marks is not None else MARKS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     lengths = {k: len(words(t)) for k, t in templates.items()}
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, marks)
         for batch in batches:
             found = [scanner.scan(t) if t else [] for t in batch.column(1).to_pylist()]
             best = [min(f, key=lambda x: (-x[1], -lengths[x[0]], x[0]), default=(None, 0.0)) for f in found]

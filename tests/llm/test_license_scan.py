@@ -53,6 +53,34 @@ def test_full_texts_and_changes():
     assert scan(noise(2000)) == []
 
 
+def best(text):
+    lengths = {k: len(S.words(t)) for k, t in S.TEMPLATES.items()}
+    return min(S.Scanner(S.TEMPLATES, S.COVERAGE).scan(text), key=lambda f: (-f[1], -lengths[f[0]], f[0]), default=(None,))[0]
+
+
+def test_near_misses_and_prose():
+    for text, want in {
+        "Released under the BSD License.": "BSD-notice",
+        "Released under the MIT-0 License.": "MIT-0-notice",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0-short-notice",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0-notice",
+        "Licensed under CC BY-NC 3.0.": "CC-BY-NC-3.0-notice",
+        "Licensed under CC BY-NC 2.5.": None,
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0-long-notice",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0-notice",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1-notice",
+        "Licensed under the Apache License, Version 1.0.": None,
+        S.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"): "GPL-2.0",
+        S._BSD + S._BINARY: "BSD-2-Clause",
+        S._BSD + S._BINARY + S._ENDORSE.replace("of the nor", "of the Example Foundation nor"): "BSD-3-Clause",
+        "The film was released under the new license of its studio.": None,
+        "Shops are licensed under the local rules, and this work is licensed under the old code, version 3.": None,
+        "Not CC BY-NC-SA 4.0 but another one. Licensed under CC BY-NC 4.0. So it says.": "CC-BY-NC-4.0-notice",
+    }.items():
+        assert best(f"Some words before it. {text} And some after it.") == want, text
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = S.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["license"] is None and r["coverage"] == 0 for r in rows)
