@@ -112,11 +112,11 @@ def lengths_of(n: int, capacity: int = CAPACITY) -> list[int]:
     return out + [left] * (left > 0)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens. A null text is empty."""
+    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, and the ids as little-endian unsigned 32-bit numbers. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -129,9 +129,11 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
                     raw += b"\0\0\0\0"
                     start, n = 0, len(raw) // 4
                     for size in lengths_of(n, capacity):
-                        rows.append((doc, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n))
+                        own = raw[4 * start : 4 * (start + size)]
+                        rows.append((doc, start, size, zlib.crc32(own), n, own))
                         start += size
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                *numbers, held = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(held, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -140,11 +142,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     """One row per piece: the columns of PIECES, sequence_id (dense from 0), offset within the sequence.
 
     Every id of every row lies in one piece, rows that repeat a doc_id are packed each; an empty
-    text is one piece of one id; an empty table gives no rows. Other columns are ignored.
+    text is one piece of one id; an empty table gives no rows. Other columns are ignored. Pieces are
+    placed without their ids, which are joined back by a number of the piece.
     """
     spark = docs.sparkSession
-    pieces = save(cut_documents(docs, vocabulary, capacity))
-    pieces = pieces.withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
+    held = save(cut_documents(docs, vocabulary, capacity).withColumn("piece", F.monotonically_increasing_id()))
+    pieces = held.drop("ids").withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)))
     counts = pieces.groupBy("k", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,24 +157,25 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     for k in sorted(totals):
         base[k] = (first, totals[k] // k * k)
         first += totals[k] // k
-    inside = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "ids_crc32", "piece")
     ranked = pieces.withColumn("r", F.row_number().over(inside).cast("long")).join(offsets, ["k", "bucket"])
     ranked = ranked.withColumn("rank", F.col("ahead") + F.col("r") - 1)
     table = F.broadcast(spark.createDataFrame([(k, b, f) for k, (b, f) in base.items()], "k int, base long, filled long"))  # one row a class
-    ranked = save(ranked.join(table, "k").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "rank", "base", "filled"))
+    ranked = save(ranked.join(table, "k").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", "k", "rank", "base", "filled"))
     binned = ranked.where("rank < filled").select("*", (F.col("base") + F.expr("rank div k")).alias("sequence_id"))
     rest = ranked.where("rank >= filled")
     left = sorted(rest.select("length", "k", "rank").collect(), key=lambda x: (-x[0], x[1], x[2]))
     room: list[int] = []
-    placed = []
+    spots = []
     for length, k, rank in left:
         bin_ = next((i for i, free in enumerate(room) if free >= length), len(room))
         if bin_ == len(room):
             room.append(capacity)
         room[bin_] -= length
-        placed.append((k, rank, first + bin_))
-    table = F.broadcast(spark.createDataFrame(placed, "k int, rank long, sequence_id long"))  # under k rows for each class k
+        spots.append((k, rank, first + bin_))
+    table = F.broadcast(spark.createDataFrame(spots, "k int, rank long, sequence_id long"))  # under k rows for each class k
     both = binned.unionByName(rest.join(table, ["k", "rank"]).select(*binned.columns))
     ahead = Window.partitionBy("sequence_id").orderBy("k", "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long")
-    return both.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    placed = both.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "piece")
+    return placed.join(held.select("piece", "ids"), "piece").drop("piece")

@@ -26,7 +26,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from loomline.llm import packing
 from loomline.llm.queries import op2_packing, vocabulary
 
@@ -58,6 +59,21 @@ def test_edges(spark, odd_docs, no_docs, tokenizer):
     assert packing.pack(no_docs, vocabulary()).count() == 0
 
 
+def test_ids_of_sequences(spark, odd_docs, tokenizer):
+    rows = packing.pack(odd_docs, vocabulary()).collect()
+    texts = Counter((r["doc_id"], (*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0)) for r in odd_docs.collect())
+    want = Counter((doc, s, n, t[s : s + n]) for (doc, t), times in texts.items() for s, n in spans(len(t)) for _ in range(times))
+    assert Counter((r["doc_id"], r["start"], r["length"], tuple(np.frombuffer(r["ids"], dtype="<u4").tolist())) for r in rows) == want
+
+
+def test_pipeline_emits_ids(spark, documents, sf, tokenizer):
+    docs = documents.limit(20)
+    ids = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    name, stage = corpus_pipeline.STAGES[-1]
+    for r in stage(spark, docs, sf).collect():
+        assert np.frombuffer(r["ids"], dtype="<u4").tolist() == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\xa0\u2003\x85\x1c\x00'sabé1.<|endoftext|>中"), st.characters(codec="utf-8")), max_size=40), max_size=5))
 def test_ids_equal_the_library(texts):
