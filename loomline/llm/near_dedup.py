@@ -2,17 +2,19 @@
 
 Shingles are SHINGLE consecutive words, weighted by their count times an inverse document frequency.
 Document frequencies are counted over all documents in DF_BUCKETS hash buckets, which bounds
-their size and keeps their relative noise the same at every corpus size. Improved consistent
-weighted sampling gives BANDS x ROWS samples a document; two documents agree on one with the
-probability of their weighted Jaccard similarity. Documents that agree on a whole band become
+their size and keeps their relative noise the same at every corpus size. The inverse frequencies run from 1 to 2, so
+that what a large group of copies has in common keeps its weight. Improved consistent
+weighted sampling gives BANDS x ROWS samples a text; two texts agree on one with the
+probability of their weighted Jaccard similarity. Texts that agree on a whole band become
 candidates, and the similarity of a candidate pair is computed exactly.
 
-Pairs are never expanded within a bucket. Each document is first compared with the smallest document of its
+Pairs are never expanded within a bucket. Each text is first compared with the smallest text of its
 buckets, then with the smallest of each bucket where it isn't yet known to be of one class with it. Where a
-bucket still holds several classes, its members outside the leader's class are compared with PIVOTS members drawn by
-hash, and those that are still outside then with all members of other classes, except where the triangle inequality of
-the distance 1 - similarity rules a link out. So no link that joins two classes is lost among
-the candidates, while a bucket of copies costs one comparison a member.
+bucket still holds several classes, the members outside its largest class are compared with all members of other
+classes, block by block. Of buckets above a block, only those pairs are compared that share one of the rare shingles
+without which a text can't reach the similarity (prefix filtering), where that makes fewer comparisons. No link that
+joins two classes is lost among the candidates, while a bucket of copies costs one comparison a member and a bucket of
+pages that share a template next to none.
 """
 
 from __future__ import annotations
@@ -23,19 +25,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, components, mix, save, spelled, words_of
+from .common import components, discard, hot_join, mix, save, slices, spelled, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.001.
 BANDS, ROWS = 10, 3
 DF_BUCKETS = 1 << 17
-#: Members of a bucket that its strays are compared with before all others; they decide the order of work, not the result.
-PIVOTS = 8
+#: Frequencies in which a shingle's weight falls from 2 to 1: those from 1 / RANGE of the documents to all.
+RANGE = 1024
 #: Rows and bytes of text of a block.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+#: Parts into which the texts that are compared with one leader are dealt.
+SLOTS = 256
 _SEED = 0x5851F42D4C957F2D
 
 
@@ -71,15 +76,15 @@ def bucket_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - 17)).astype(np.int64)
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies by bucket, over all documents. DF_BUCKETS numbers come to the driver."""
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Numbers of the texts that hold a shingle of each bucket, and of all texts. DF_BUCKETS numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DF_BUCKETS, dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for at in range(0, batch.num_rows, SLICE):
-                got = shingles_of(batch.column(0).slice(at, SLICE).to_pylist())
+            for part in slices(batch, 0):
+                got = shingles_of(part.column(0).to_pylist())
                 df += np.bincount(bucket_of(np.concatenate([s for s, _ in got])), minlength=DF_BUCKETS)
         full = np.flatnonzero(df)
         for at in range(0, len(full), 50_000):
@@ -87,13 +92,18 @@ def idf_table(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["bucket", "df"])
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n])], ["bucket", "df"])
 
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket long, df long")
+    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket long, df long")
     table = counted.groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     bucket, df = table.column("bucket").to_numpy(), table.column("df").to_numpy()
-    total = df[bucket == -1].sum()
-    counts = np.zeros(DF_BUCKETS)
+    counts = np.zeros(DF_BUCKETS, dtype=np.int64)
     counts[bucket[bucket >= 0]] = df[bucket >= 0]
-    return np.log(1 + (total + 1) / (counts + 1))
+    return counts, int(df[bucket == -1].sum())
+
+
+def idf_table(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequencies by bucket, from 1 to 2, over all documents."""
+    counts, total = frequencies(docs)
+    return 1 + np.clip(np.log((total + 1) / (counts + 1)) / np.log(RANGE), 0, 1)
 
 
 @functools.cache
@@ -130,30 +140,33 @@ def sample(items: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, samples:
     return out
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``(doc_id, same, bands)`` of the documents with words; ``same`` is a 128-bit digest of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # DF_BUCKETS numbers
+def _digest() -> Column:
+    """16 bytes by which texts are told apart."""
+    return F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16).alias("same")
+
+
+def signatures(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """``(doc_id, same, bytes, keys)`` of the documents with words: a digest of the text, its length, a key for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                texts = part.column(1).to_pylist()
+            for part in slices(batch, 2):
+                texts = part.column(2).to_pylist()
                 got = shingles_of(texts)
                 full = [i for i, (s, _) in enumerate(got) if len(s)]
                 if not full:
                     continue
-                rows = sample([got[i] for i in full], idf).reshape(len(full), BANDS, ROWS)
-                key = mix(rows[:, :, 0])
+                rows = sample([got[i] for i in full], idf, BANDS * ROWS).reshape(len(full), BANDS, ROWS)
+                key = mix(rows[:, :, 0] + np.arange(BANDS, dtype=np.uint64))
                 for k in range(1, ROWS):
                     key = mix(key + rows[:, :, k])
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(key.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-                same = pa.array([xxhash.xxh3_128_digest(texts[i]) for i in full], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), same, keys], ["doc_id", "same", "bands"])
+                at, sizes = pa.array(full), pa.array([len(texts[i]) for i in full], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), sizes, keys], ["doc_id", "same", "bytes", "keys"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    rows = docs.where("doc_id is not null").select("doc_id", _digest(), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, same binary, bytes long, keys array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -167,52 +180,104 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``pairs(a, b)`` with their exact similarity ``sim``, saved. ``texts(id, text)`` has the texts of all candidates."""
-    shared = texts.sparkSession.sparkContext.broadcast(idf)
+def _weigh(shingles: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return shingles[0], shingles[1] * idf[bucket_of(shingles[0])]
+
+
+def verify(pairs: DataFrame, texts: DataFrame, shared: Broadcast, similarity: float) -> DataFrame:
+    """The saved table of those ``pairs(a, b)`` whose exact similarity is high enough. ``texts(id, text)`` has the texts of all.
+
+    The texts to compare with ``a`` are dealt over slots, each of which gets the text of ``a`` once, and stream by it in sorted order.
+    """
+    pairs = save(pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).cast("int")))
+    right = pairs.join(texts.withColumnRenamed("id", "b").hint("merge"), "b").select("a", "slot", F.lit(1).alias("side"), "b", "text")
+    left = pairs.select("a", "slot").distinct().join(texts.withColumnRenamed("id", "a").hint("merge"), "a")
+    rows = left.select("a", "slot", F.lit(0).alias("side"), F.col("a").alias("b"), "text").unionByName(right)
+    rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, held = shared.value, None
+        for batch in batches:
+            for part in slices(batch, 4):
+                a, _, side, b, text = (c.to_pylist() for c in part.columns)
+                linked = []
+                for i, got in enumerate(shingles_of(text)):
+                    if side[i] == 0:
+                        held = _weigh(got, idf)
+                    elif weighted_jaccard(held, _weigh(got, idf)) >= similarity - 1e-12:
+                        linked.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in linked], pa.int64()) for x in (a, b)], ["a", "b"])
+
+    links = save(rows.mapInArrow(run, "a long, b long"))
+    discard(pairs)
+    return links
+
+
+_CELL = ["key", "sub"]
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """The cells (key, sub) of ``rows(key, sub, id, class, bytes)`` that hold several classes: home (their largest), rows and bytes, those of strays."""
+    by_class = rows.groupBy(*_CELL, "class").agg(F.count("*").alias("c"), F.sum("bytes").alias("y"))
+    cells = by_class.groupBy(*_CELL).agg(
+        F.count("*").alias("classes"), F.sum("c").alias("n"), F.sum("y").alias("size"), F.max(F.struct("c", "y", "class")).alias("most")
+    )
+    strays = [(F.col("n") - F.col("most.c")).alias("strays"), (F.col("size") - F.col("most.y")).alias("stray_size")]
+    return cells.where("classes > 1").select(*_CELL, F.col("most.class").alias("home"), "n", "size", *strays)
+
+
+def narrowed(rows: DataFrame, cells: DataFrame, texts: DataFrame, similarity: float, shared: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Rows and cells in which those above a block are split by shared rare shingles, where that makes fewer comparisons.
+
+    Shingles are taken by rising frequency among the texts of such cells. Those at the front that weigh more than
+    1 - similarity of a text are its prefix; texts that reach the similarity share a shingle of their prefixes.
+    """
+    large = cells.where((F.col("n") > BLOCK_ROWS) | (F.col("size") > BLOCK_BYTES))
+    inside = save(rows.join(large.select(*_CELL, F.col("n").alias("_n"), F.col("strays").alias("_s")), _CELL))
+    if inside.isEmpty():
+        discard(inside)
+        return rows, cells
+    pool = texts.join(inside.select("id").distinct().hint("merge"), "id", "left_semi")
+    order = texts.sparkSession.sparkContext.broadcast(frequencies(pool)[0])  # DF_BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
-        held_id, held = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                a, b, ta, tb = (part.column(i).to_pylist() for i in range(4))
-                weigh = lambda sc: (sc[0], sc[1] * idf[bucket_of(sc[0])])
-                right = shingles_of(tb)
-                sims = []
-                for i, (x, y) in enumerate(zip(a, right, strict=True)):
-                    if held_id != (x, len(ta[i])):
-                        held_id, held = (x, len(ta[i])), weigh(shingles_of([ta[i]])[0])
-                    sims.append(weighted_jaccard(held, weigh(y)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-    # Hints keep the strategy the same at every size; a leader with many pairs is split by AQE's skew join.
-    rows = save(pairs).join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
-    return save(rows.mapInArrow(run, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")))
-
-
-def links_across(rows: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` between members of different classes of open buckets, saved; one for each stray and class it links with.
-
-    A bucket's strays and members are cut into blocks of bounded rows and bytes. Each pair of blocks is
+            for part in slices(batch, 1):
+                out = []
+                for got in shingles_of(part.column(1).to_pylist()):
+                    x, w = _weigh(got, idf)
+                    by = np.lexsort((x, order.value[bucket_of(x)]))
+                    enough = np.cumsum(w[by]) > (1 - similarity) * w.sum() * (1 + 1e-9) + 1e-9
+                    out.append(x[by[: int(np.argmax(enough)) + 1 if enough.any() else len(by)]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "subs"])
+
+    prefixes = pool.select("id", "text").mapInArrow(run, "id long, subs array<long>")
+    split = save(inside.drop("sub").join(prefixes, "id").select("key", F.explode("subs").alias("sub"), "id", "class", "bytes", "_n", "_s"))
+    fine = save(_cells(split))
+    work = fine.groupBy("key").agg(F.sum(F.col("n").cast("double") * F.col("strays")).alias("work"))
+    known = inside.select("key", "_n", "_s").distinct().join(work, "key", "left")
+    less = save(known.where(F.coalesce("work", F.lit(0.0)) < F.col("_n").cast("double") * F.col("_s")).select("key"))
+    columns = [*_CELL, "id", "class", "bytes"]
+    rows = rows.join(less, "key", "left_anti").select(*columns).unionByName(split.join(less, "key", "left_semi").select(*columns))
+    cells = cells.join(less, "key", "left_anti").unionByName(fine.join(less, "key", "left_semi").select(*cells.columns))
+    return rows, cells
+
+
+def links_across(rows: DataFrame, cells: DataFrame, texts: DataFrame, similarity: float, shared: Broadcast) -> DataFrame:
+    """Links ``(a, b)`` between members of different classes of a cell, saved; one for each stray and class it links with.
+
+    A cell's strays and members are cut into blocks of bounded rows and bytes. Each pair of blocks is
     compared in one task, where each text comes once, so pairs are neither emitted nor shuffled.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(idf)
-    sized = texts.groupBy(F.col("id").alias("rep")).agg(F.sum(F.octet_length("text")).alias("bytes"))
-    rows = save(rows.join(sized.hint("merge"), "rep").withColumn("stray", F.col("rep_class") != F.col("leader_class")))
-    bucket = ["band", "key"]
-    cuts = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
-    one, size = F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("bytes")).otherwise(0))
-    blocks = rows.groupBy(*bucket).agg(cuts(F.count("*"), F.sum("bytes")).alias("n"), cuts(one, size).alias("m"))
-    rows = rows.join(blocks, bucket)
+    cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
+    rows = rows.join(cells.select(*_CELL, "home", cuts("n", "size").alias("n"), cuts("strays", "stray_size").alias("m")), _CELL)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    drawn = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    fetched = texts.select(F.col("id").alias("rep"), "text").hint("merge")
-    kept = [*bucket, "i", "j", "rep", "rep_class", "far"]
-    left = rows.where("stray").withColumn("i", drawn("stray", "m")).withColumn("j", each("n")).select(*kept).join(fetched, "rep")
-    right = rows.withColumn("j", drawn("member", "n")).withColumn("i", each("m")).select(*kept).join(fetched, "rep")
+    drawn = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    fetched = texts.select("id", "text").hint("merge")
+    kept = [*_CELL, "i", "j", "id", "class"]
+    left = rows.where("class <> home").withColumn("i", drawn("stray", "m")).withColumn("j", each("n")).select(*kept).join(fetched, "id")
+    right = rows.withColumn("j", drawn("member", "n")).withColumn("i", each("m")).select(*kept).join(fetched, "id")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a: list[int] = []
@@ -220,7 +285,7 @@ def links_across(rows: DataFrame, texts: DataFrame, idf: np.ndarray, similarity:
         if left.num_rows and right.num_rows:
             idf = shared.value
             mine, theirs = (shingles_of(t.column("text").to_pylist()) for t in (left, right))
-            (x, xc, xf), (y, yc, yf) = ([t.column(c).to_numpy() for c in ("rep", "rep_class", "far")] for t in (left, right))
+            (x, xc), (y, yc) = ([t.column(c).to_numpy() for c in ("id", "class")] for t in (left, right))
             vocabulary, at = np.unique(np.concatenate([k for k, _ in theirs]), return_inverse=True)
             weight = np.concatenate([n for _, n in theirs]) * idf[bucket_of(vocabulary)][at]
             starts = np.cumsum([0, *(len(k) for k, _ in theirs)])[:-1]
@@ -233,14 +298,13 @@ def links_across(rows: DataFrame, texts: DataFrame, idf: np.ndarray, similarity:
                 own[place[there]] = w[there]
                 low = np.add.reduceat(np.minimum(own[at], weight), starts)
                 own[place[there]] = 0
-                apart = np.nan_to_num(np.abs(yf.astype(np.float64) - float(np.nan if xf[i] is None else xf[i])))
-                hit = np.flatnonzero((low / (w.sum() + total - low) >= similarity - 1e-12) & (yc != xc[i]) & (apart <= 1 - similarity + 1e-9))
+                hit = np.flatnonzero((low / (w.sum() + total - low) >= similarity - 1e-12) & (yc != xc[i]))
                 hit = hit[np.unique(yc[hit], return_index=True)[1]]
                 a += [int(x[i])] * len(hit)
                 b += y[hit].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = [*bucket, "i", "j"]
+    keys = [*_CELL, "i", "j"]
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from one table: columns need ids of their own
     return save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long"))
 
@@ -254,60 +318,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     marked alike. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    idf = idf_table(docs)
-    signed = save(signatures(docs, idf))
-    reps = signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = save(reps)
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    members = save(rows.join(buckets, ["band", "key"]))
-
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where("id is not null")
-    texts = save(texts.join(ids.hint("merge"), "id", "left_semi"))
-
-    copies = signed.join(reps.select("same", "rep"), "same").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    known = verify(members.groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).where("a < b").select("a", "b"), texts, idf)
-    linked = lambda df: df.where(F.col("sim") >= similarity).select("a", "b")
-
-    def classed(df: DataFrame, classes: DataFrame, *cols: str) -> DataFrame:
-        for c in cols:
-            df = df.join(classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class")), c, "left")
-            df = df.withColumn(f"{c}_class", F.coalesce(f"{c}_class", c))
-        return df
-
-    classes = save(components(linked(known)))
-    others = members.select(F.col("leader").alias("a"), F.col("rep").alias("b")).where("a < b").distinct().join(known, ["a", "b"], "left_anti")
-    more = verify(classed(others, classes, "a", "b").where("a_class <> b_class").select("a", "b"), texts, idf)
-    known = known.unionByName(more)
-    classes = save(components(linked(known)))
-
-    def open_rows() -> DataFrame:
-        """Members, with their classes and distances to the leader, of the buckets that hold several classes."""
-        far = known.select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("far"))
-        placed = classed(members, classes, "rep", "leader").join(far, ["leader", "rep"], "left")
-        placed = placed.withColumn("far", F.when(F.col("rep") == F.col("leader"), 0.0).otherwise(F.col("far")))
-        strays = placed.where("rep_class <> leader_class")
-        return save(placed.join(strays.select("band", "key").distinct(), ["band", "key"], "left_semi"))
-
-    def across(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs of one bucket and different classes, not yet compared, that the distances to the leader allow."""
-        x, y = x.alias("x"), y.alias("y")
-        near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) <= 1 - similarity
-        pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep_class") != F.col("y.rep_class")) & near)
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        return pairs.join(known, ["a", "b"], "left_anti")
-
-    stray = "rep_class <> leader_class"
-    open_ = open_rows()
-    drawn = F.xxhash64("rep")
-    pivots = open_.groupBy("band", "key", F.pmod(drawn, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(F.struct("rep", "rep_class", "far"), drawn).alias("p"))
-    known = known.unionByName(verify(across(open_.where(stray), pivots.select("band", "key", "p.*")), texts, idf))
-    classes = save(components(linked(known)))
-
-    found = links_across(open_rows(), texts, idf, similarity)
-    classes = save(components(linked(known).union(found).union(copies)))
-
-    out = docs.select("doc_id").join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    out = out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(idf_table(docs))  # DF_BUCKETS numbers
+    signed = save(signatures(docs, shared))
+    total = signed.count()
+    # Each distinct text is a node, numbered once its row is written.
+    nodes = signed.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    nodes = save(nodes.withColumn("id", F.monotonically_increasing_id()))
+    rows = nodes.select("id", "bytes", F.explode("keys").alias("key"))
+    buckets = save(rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    members = save(hot_join(rows, buckets, "key", "n", total * BANDS).select("key", "id", "bytes", "leader"))
+
+    firsts = members.groupBy("id").agg(F.min("leader").alias("first"))
+    texts = docs.where("doc_id is not null").select("doc_id", _digest(), F.col("text").cast("binary").alias("text"))
+    wanted = nodes.join(firsts.select("id").hint("merge"), "id", "left_semi").select("doc_id", "same", "id")
+    texts = save(texts.join(wanted.hint("merge"), ["doc_id", "same"]).select("id", "text"))
+
+    near = verify(firsts.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")), texts, shared, similarity)
+    up = near.alias("x").join(near.alias("y"), F.col("x.a") == F.col("y.b"), "left").select(F.col("x.b").alias("id"), F.coalesce("y.a", "x.a").alias("top"))
+    others = members.where("leader < id").select("id", "leader").distinct().join(firsts, "id").where("first <> leader")
+    others = others.join(up, "id", "left").withColumnsRenamed({"top": "id_top"})
+    others = others.join(up.withColumnsRenamed({"id": "leader", "top": "leader_top"}), "leader", "left")
+    others = others.where(F.coalesce("id_top", "id") != F.coalesce("leader_top", "leader"))
+    more = verify(others.select(F.col("leader").alias("a"), F.col("id").alias("b")), texts, shared, similarity)
+    classes = components(near.union(more))
+
+    placed = members.join(classes.withColumnRenamed("node", "id"), "id", "left")
+    placed = save(placed.select("key", F.lit(0).cast("long").alias("sub"), "id", F.coalesce("component", "id").alias("class"), "bytes"))
+    cells = save(_cells(placed))
+    inside = save(hot_join(placed, cells.select("key", "n"), "key", "n", total * BANDS).select(*placed.columns))
+    found = links_across(*narrowed(inside, cells, texts, similarity, shared), texts, similarity, shared)
+
+    # A doc_id with several texts ties their nodes.
+    several = signed.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low < high").select("doc_id")
+    named = signed.join(several, "doc_id").join(nodes.select("same", "id"), "same").select("doc_id", "id")
+    ties = named.join(named.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    known = classes
+    classes = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found).union(ties))
+    discard(near, more, members, buckets, texts, placed, cells, inside, found, known)
+
+    grouped = nodes.join(classes.withColumnRenamed("node", "id"), "id", "left").where("component is not null or copies > 1")
+    grouped = grouped.select("same", "doc_id", "copies", F.coalesce("component", "id").alias("component"))
+    names = grouped.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    grouped = save(grouped.join(names, "component").select("same", "copies", "class_id"))
+    each = hot_join(signed.select("doc_id", "same"), grouped, "same", "copies", total).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = docs.select("doc_id").join(each, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
