@@ -3,8 +3,11 @@
 Each language has a tree of byte contexts of up to ORDER bytes, counted on a bounded sample of its
 labelled documents. A byte costs -log2 of its frequency in the longest known context, where a
 context with t bytes of q kinds gives (t+q) in the denominator and escapes with q/(t+q) to the next
-shorter one, down to all 256 bytes alike. The statistics are frozen, so a text's code length is the
-sum of one table entry per byte and can be cut anywhere; the language with the shortest code wins.
+shorter one, down to all 256 bytes alike. The statistics are frozen, so a text's code length is a
+sum over its bytes and can be cut anywhere; the language with the shortest code wins.
+
+The sum is kept as a dense table for pairs of bytes and corrections for the triples and quadruples of bytes that a
+language knows: a model takes room for what the samples hold, not for all contexts in all languages.
 """
 
 from __future__ import annotations
@@ -18,71 +21,149 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import slices
+
 ORDER = 3
-#: Documents of each language that the trees are counted on, those with the smallest hashes of their ids,
-#: and the longest text that may be one of them.
+#: Documents of each language that the trees are counted on, those with the smallest hashes of their ids, and the bytes
+#: of a document that are learned from. Longer documents are taken only where a language has too few others.
 SAMPLE, LONGEST = 300, 40_000
 UNKNOWN = "und"
-#: Documents scored at a time.
-_PART = 512
+#: Documents and bytes scored at a time.
+_PART, _BYTES = 512, 1 << 16
 
 
 def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
+def _grams(text: bytes) -> np.ndarray:
+    """The quadruples of bytes in a text between two runs of line ends, as numbers."""
+    lead = b"\n" * ORDER
+    x = np.frombuffer(lead + text + lead, dtype=np.uint8).astype(np.uint32)
+    return (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, at = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(at, weights=n)
+
+
+class _Sparse:
+    """Rows of (language, value) by key; values are columns of equal rows."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, int, np.ndarray]]) -> None:
+        every = np.concatenate([np.empty(0, dtype=np.uint32), *(k for k, _, _ in parts)])
+        lang = np.concatenate([np.empty(0, dtype=np.int32), *(np.full(len(k), i, dtype=np.int32) for k, i, _ in parts)])
+        value = np.concatenate([np.empty((0, parts[0][2].shape[1] if parts else 1)), *(v for _, _, v in parts)])
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.ends = np.append(first, len(every)).astype(np.int64)
+        self.lang, self.value = lang[order], value[order].astype(np.float32)
+
+    def add(self, out: np.ndarray, owner: np.ndarray, key: np.ndarray, *columns: tuple[int, np.ndarray | None]) -> None:
+        """Adds to ``out`` (owner, language) the values at the keys; a column counts where its mask says so."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == key)
+        at = at[hit]
+        n = self.ends[at + 1] - self.ends[at]
+        where = np.repeat(self.ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(owner[hit] * out.shape[1], n) + self.lang[where]
+        for column, mask in columns:
+            value = self.value[where, column]
+            if mask is not None:
+                value = value * np.repeat(mask[hit], n)
+            out += np.bincount(cell, weights=value, minlength=out.size).reshape(out.shape)
+
+
 class Model:
-    """Frozen code lengths: ``node`` maps three bytes of context to a row of ``cost``, by byte and language."""
+    """Frozen code lengths. ``pair`` has the cost of a byte after one byte, and ``escape`` that of leaving a context of
+    two, by language; ``triple`` and ``quad`` correct the sum where a language knows more."""
 
     def __init__(self, samples: dict[str, list[bytes]]) -> None:
-        self.langs = sorted(samples)
-        seen = np.zeros(256, dtype=bool)
-        for texts in samples.values():
+        counts, seen = {}, np.zeros(256, dtype=bool)
+        for lang, texts in samples.items():
             for t in texts:
                 seen[np.frombuffer(t, dtype=np.uint8)] = True
-        self.symbol = np.full(256, int(seen.sum()), dtype=np.int32)  # bytes never seen share one symbol
-        self.symbol[seen] = np.arange(seen.sum())
-        a = self.a = int(seen.sum()) + 1
-        grams = {}
-        for lang in self.langs:
-            texts = [np.full(ORDER, self.symbol[10], dtype=np.int64)]
-            for t in samples[lang]:
-                texts += [self.symbol[np.frombuffer(t, dtype=np.uint8)].astype(np.int64), texts[0]]
-            s = np.concatenate(texts)
-            grams[lang] = ((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:]
-        contexts = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(np.unique(g // a) for g in grams.values())]))
-        self.node = np.tile(np.arange(a * a, dtype=np.int32), a)  # an unknown context is its last two bytes
-        self.node[contexts] = a * a + np.arange(len(contexts), dtype=np.int32)
-        self.cost = np.empty(((a * a + len(contexts)) * a, max(1, len(self.langs))), dtype=np.float32)
-        uniform = np.full(a, 1 / 256)
+            counts[lang] = np.unique(np.concatenate([_grams(t) for t in texts]), return_counts=True)
+        self._build(counts, seen)
+
+    @classmethod
+    def counted(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], seen: np.ndarray) -> Model:
+        """From the quadruples of each language with their numbers, and which bytes the texts hold."""
+        model = cls.__new__(cls)
+        model._build(counts, seen)
+        return model
+
+    def _build(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], seen: np.ndarray) -> None:
+        self.langs = sorted(counts)
+        # Bytes never seen share one symbol, which is that of the line ends around a text if it holds none.
+        unseen = np.flatnonzero(~seen)
+        self.fold = np.arange(256, dtype=np.uint8)
+        if len(unseen):
+            self.fold[unseen] = 10 if not seen[10] else unseen[0]
+        self.pair = np.zeros((1 << 16, len(self.langs)), dtype=np.float32)
+        self.escape = np.zeros((1 << 16, len(self.langs)), dtype=np.float32)
+        triples, quads = [], []
         for i, lang in enumerate(self.langs):
-            g = grams[lang]
-            p0 = _blend(np.bincount(g % a, minlength=a)[None], uniform[None])
-            p1 = _blend(np.bincount(g % a**2, minlength=a**2).reshape(a, a), p0)
-            p2 = _blend(np.bincount(g % a**3, minlength=a**3).reshape(a * a, a), np.tile(p1, (a, 1)))
-            kind, n = np.unique(g, return_counts=True)
-            c3 = np.zeros((len(contexts), a))
-            c3[np.searchsorted(contexts, kind // a), kind % a] = n
-            p3 = _blend(c3, p2[contexts % (a * a)])
-            self.cost[:, i] = -np.log2(np.concatenate([p2, p3])).ravel()
+            g4, n4 = counts[lang][0].astype(np.uint32), counts[lang][1].astype(np.float64)
+            g3, n3 = _summed(g4 & 0xFFFFFF, n4)
+            one = np.bincount(g4 & 0xFF, weights=n4, minlength=256)
+            two = np.bincount(g4 & 0xFFFF, weights=n4, minlength=1 << 16).reshape(256, 256)
+            p1 = _blend(two, _blend(one[None], np.full((1, 256), 1 / 256)))
+            c3, t3, q3 = self._contexts(g4 >> 8, n4)
+            c2, t2, q2 = self._contexts(g3 >> 8, n3)
+            self.pair[:, i] = -np.log2(p1).ravel()
+            self.escape[c2, i] = -np.log2(q2 / (t2 + q2))
+            at2 = np.searchsorted(c2, g3 >> 8)
+            cost3 = -np.log2(n3 / (t2 + q2)[at2])
+            keys = np.union1d(g3, c3)
+            value = np.zeros((len(keys), 2))
+            value[np.searchsorted(keys, g3), 0] = cost3 - self.pair[g3 & 0xFFFF, i] - self.escape[g3 >> 8, i]
+            value[np.searchsorted(keys, c3), 1] = leave = -np.log2(q3 / (t3 + q3))
+            triples.append((keys, i, value))
+            at3 = np.searchsorted(c3, g4 >> 8)
+            cost4 = -np.log2(n4 / (t3 + q3)[at3])
+            quads.append((g4, i, (cost4 - cost3[np.searchsorted(g3, g4 & 0xFFFFFF)] - leave[at3])[:, None]))
+        self.triple, self.quad = _Sparse(triples), _Sparse(quads)
+
+    @staticmethod
+    def _contexts(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts, how many bytes followed each, and of how many kinds."""
+        kinds, at, q = np.unique(context, return_inverse=True, return_counts=True)
+        return kinds, np.bincount(at, weights=n), q.astype(np.float64)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths, a row per text and a column per language."""
         out = np.zeros((len(texts), max(1, len(self.langs))))
-        full = [i for i, t in enumerate(texts) if t]
-        if not full or not self.langs:
+        if not self.langs:
             return out
-        lead = b"\n" * ORDER
-        raw = np.frombuffer(lead + lead.join(texts[i] for i in full), dtype=np.uint8)
-        s = self.symbol[raw]
-        a = self.a
-        context = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-        index = self.node[context] * np.int64(a) + s[3:]
-        ends = np.cumsum([len(texts[i]) + ORDER for i in full])
-        starts = np.concatenate([[0], ends[:-1]])
-        for i, at, end in zip(full, starts.tolist(), (ends - ORDER).tolist(), strict=True):
-            for cut in range(at, end, 1 << 20):
-                out[i] += self.cost[index[cut : min(end, cut + (1 << 20))]].sum(axis=0, dtype=np.float64)
+        lead, at = b"\n" * ORDER, 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= _BYTES):
+                size += len(texts[stop])
+                stop += 1
+            raw = self.fold[np.frombuffer(lead + lead.join(texts[at:stop]), dtype=np.uint8)]
+            held = np.array([len(t) for t in texts[at:stop]])
+            owner = np.repeat(np.arange(len(held)), held)
+            place = np.arange(len(owner)) + ORDER * (owner + 1)
+            last = np.cumsum(held) - 1
+            sums = np.zeros((len(held), len(self.langs)))
+            for cut in range(0, len(owner), _BYTES):
+                i, who = place[cut : cut + _BYTES], owner[cut : cut + _BYTES]
+                if not len(i):
+                    continue
+                x = [raw[i - k].astype(np.uint32) for k in range(ORDER, -1, -1)]
+                two, before = (x[2] << 8) | x[3], (x[1] << 8) | x[2]
+                new = np.flatnonzero(np.diff(who, prepend=-1))
+                base = self.pair[two].astype(np.float64) + self.escape[before]
+                sums[who[new]] += np.add.reduceat(base, new, axis=0)
+                self.triple.add(sums, who, (x[1] << 16) | two, (0, None))
+                self.triple.add(sums, who, (x[0] << 16) | before, (1, None))
+                self.quad.add(sums, who, (x[0] << 24) | (x[1] << 16) | two, (0, None))
+            out[at:stop], at = sums, stop
         return out
 
 
@@ -94,21 +175,50 @@ def _blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, known, escape * below)
 
 
+def sample_of(docs: DataFrame, sample: int, longest: int) -> DataFrame:
+    """At most ``sample`` rows (lang, text) of each language, the texts cut to ``longest`` bytes."""
+    long, drawn = (F.octet_length("text") > longest).alias("long"), F.xxhash64("doc_id").alias("h")
+    rows = docs.where(remainder(F.col("doc_id")) != 2).where("lang is not null and octet_length(text) > 0")
+    order = Window.partitionBy("lang").orderBy("long", "h")
+    last = rows.select("lang", long, drawn).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    last = last.groupBy("lang").agg(F.max(F.struct("long", "h")).alias("last"))
+    near = rows.select("lang", long, drawn, F.substring(F.col("text").cast("binary"), 1, longest).alias("text")).join(last, "lang")
+    near = near.where(F.struct("long", "h") <= F.col("last"))  # `sample` rows a language, but for repeated ids
+    order = Window.partitionBy("lang").orderBy("long", "h", "text")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Trees of each language in ``lang``, from at most ``sample`` documents of at most ``longest`` bytes.
+    """Trees of each language in ``lang``, from at most ``sample`` documents and ``longest`` bytes of each.
 
-    Only documents with a lang and a text whose crc32(doc_id) mod 4 is not 2 are learned from.
+    Only documents with a lang and a text whose crc32(doc_id) mod 4 is not 2 are learned from. The quadruples of bytes
+    are counted in the tasks; what comes to the driver are their distinct ones by language.
     """
-    rows = docs.select("doc_id", "lang", F.octet_length("text").alias("n")).where(remainder(F.col("doc_id")) != 2)
-    rows = rows.where(f"lang is not null and n between 1 and {int(longest)}")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "n")
-    picked = rows.withColumn("r", F.row_number().over(order)).where(f"r <= {int(sample)}").select("doc_id", "lang", "n")
-    texts = docs.select("doc_id", "lang", "text").where("lang is not null")
-    texts = texts.join(F.broadcast(picked.drop("n").distinct()), ["doc_id", "lang"]).where(F.octet_length("text").between(1, longest))  # `sample` rows a language
-    samples: dict[str, list[bytes]] = {}
-    for lang, text in sorted((r["lang"], r["text"]) for r in texts.select("lang", "text").collect()):
-        samples.setdefault(lang, []).append(text.encode())
-    return Model(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams, n = np.unique(_grams(text), return_counts=True)
+                held = np.unique(np.frombuffer(text, dtype=np.uint8)).astype(np.int64) - 256  # below 0: bytes of texts
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * (len(grams) + len(held)), pa.string()), pa.array(np.concatenate([grams.astype(np.int64), held])), pa.array(np.concatenate([n, np.ones(len(held), dtype=np.int64)]))],
+                    ["lang", "gram", "n"],
+                )
+
+    rows = sample_of(docs, sample, longest).mapInArrow(run, "lang string, gram long, n long")
+    table = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    counts, seen = {}, np.zeros(256, dtype=bool)
+    seen[gram[gram < 0] + 256] = True
+    for i, name in enumerate(names):
+        own = np.flatnonzero((lang == i) & (gram >= 0))
+        own = own[np.argsort(gram[own])]
+        counts[name] = gram[own], n[own]
+    return Model.counted(counts, seen)
 
 
 _ASCII = re.compile(rb"[A-Za-z]")
@@ -133,13 +243,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def scorer(docs: DataFrame, model: Model, keep: list[str]):
     """A function for mapInArrow that puts lang_pred and score after the columns ``keep``, from ``text`` in bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by what the sample's texts hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, _PART):
-                part = batch.slice(at, _PART)
+            for part in slices(batch, batch.schema.get_field_index("text"), _PART):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 sure = [bool(t) and bool(model.langs) and _lettered(t) for t in texts]
                 bits = model.bits([t if ok else b"" for t, ok in zip(texts, sure, strict=True)])

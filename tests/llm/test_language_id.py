@@ -74,3 +74,37 @@ def test_edges(spark, odd_docs, no_docs):
     assert L.identify(odd_docs).count() == odd_docs.count()
     assert L.identify(no_docs).count() == 0
     assert {r["lang_pred"] for r in L.identify(odd_docs, L.Model({})).collect()} == {"und"}
+
+
+def test_query_matches_slow_bits(spark, documents):
+    """Predictions and scores of the query's rows are those of code lengths counted in dictionaries."""
+    docs = documents.limit(60)
+    samples = {}
+    for r in L.sample_of(documents, 4, 300).collect():
+        samples.setdefault(r["lang"], []).append(bytes(r["text"]))
+    got = {r["doc_id"]: r for r in L.identify(docs, L.fit(documents, 4, 300)).collect()}
+    for r in docs.collect():
+        if got[r["doc_id"]]["lang_pred"] == "und":
+            continue
+        bits = slow_bits(samples, r["text"].encode()[:10**6])
+        assert bits[got[r["doc_id"]]["lang_pred"]] <= min(bits.values()) + 1e-3 * len(r["text"])
+        score = 1 / sum(2.0 ** max(-1000, min(bits.values()) - b) for b in bits.values())
+        assert abs(got[r["doc_id"]]["score"] - score) < 0.05
+
+
+def test_sample_is_bounded_for_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, f"text number {i}", "en") for i in range(2000)], "doc_id long, text string, lang string")
+    assert L.sample_of(rows, 300, 1000).count() == 300
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = spark.createDataFrame([(i, "wort " * 500 if i < 9 else "word " * 3, "de" if i < 9 else "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert L.fit(rows, 300, 100).langs == ["de", "en"]
+
+
+def test_model_takes_room_for_what_it_knows():
+    rng = np.random.default_rng(2)
+    samples = {f"l{k}": [bytes(rng.integers(32, 255, 200).astype(np.uint8)) for _ in range(20)] for k in range(60)}
+    model = L.Model(samples)
+    dense = model.pair.nbytes + model.escape.nbytes
+    assert dense <= 60 * (1 << 19) and model.triple.value.nbytes + model.quad.value.nbytes < 60 * 20 * 206 * 30
