@@ -241,8 +241,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(scorer(docs, model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def scorer(docs: DataFrame, model: Model, keep: list[str]):
-    """A function for mapInArrow that puts lang_pred and score after the columns ``keep``, from ``text`` in bytes."""
+def scorer(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")):
+    """A function for mapInArrow that puts the predicted language and its score after the columns ``keep``, from ``text`` in bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by what the sample's texts hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +256,6 @@ def scorer(docs: DataFrame, model: Model, keep: list[str]):
                 score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 langs = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, sure, strict=True)]
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(np.where(sure, score, 0.0))], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(np.where(sure, score, 0.0))], [*keep, *names])
 
     return run

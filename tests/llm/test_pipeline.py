@@ -38,3 +38,30 @@ def test_each_stage_against_brute_force(spark, sf, documents):
         seen[name], docs = len(after), out
     assert seen["packing"] > 0
     assert P.run(spark, sf).count() == seen["packing"]
+
+
+def test_stages_on_odd_rows(spark, sf, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, clashing names, an empty table, stage by stage."""
+    from pyspark.sql import functions as F
+
+    docs = odd_docs
+    for c in ("lang_pred", "_lang_pred", "text_sha256", "number", "none", "copies", "rate", "seed", "l", "r", "class_id", "row_hash"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    stages = dict(P.STAGES)
+    for name in ("language_id", "exact_dedup", "near_dedup", "mixing"):
+        out = save(stages[name](spark, docs, sf))
+        assert out.columns == docs.columns
+        none = stages[name](spark, no_docs, sf)
+        assert none.count() == 0 and none.columns == no_docs.columns
+        if name == "language_id":
+            assert {r["doc_id"] for r in out.collect()} == {None, 4, 5, 6, 7, 8, 10}
+            assert out.where("doc_id = 4").count() == 2
+        if name == "exact_dedup":
+            assert sorted(r["doc_id"] for r in out.collect()) == [2, 3, 5, 7, 8, 9, 10]
+            again = stages[name](spark, docs.where("doc_id = 4"), sf)
+            assert [r["doc_id"] for r in again.collect()] == [4]
+        if name == "near_dedup":
+            assert {r["doc_id"] for r in out.collect()} == {None, 1, 2, 3, 4, 6, 9, 10}
+    pieces = stages["packing"](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in pieces} == {None, *range(1, 11)}
+    assert stages["packing"](spark, no_docs, sf).count() == 0
