@@ -7,7 +7,8 @@ shorter one, down to all 256 bytes alike. The statistics are frozen, so a text's
 sum over its bytes and can be cut anywhere; the language with the shortest code wins.
 
 The sum is kept as a dense table for pairs of bytes and corrections for the triples and quadruples of bytes that a
-language knows: a model takes room for what the samples hold, not for all contexts in all languages.
+language knows: a model takes room for what the samples hold, not for all contexts in all languages. It grows with the
+number of languages in ``lang`` (at most 0.5 MB for each one's pairs).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import save, slices
 
 ORDER = 3
 #: Documents of each language that the trees are counted on, those with the smallest hashes of their ids, and the bytes
@@ -30,6 +31,10 @@ SAMPLE, LONGEST = 300, 40_000
 UNKNOWN = "und"
 #: Documents and bytes scored at a time.
 _PART, _BYTES = 512, 1 << 16
+#: Tables of more cells are searched by halving instead of being laid out; it makes no difference to the result.
+MOST_CELLS = 1 << 22
+#: Rows, one for each language, that are broadcast.
+MOST_BROADCAST = 10_000
 
 
 def remainder(doc_id: Column) -> Column:
@@ -48,38 +53,56 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(at, weights=n)
 
 
-class _Sparse:
-    """Rows of (language, value) by key; values are columns of equal rows."""
+class _Rows:
+    """Rows of a value for each language, by key. Few rows are kept whole, many as (language, value) pairs."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, int, np.ndarray]]) -> None:
-        every = np.concatenate([np.empty(0, dtype=np.uint32), *(k for k, _, _ in parts)])
-        lang = np.concatenate([np.empty(0, dtype=np.int32), *(np.full(len(k), i, dtype=np.int32) for k, i, _ in parts)])
-        value = np.concatenate([np.empty((0, parts[0][2].shape[1] if parts else 1)), *(v for _, _, v in parts)])
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], domain: int) -> None:
+        every = np.concatenate([np.empty(0, dtype=np.int64), *(k for k, _ in parts)])
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        value = np.concatenate([np.empty(0), *(v for _, v in parts)]).astype(np.float32)
         order = np.argsort(every, kind="stable")
         self.keys, first = np.unique(every[order], return_index=True)
+        self.domain, self.langs = domain, len(parts)
         self.ends = np.append(first, len(every)).astype(np.int64)
-        self.lang, self.value = lang[order], value[order].astype(np.float32)
-
-    def add(self, out: np.ndarray, owner: np.ndarray, key: np.ndarray, *columns: tuple[int, np.ndarray | None]) -> None:
-        """Adds to ``out`` (owner, language) the values at the keys; a column counts where its mask says so."""
-        if not len(self.keys):
-            return
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == key)
-        at = at[hit]
-        n = self.ends[at + 1] - self.ends[at]
-        where = np.repeat(self.ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cell = np.repeat(owner[hit] * out.shape[1], n) + self.lang[where]
-        for column, mask in columns:
-            value = self.value[where, column]
-            if mask is not None:
-                value = value * np.repeat(mask[hit], n)
-            out += np.bincount(cell, weights=value, minlength=out.size).reshape(out.shape)
+        self.lang, self.value = lang[order], value[order]
+        self.__setstate__(self.__getstate__())
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "whole")}
+
+    def __setstate__(self, state: dict) -> None:
+        """What speeds up lookups is made where it is used, so it doesn't travel."""
+        self.__dict__.update(state)
+        self.table = self.whole = None
+        if self.domain <= MOST_CELLS:
+            self.table = np.full(self.domain, len(self.keys), dtype=np.int32)
+            self.table[self.keys] = np.arange(len(self.keys))
+        if (len(self.keys) + 1) * self.langs <= MOST_CELLS:
+            self.whole = np.zeros((len(self.keys) + 1, self.langs), dtype=np.float32)
+            self.whole[np.repeat(np.arange(len(self.keys)), np.diff(self.ends)), self.lang] = self.value
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The row of each key, and the number of rows for unknown ones."""
+        if self.table is not None:
+            return self.table[key]
+        at = np.searchsorted(self.keys, key)
+        at[self.keys[np.minimum(at, len(self.keys) - 1)] != key] = len(self.keys)
+        return at
+
+    def sums(self, row: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the rows by owner, who ascend from 0 to n - 1 and each have some."""
+        if self.whole is not None:
+            return np.add.reduceat(self.whole[row], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0, dtype=np.float64)
+        hit = np.flatnonzero(row < len(self.keys))
+        size = self.ends[row[hit] + 1] - self.ends[row[hit]]
+        where = np.repeat(self.ends[row[hit]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        cell = np.repeat(owner[hit] * self.langs, size) + self.lang[where]
+        return np.bincount(cell, weights=self.value[where], minlength=n * self.langs).reshape(n, self.langs)
 
 
 class Model:
     """Frozen code lengths. ``pair`` has the cost of a byte after one byte, and ``escape`` that of leaving a context of
-    two, by language; ``triple`` and ``quad`` correct the sum where a language knows more."""
+    two, by language; ``triple``, ``leave`` (of a context of three) and ``quad`` correct the sum where a language knows more."""
 
     def __init__(self, samples: dict[str, list[bytes]]) -> None:
         counts, seen = {}, np.zeros(256, dtype=bool)
@@ -98,35 +121,36 @@ class Model:
 
     def _build(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], seen: np.ndarray) -> None:
         self.langs = sorted(counts)
-        # Bytes never seen share one symbol, which is that of the line ends around a text if it holds none.
-        unseen = np.flatnonzero(~seen)
-        self.fold = np.arange(256, dtype=np.uint8)
-        if len(unseen):
-            self.fold[unseen] = 10 if not seen[10] else unseen[0]
-        self.pair = np.zeros((1 << 16, len(self.langs)), dtype=np.float32)
-        self.escape = np.zeros((1 << 16, len(self.langs)), dtype=np.float32)
-        triples, quads = [], []
-        for i, lang in enumerate(self.langs):
-            g4, n4 = counts[lang][0].astype(np.uint32), counts[lang][1].astype(np.float64)
-            g3, n3 = _summed(g4 & 0xFFFFFF, n4)
-            one = np.bincount(g4 & 0xFF, weights=n4, minlength=256)
-            two = np.bincount(g4 & 0xFFFF, weights=n4, minlength=1 << 16).reshape(256, 256)
-            p1 = _blend(two, _blend(one[None], np.full((1, 256), 1 / 256)))
-            c3, t3, q3 = self._contexts(g4 >> 8, n4)
-            c2, t2, q2 = self._contexts(g3 >> 8, n3)
-            self.pair[:, i] = -np.log2(p1).ravel()
-            self.escape[c2, i] = -np.log2(q2 / (t2 + q2))
-            at2 = np.searchsorted(c2, g3 >> 8)
-            cost3 = -np.log2(n3 / (t2 + q2)[at2])
-            keys = np.union1d(g3, c3)
-            value = np.zeros((len(keys), 2))
-            value[np.searchsorted(keys, g3), 0] = cost3 - self.pair[g3 & 0xFFFF, i] - self.escape[g3 >> 8, i]
-            value[np.searchsorted(keys, c3), 1] = leave = -np.log2(q3 / (t3 + q3))
-            triples.append((keys, i, value))
-            at3 = np.searchsorted(c3, g4 >> 8)
-            cost4 = -np.log2(n4 / (t3 + q3)[at3])
-            quads.append((g4, i, (cost4 - cost3[np.searchsorted(g3, g4 & 0xFFFFFF)] - leave[at3])[:, None]))
-        self.triple, self.quad = _Sparse(triples), _Sparse(quads)
+        # Bytes never seen share one symbol, which is also that of the line ends around a text if it holds none.
+        a = self.a = int(seen.sum()) + 1
+        self.symbol = np.full(256, a - 1, dtype=np.int64)
+        self.symbol[seen] = np.arange(a - 1)
+        pairs, escapes, triples, leaves, quads, known = [], [], [], [], [], []
+        for lang in self.langs:
+            g, n4 = counts[lang][0].astype(np.int64), counts[lang][1].astype(np.float64)
+            s = [self.symbol[(g >> k) & 0xFF] for k in (24, 16, 8, 0)]
+            g3, n3 = _summed((s[1] * a + s[2]) * a + s[3], n4)
+            one = np.bincount(s[3], weights=n4, minlength=a)
+            two = np.bincount(s[2] * a + s[3], weights=n4, minlength=a * a).reshape(a, a)
+            pair = -np.log2(_blend(two, _blend(one[None], np.full((1, a), 1 / 256)))).ravel()
+            before = (s[0] * a + s[1]) * a + s[2]
+            (c3, t3, q3), (c2, t2, q2) = self._contexts(before, n4), self._contexts(g3 // a, n3)
+            escape = np.zeros(a * a)
+            escape[c2] = -np.log2(q2 / (t2 + q2))
+            cost3 = -np.log2(n3 / (t2 + q2)[np.searchsorted(c2, g3 // a)])
+            leave = -np.log2(q3 / (t3 + q3))
+            at3 = np.searchsorted(c3, before)
+            last = cost3[np.searchsorted(g3, (s[1] * a + s[2]) * a + s[3])]
+            pairs.append(pair), escapes.append(escape)
+            triples.append((g3, cost3 - pair[g3 % (a * a)] - escape[g3 // a]))
+            leaves.append((c3, leave))
+            known.append(c3)
+            quads.append((before, s[3], -np.log2(n4 / (t3 + q3)[at3]) - last - leave[at3]))
+        self.pair, self.escape = (np.array(x, dtype=np.float32).reshape(len(x), a * a).T.copy() for x in (pairs, escapes))
+        self.triple, self.leave = _Rows(triples, a**3), _Rows(leaves, a**3)
+        # A quadruple is named by the row of its context and its last byte.
+        contexts = self.leave.keys
+        self.quad = _Rows([(np.searchsorted(contexts, c) * a + x, v) for c, x, v in quads], (len(contexts) + 1) * a)
 
     @staticmethod
     def _contexts(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,31 +163,30 @@ class Model:
         out = np.zeros((len(texts), max(1, len(self.langs))))
         if not self.langs:
             return out
-        lead, at = b"\n" * ORDER, 0
+        lead, a, at = b"\n" * ORDER, self.a, 0
         while at < len(texts):
             stop, size = at, 0
             while stop < len(texts) and (stop == at or size + len(texts[stop]) <= _BYTES):
                 size += len(texts[stop])
                 stop += 1
-            raw = self.fold[np.frombuffer(lead + lead.join(texts[at:stop]), dtype=np.uint8)]
-            held = np.array([len(t) for t in texts[at:stop]])
-            owner = np.repeat(np.arange(len(held)), held)
-            place = np.arange(len(owner)) + ORDER * (owner + 1)
-            last = np.cumsum(held) - 1
-            sums = np.zeros((len(held), len(self.langs)))
+            raw = np.frombuffer(lead + lead.join(texts[at:stop]), dtype=np.uint8)
+            owner = np.repeat(np.arange(at, stop), [len(t) for t in texts[at:stop]])
+            place = np.arange(len(owner)) + ORDER * (owner - at + 1)
             for cut in range(0, len(owner), _BYTES):
                 i, who = place[cut : cut + _BYTES], owner[cut : cut + _BYTES]
-                if not len(i):
-                    continue
-                x = [raw[i - k].astype(np.uint32) for k in range(ORDER, -1, -1)]
-                two, before = (x[2] << 8) | x[3], (x[1] << 8) | x[2]
-                new = np.flatnonzero(np.diff(who, prepend=-1))
-                base = self.pair[two].astype(np.float64) + self.escape[before]
-                sums[who[new]] += np.add.reduceat(base, new, axis=0)
-                self.triple.add(sums, who, (x[1] << 16) | two, (0, None))
-                self.triple.add(sums, who, (x[0] << 16) | before, (1, None))
-                self.quad.add(sums, who, (x[0] << 24) | (x[1] << 16) | two, (0, None))
-            out[at:stop], at = sums, stop
+                names, who = np.unique(who, return_inverse=True)
+                x = self.symbol[raw[int(i[0]) - ORDER : int(i[-1]) + 1]]
+                i = i - i[0] + ORDER
+                two = x[:-1] * a + x[1:]  # place p holds the pair from p on
+                three = two[:-1] * a + x[2:]
+                context = self.leave.find(three[i - 3])
+                parts = (self.triple, self.triple.find(three[i - 2])), (self.leave, context), (self.quad, self.quad.find(context * np.int64(a) + x[i]))
+                base = self.pair[two[i - 1]] + self.escape[two[i - 2]]
+                sums = np.add.reduceat(base, np.flatnonzero(np.diff(who, prepend=-1)), axis=0, dtype=np.float64)
+                for rows, row in parts:
+                    sums += rows.sums(row, who, len(names))
+                out[names] += sums
+            at = stop
         return out
 
 
@@ -181,8 +204,9 @@ def sample_of(docs: DataFrame, sample: int, longest: int) -> DataFrame:
     rows = docs.where(remainder(F.col("doc_id")) != 2).where("lang is not null and octet_length(text) > 0")
     order = Window.partitionBy("lang").orderBy("long", "h")
     last = rows.select("lang", long, drawn).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    last = last.groupBy("lang").agg(F.max(F.struct("long", "h")).alias("last"))
-    near = rows.select("lang", long, drawn, F.substring(F.col("text").cast("binary"), 1, longest).alias("text")).join(last, "lang")
+    last = save(last.groupBy("lang").agg(F.max(F.struct("long", "h")).alias("last")))
+    few = last.count() <= MOST_BROADCAST  # else texts are shuffled by language
+    near = rows.select("lang", long, drawn, F.substring(F.col("text").cast("binary"), 1, longest).alias("text")).join(F.broadcast(last) if few else last, "lang")
     near = near.where(F.struct("long", "h") <= F.col("last"))  # `sample` rows a language, but for repeated ids
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "text")

@@ -106,5 +106,14 @@ def test_model_takes_room_for_what_it_knows():
     rng = np.random.default_rng(2)
     samples = {f"l{k}": [bytes(rng.integers(32, 255, 200).astype(np.uint8)) for _ in range(20)] for k in range(60)}
     model = L.Model(samples)
-    dense = model.pair.nbytes + model.escape.nbytes
-    assert dense <= 60 * (1 << 19) and model.triple.value.nbytes + model.quad.value.nbytes < 60 * 20 * 206 * 30
+    held = sum(x.nbytes for r in (model.triple, model.leave, model.quad) for x in (r.keys, r.ends, r.lang, r.value))
+    assert held < 60 * 20 * 206 * 3 * 40 and model.pair.nbytes + model.escape.nbytes <= 60 * (1 << 19)
+
+
+def test_searched_tables_give_the_same(monkeypatch):
+    samples = {"a": [b"abracadabra zzz", b"banana band"], "b": ["schön über öl".encode(), b"abc"], "c": [b"x"]}
+    texts = ["abrakadabra über q".encode(), b"banana", b"", b"\x00\xff!"]
+    want = L.Model(samples).bits(texts)
+    monkeypatch.setattr(L, "MOST_CELLS", 0)
+    monkeypatch.setattr(L, "_BYTES", 7)
+    assert np.allclose(L.Model(samples).bits(texts), want)
