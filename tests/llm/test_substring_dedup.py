@@ -52,6 +52,37 @@ def test_shared_passages(spark, monkeypatch):
     assert got(B.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))) == want(docs)
 
 
+def test_hot_minimisers_and_strings_of_many_places(spark, monkeypatch):
+    """A common phrase in ever other words, a common passage, and repeated ids, with every class hot and strings told apart early."""
+    monkeypatch.setattr(B, "MANY", 3)
+    monkeypatch.setattr(B, "HOT", 0.0005)
+    monkeypatch.setattr(B, "CELLS", 640)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    line, phrase = [word() for _ in range(30)], ["the", "common", "words"]
+    docs = []
+    for i in range(300):
+        w = [word() for _ in range(rng.randrange(20))]
+        for _ in range(3):
+            w += phrase + [word() for _ in range(rng.randrange(9))]
+        if i % 3 == 0:
+            w += line
+        docs.append((i, " ".join(w + [word()])))
+    docs += [(17, " ".join(line + ["again"])), (17, docs[20][1]), (None, " ".join(line))]
+    assert got(B.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))) == want(docs)
+
+
+def test_a_hot_string_sends_one_place_to_its_bucket():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(20)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([0] * 1000), pa.array([text] * 1000)], ["doc_id", "row", "text"])
+    sent = list(B.send(iter([batch]), 64, np.zeros(B.CLASSES, dtype=bool)))
+    blobs = [b for x in sent for b in x.column(1).to_pylist() if b]
+    assert all(B._unpack(b)[1].tolist() == [1] * len(B._unpack(b)[1]) and B._unpack(b)[3].all() for b in blobs)
+    assert sum(1 for x in sent for p in x.column(3).to_pylist() if p) == sum(len(B._unpack(b)[1]) for b in blobs)
+
+
 def test_super_k_mers_cover_each_window_once():
     rng = np.random.default_rng(0)
     owner = np.repeat(np.arange(40), rng.integers(0, 60, 40))
