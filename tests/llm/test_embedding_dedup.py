@@ -74,3 +74,47 @@ def test_edges(spark):
     assert got == {**{i: (0, i, True) for i in range(1, 8)}, 8: (1, 8, True), 9: (1, 8, False), None: (0, None, True), 10: (1, 10, True), 11: (1, 10, False), 12: (1, 12, True), 13: (1, 12, False)}
     assert E.link_vectors(df.limit(0)).count() == 0
     assert E.link_vectors(df.where("vec_id < 4")).count() == 3
+
+
+def brute_repeated(rows, cosine=0.98):
+    """n_links and component by vec_id: links to rows of other ids, added up over an id's rows; an id's rows are one."""
+    links, root = {r[0]: 0 for r in rows}, {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            x, y = np.array(a[1], dtype=float), np.array(b[1], dtype=float)
+            if a[0] != b[0] and a[2] == b[2] and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= cosine:
+                links[a[0]] += 1
+                p, q = sorted((find(a[0]), find(b[0])))
+                root[q] = p
+    return {i: (links[i], find(i)) for i in links}
+
+
+def test_repeated_ids(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.005], 0), (5, [0.0, 1.0], 0), (5, [0.0, 1.0], 1), (6, [0.0, 2.0], 0), (7, [0.0, 3.0], 1), (7, [0.0, 3.0], 1), (8, [-1.0, 0.1], 2), (8, [-1.0, 0.1], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.link_vectors(df).collect()}
+    assert got == brute_repeated(rows) and got[1][0] == 2 and got[8] == (0, 8)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(5, 8))
+    rows = [(int(rng.integers(60)), [float(x) for x in centers[i % 5] + 0.08 * rng.normal(size=8)], int(rng.integers(3))) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(E, "MOST_BROADCAST", 0)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.link_vectors(df).collect()} == brute_repeated(rows)
+
+
+def test_lists_of_several_lengths(spark, monkeypatch):
+    """Each pair is met once, whichever list probes; lengths with and without an index."""
+    monkeypatch.setattr(E, "INDEXED", 2)
+    rng = np.random.default_rng(7)
+    rows = []
+    for dim, n in ((6, 900), (5, 300), (3, 60)):
+        centers = rng.normal(size=(12, dim))
+        rows += [(len(rows) + i, [float(x) for x in centers[i % 12] + 0.1 * rng.normal(size=dim)], 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert told(E.link_vectors(df)) == brute(rows)
