@@ -12,25 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, save
+from .common import COMMON, SHARE, hot_join, let, save
 
 #: Bytes of a block.
 BLOCK = 4096
 #: Hash ranges in which blocks or pairs are sorted: names carry the range above RANK_BITS bits.
 RANGES, RANK_BITS = 4096, 44
-#: A value is common with more rows than COMMON and than a SHARE of the documents.
-COMMON, SHARE = 1000, 1e-4
 
-
-def _named(rows: DataFrame, keys: list[str], name: str, n_docs: int) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], name: str, total: int) -> DataFrame:
     """``rows`` with an integer in place of ``keys``: one for each distinct value, equal for equal values only.
 
     Rows go to hash ranges, are sorted there, and the rank is the name: one shuffle. Common values
-    are found by counting hashes, of which there are a bounded number. Their rows stay out of that shuffle:
+    are found by counting hashes; those of more than a share of the ``total`` rows are a bounded number. Their rows stay out of that shuffle:
     their distinct values, combined in each task first, are ranked alone and joined back.
     """
     rows = rows.withColumn("_h", F.xxhash64(*keys))
-    common = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(COMMON, int(n_docs * SHARE)))
+    common = rows.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > max(COMMON, int(total * SHARE)))
     rows = rows.join(F.broadcast(common.select("_h", F.lit(True).alias("_common"))), "_h", "left")  # some 1 / SHARE hashes
     rest = [c for c in rows.columns if c not in (*keys, "_h", "_common")]
     spread = F.pmod(F.col("_h"), F.lit(RANGES))
@@ -59,13 +56,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_blocks = F.greatest(F.lit(1), F.ceil(size / BLOCK).cast("int"))
     cut = let(F.col("raw"), lambda raw: F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK))))
     blocks = base.select("doc_id", F.xxhash64("raw").alias("row_hash"), n_blocks.alias("n"), F.posexplode(cut).alias("pos", "block"))
-    n_docs = docs.count()
-    level = save(_named(blocks, ["block"], "name", n_docs))
+    first = base.agg(F.count("*").alias("docs"), F.sum(n_blocks.cast("long")).alias("blocks")).first()
+    total = first["blocks"] or 0
+    level = save(_named(blocks, ["block"], "name", total))
     done, depth = [], 0
     while True:
         done.append(level.where("n = 1").select("doc_id", "row_hash", F.lit(depth).alias("depth"), "name"))
         level = level.where("n > 1")
-        if level.isEmpty():
+        total = level.count()
+        if not total:
             break
         # Rows of one doc_id and equal hash that are not the same text would mix here; a pair's
         # sides are therefore taken as sets of one value, which equal texts always give.
@@ -75,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.min(F.when(even, F.col("name"))).alias("first"), F.min(F.when(odd, F.col("name"))).alias("second")
         )
         pairs = pairs.withColumn("n", F.ceil(F.col("n") / 2).cast("int"))
-        level, depth = save(_named(pairs, ["first", "second"], "name", n_docs)), depth + 1
+        level, depth = save(_named(pairs, ["first", "second"], "name", total)), depth + 1
     names = done[0]
     for more in done[1:]:
         names = names.unionByName(more)
@@ -83,8 +82,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = base.select("doc_id", F.xxhash64("raw").alias("row_hash"), F.sha2("raw", 256).alias("text_sha256"))
     left, right = rows.alias("l"), groups.alias("r")
     named = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.row_hash") == F.col("r.row_hash")))
-    named = named.select("l.doc_id", "l.text_sha256", "r.depth", "r.name")
-    named = save(named)
-    sizes = named.groupBy("depth", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    named = save(named.select("l.doc_id", "l.text_sha256", F.struct("r.depth", "r.name").alias("name")))
+    sizes = save(named.groupBy("name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return named.join(sizes, ["depth", "name"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    out = hot_join(named, sizes, "name", "group_size", first["docs"])
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
