@@ -19,6 +19,10 @@ WEIGHTS = (5, 2, 1)
 #: Most copies of a document, as targets stop at this many times a source's size.
 MOST = 3
 SEEDS = 32
+#: Draws have BITS bits; each seed turns them by STEP, the golden section of their range.
+BITS, STEP = 40, 679_539_536_917
+#: Sources whose table is broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -27,7 +31,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     With cap/weight as each source's ceiling, capping the sources in order of their ceilings raises the
     level that the others share until the next ceiling is above it, so the highest level is the one
     sought; sorted ceilings make that one running sum.
-    The windows run over one row per source.
+    The windows run over one row per source, in one task.
     """
     last = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(last) - 1, F.lit(len(weights))) + 1
@@ -45,9 +49,16 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
 
 
 def _draw(seed: Column) -> Column:
-    """A number in [0, 1) from the document's id and a seed."""
-    bits = F.xxhash64(F.lit("mix"), seed, F.col("doc_id"), F.col("size"))
-    return F.pmod(bits, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) from the document's id and size, turned by a seed."""
+    spelled = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
+    bits = F.conv(F.substring(F.md5(spelled), 1, BITS // 4), 16, 10).cast("long")
+    return F.pmod(bits + seed * STEP, F.lit(1 << BITS)) / F.lit(float(1 << BITS))
+
+
+def _with(rows: DataFrame, sources: DataFrame, *columns: str) -> DataFrame:
+    """Inner join of ``rows`` (l) with a saved table of one row a source (r)."""
+    table = F.broadcast(sources) if sources.count() <= MOST_BROADCAST else sources
+    return rows.alias("l").join(table.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", *(f"r.{c}" for c in columns))
 
 
 def _size() -> Column:
@@ -60,13 +71,12 @@ def rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = save(goal.withColumn("rate", rate))
     part = F.col("rate") - F.floor(F.col("rate"))
-    same = F.col("l.source").eqNullSafe(F.col("r.source"))
-    tries = sized.alias("l").join(goal.select("source", "rate").alias("r"), same).select("l.*", "r.rate")
-    tries = tries.select("source", "doc_id", "size", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
-    extra = tries.groupBy("source", "seed").agg(F.sum(F.when(_draw(F.col("seed")) < F.col("part"), F.col("size")).otherwise(0)).alias("extra"))
-    off = F.abs(F.col("r.extra") + F.floor(F.col("l.rate")) * F.col("l.source_size") - F.col("l.target"))
-    best = goal.alias("l").join(extra.alias("r"), same).select("l.*", F.struct(off.alias("off"), F.col("r.seed").alias("seed")).alias("try"))
-    return save(best.groupBy("source", "source_size", "target", "rate").agg(F.min("try").alias("try")).select("source", "source_size", "target", "rate", F.col("try.seed").alias("seed")))
+    extra = lambda seed: F.sum(F.when(_draw(F.lit(seed)) < part, F.col("size")).otherwise(0))
+    sums = _with(sized, goal, "rate").groupBy("source").agg(F.array(*map(extra, range(SEEDS))).alias("extra"))
+    off = lambda x: F.abs(x + F.floor(F.col("l.rate")) * F.col("l.source_size") - F.col("l.target"))
+    tries = F.transform("r.extra", lambda x, seed: F.struct(off(x).alias("off"), seed.alias("seed")))
+    best = goal.alias("l").join(sums.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
+    return save(best.select("l.*", F.array_min(tries)["seed"].alias("seed")))
 
 
 def _copies() -> Column:
@@ -82,8 +92,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     a doc_id draw alike. An empty table gives no rows; other columns are ignored.
     """
     sized = save(docs.select("doc_id", "source", _size()))
-    same = F.col("l.source").eqNullSafe(F.col("r.source"))
-    out = sized.alias("l").join(rates(sized, weights, most).alias("r"), same).select("l.*", "r.source_size", "r.target", "r.rate", "r.seed")
+    out = _with(sized, rates(sized, weights, most), "source_size", "target", "rate", "seed")
     return out.select("doc_id", "size", "source", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
 
 
@@ -91,6 +100,6 @@ def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     """The rows of ``docs``, each as often as the mix takes it. Texts aren't shuffled where the sources' table is small."""
     plan = rates(save(docs.select("doc_id", "source", _size())), weights, most)
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(row, "doc_id", "source", _size()).alias("l")
-    rows = rows.join(plan.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.row", "l.doc_id", "l.size", "r.rate", "r.seed")
+    rows = docs.select(row, "doc_id", "source", _size())
+    rows = _with(rows, plan, "rate", "seed").select("row", "doc_id", "size", "rate", "seed")
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")

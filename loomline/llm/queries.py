@@ -89,6 +89,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
+OP8_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+), drawn AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size), 1, 10))::BIGINT AS bits FROM sized
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM sized GROUP BY source
+), capped AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / weight AS ceiling FROM sources
+), levels AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM capped WINDOW before AS (ORDER BY ceiling, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels
+), rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate FROM targets
+), tries AS (
+  SELECT d.source, s.seed, sum(CASE WHEN ((bits + s.seed * {mixing.STEP}) % {1 << mixing.BITS})::DOUBLE / {float(1 << mixing.BITS)}::DOUBLE < rate - floor(rate) THEN size ELSE 0 END) AS extra
+  FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, range({mixing.SEEDS}) s(seed) GROUP BY ALL
+), best AS (
+  SELECT r.source, arg_min(t.seed, (abs(extra + floor(rate) * source_size - target), t.seed)) AS seed
+  FROM tries t JOIN rates r ON t.source IS NOT DISTINCT FROM r.source GROUP BY r.source
+)
+SELECT doc_id, size, source_size, target,
+  size * (floor(rate)::BIGINT + (((bits + seed * {mixing.STEP}) % {1 << mixing.BITS})::DOUBLE / {float(1 << mixing.BITS)}::DOUBLE < rate - floor(rate))::BIGINT) AS taken
+FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN best b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -118,4 +147,4 @@ FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_substring_dedup": OP10_SQL}
