@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SLICE, save
+from .common import save, slices
 
 CAPACITY = 1024
 #: Hash buckets in which the pieces of a class are numbered.
 BUCKETS = 4096
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, and their most characters.
+REMEMBERED, LONGEST = 300_000, 48
 
 # Fixed value: the pre-tokenization pattern of byte-level BPE vocabularies of 50257 ids.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,7 +89,7 @@ class Encoder:
                     new[p] = self.encode(p)
             ids = [new[p] if v is None else v for p, v in zip(flat, ids, strict=True)]
             if len(self.known) < REMEMBERED:
-                self.known.update(new)
+                self.known.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
         out, at = [], 0
         for parts in cut:
             out.append(b"".join(ids[at : at + len(parts)]))
@@ -121,8 +121,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 1):
                 ids = enc.encode_all([t or "" for t in part.column(1).to_pylist()])
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), ids, strict=True):
