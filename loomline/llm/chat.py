@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 # Strings that templates use as control strings; all start with < or [.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -45,10 +47,20 @@ def unescape_role(role: bytes) -> bytes:
     return unescape(role.replace(b"%0A", b"\n").replace(b"%25", b"%"))
 
 
-def _points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Code points of UTF-8 between byte offsets."""
-    count = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return count[ends] - count[starts]
+#: Bytes that are scattered or counted at a time, and bytes of texts that are assembled into one batch, but for longer conversations.
+_CHUNK, BATCH = 1 << 20, 8 << 20
+
+
+def _points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 before each of some ascending byte offsets."""
+    out, before = np.empty(len(at), dtype=np.int64), 0
+    for low in range(0, len(data) + 1, _CHUNK):
+        part = (data[low : low + _CHUNK] & 0xC0) != 0x80
+        a, z = np.searchsorted(at, [low, low + _CHUNK])
+        if z > a:
+            out[a:z] = before + np.concatenate([[0], np.cumsum(part)])[at[a:z] - low]
+        before += int(part.sum())
+    return out
 
 
 def assemble(conv: np.ndarray, roles: list[bytes], texts: list[bytes]) -> tuple[pa.Array, list[list[int]], list[list[int]]]:
@@ -67,15 +79,23 @@ def assemble(conv: np.ndarray, roles: list[bytes], texts: list[bytes]) -> tuple[
     ends = np.cumsum(lengths.ravel())
     starts = ends - lengths.ravel()
     out = np.empty(int(ends[-1]), dtype=np.uint8)
-    # Byte i of the output comes from i plus its segment's shift.
-    out[:] = source[np.arange(len(out)) + np.repeat(begin.ravel() - starts, lengths.ravel())]
+    # Byte i of the output comes from i plus its segment's shift; indices are made for a part of the output at a time.
+    shift = begin.ravel() - starts
+    for low in range(0, len(out), _CHUNK):
+        high = min(len(out), low + _CHUNK)
+        a, z = np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high)
+        size = np.minimum(ends[a:z], high) - np.maximum(starts[a:z], low)
+        out[low:high] = source[np.arange(low, high) + np.repeat(shift[a:z], size)]
     turns = ends.reshape(n, 5)
     last = np.concatenate([np.flatnonzero(np.diff(conv)), [n - 1]])
     offsets = np.concatenate([[0], turns[last, 4]])
     formatted = pa.Array.from_buffers(pa.large_string(), len(last), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
     learned = np.flatnonzero(np.array([r == LEARNED.encode() for r in roles]))
     head = offsets[conv[learned]]
-    spans = _points(out, head, turns[learned, 2]), _points(out, head, turns[learned, 3])
+    # Where a turn's text starts and ends, counted from its conversation; conversations ascend, and so do all offsets.
+    edges = _points(out, np.stack([turns[learned, 2], turns[learned, 3]], axis=1).ravel()).reshape(-1, 2)
+    zero = _points(out, head)
+    spans = edges[:, 0] - zero, edges[:, 1] - zero
     cuts = np.searchsorted(conv[learned], np.arange(1, len(last)))
     return formatted, *([x.tolist() for x in np.split(s, cuts)] for s in spans)
 
@@ -103,18 +123,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         ids: list = []
         roles: list = []
         texts: list = []
+        size = held = 0  # bytes of the conversations that are complete, and of the one at hand
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids += part.column(0).to_pylist()
-                roles += part.column(1).to_pylist()
-                texts += part.column(2).to_pylist()
-                done = len(ids) - 1
-                while done and ids[done - 1] == ids[-1]:
-                    done -= 1
-                if done:
-                    yield flush(ids[:done], roles[:done], texts[:done])
-                    ids, roles, texts = ids[done:], roles[done:], texts[done:]
+            for part in slices(batch, 2, 2000, BATCH):
+                for conv, role, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if ids and conv != ids[-1]:
+                        size, held = size + held, 0
+                        if size > BATCH or len(ids) >= 2000:
+                            yield flush(ids, roles, texts)
+                            ids, roles, texts, size = [], [], [], 0
+                    ids.append(conv), roles.append(role), texts.append(text)
+                    held += len(role) + len(text)
         if ids:
             yield flush(ids, roles, texts)
 

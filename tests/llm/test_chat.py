@@ -53,3 +53,33 @@ def test_edges(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     assert got(chat.read_back(chat.format_conversations(df))) == want(rows)
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_memory_of_long_texts():
+    """16 texts of 1 MB are assembled with a few bytes for each byte of text."""
+    import tracemalloc
+
+    import numpy as np
+
+    from loomline.llm import chat as C
+
+    texts = [b"x\xc3\xa9" * 350_000] * 16
+    tracemalloc.start()
+    formatted, starts, ends = C.assemble(np.arange(16) // 2, [b"user", b"assistant"] * 8, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(map(len, texts)) + (100 << 20)
+    assert [e[0] - s[0] for s, e in zip(starts, ends)] == [700_000] * 8 and formatted[0].as_py()[starts[0][0] : ends[0][0]] == texts[1].decode()
+
+
+def test_many_turns_and_batches(spark, monkeypatch):
+    from loomline.llm import chat as C
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} é {t} " * (1 + t % 5)) for c in range(40) for t in range(c % 7 + (3000 if c == 3 else 1))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in C.format_conversations(df).collect()}
+    for c in range(40):
+        own = [(r, t) for k, _, r, t in rows if k == c]
+        f = got[c]["formatted"]
+        assert C.parse(f) == own
+        assert [f[a:b] for a, b in zip(got[c]["loss_starts"], got[c]["loss_ends"])] == [t for r, t in own if r == "assistant"]
