@@ -24,27 +24,55 @@ RULES = (
     ("org/es/", "block"),
 )
 
-# The labelled hosts, our own examples; the first are unwanted, the others welcome.
-UNWANTED = (
-    "cheap-pills", "buy-pills", "online-casino", "casino-bonus", "casino-win", "free-bets", "bets-live", "spam-farm", "link-spam",
-    "ads-track", "click-ads", "adult-x", "adult-cams", "porn-tube", "xxx-video", "replica-sale", "payday-loans", "win-lottery",
-    "free-crypto", "crack-keygen", "torrent-hub", "viagra-shop", "escort-x", "slots-jackpot", "poker-bonus", "pills-shop",
+# The labelled table's own examples, hosts and paths; the first are unwanted, the others welcome.
+UNWANTED_HOSTS = (
+    "discountviagra.com", "order-cialis-online.net", "cheapmedsnow.biz", "pharmacy-without-prescription.ru", "weightlosspills.info", "buytramadol.top",
+    "pillstore24.com", "genericdrugs-express.net", "slimfastmiracle.xyz", "royalcasinoclub.com", "lucky-slots.net", "bestonlinecasinos.bet",
+    "vegaspokerroom.com", "jackpotspins.club", "sportsbetting-tips.win", "livebets365.com", "freebetoffers.net", "roulette-king.xyz",
+    "pokerchipsfree.top", "hotporntube.com", "freexxxclips.net", "sexcamslive.com", "nudegirls-chat.ru", "adultdatingsite.biz",
+    "hot-milfs.xxx", "eroticmassage-escorts.com", "escortgirls-city.net", "camsex4free.com", "pornstarvideos.xxx", "hookuptonight.date",
+    "sexyteens-gallery.ru", "adultfriendchat.com", "replicawatches-outlet.com", "fake-rolex.shop", "cheap-louisvuitton-bags.net", "nikeoutlet-sale.top",
+    "quickpaydayloan.com", "instantcashadvance.net", "badcreditloans-now.info", "makemoneyfast.biz", "earn-cash-home.xyz", "getrichquick-system.com",
+    "crypto-doubler.top", "freebitcoin-giveaway.net", "forexprofitbot.xyz", "win-iphone-prize.club", "lottery-winner-claim.info", "congratulations-giftcard.top",
+    "free-ringtones-download.net", "warez-crackz.ru", "keygen-serials.net", "crackedsoftware-full.xyz", "torrentmovies-free.top", "pirated-games.click",
+    "clicktracker-ads.com", "popunder-network.net", "adserver-banner.biz", "spam-backlinks.info", "seo-linkfarm.net", "buyfollowers-cheap.com",
+    "bulkemail-blaster.biz", "traffic-exchange-hits.top", "phishing-login-verify.xyz", "account-suspended-alert.top", "paypa1-secure-update.ru", "free-antivirus-scan-now.click",
+    "miracle-diet-secret.club", "penis-enlarge-pills.com", "casino-bonus-codes.org", "xxx-movies-archive.org", "online-pharmacy-store.com", "bet-on-football.net",
 )
-WELCOME = (
-    "thenorth", "thrones", "thither", "ththe", "tions", "nation", "theatre", "other", "weather", "rather", "therein", "thinker",
-    "garden", "reading", "history", "science", "library", "museum", "recipes", "university", "healthcare", "ththin", "theron", "thering", "therand", "thones",
+UNWANTED_PATHS = (
+    "/buy-viagra-online", "/casino/bonus/free-spins", "/xxx/videos/hot", "/porn/teen", "/cheap-pills?ref=1", "/slots/jackpot/play-now",
+    "/adult/cams/live", "/win/prize/claim.php", "/click.php?aff=77", "/ads/banner/track", "/loans/payday/apply", "/escorts/city/girls",
+    "/download/crack/keygen.exe", "/free-money", "/bet/odds/signup-bonus", "/sex/chat", "/replica/watches/sale", "/lottery/winner",
+)
+WELCOME_HOSTS = (
+    "en.wiktionary.org", "commons.wikimedia.org", "www.britannica.com", "www.gutenberg.org", "archive.org", "www.nature.com", "www.science.org", "arxiv.org",
+    "www.theguardian.com", "www.reuters.com", "apnews.com", "www.lemonde.fr", "www.spiegel.de", "elpais.com", "www.corriere.it", "www.nhk.or.jp",
+    "www.washingtonpost.com", "www.economist.com", "www.npr.org", "www.pbs.org", "www.cbc.ca", "www.abc.net.au", "www.dw.com", "www.lefigaro.fr",
+    "stackoverflow.com", "gitlab.com", "bitbucket.org", "docs.oracle.com", "developer.mozilla.org", "kubernetes.io", "www.postgresql.org", "numpy.org",
+    "pandas.pydata.org", "www.rust-lang.org", "go.dev", "nodejs.org", "www.debian.org", "www.kernel.org", "www.gnu.org", "learn.microsoft.com",
+    "www.mit.edu", "www.stanford.edu", "www.ox.ac.uk", "www.cam.ac.uk", "ethz.ch", "www.tum.de", "www.sorbonne.fr", "www.uba.ar",
+    "www.nasa.gov", "www.nih.gov", "www.cdc.gov", "www.who.int", "www.un.org", "europa.eu", "www.gov.uk", "www.bundestag.de",
+    "www.nps.gov", "www.loc.gov", "www.metmuseum.org", "www.louvre.fr", "www.rijksmuseum.nl", "www.moma.org", "www.si.edu", "www.nhm.ac.uk",
+    "www.allrecipes.com", "www.bonappetit.com", "www.seriouseats.com", "www.kingarthurbaking.com", "www.gardenersworld.com", "www.rhs.org.uk", "www.lonelyplanet.com", "www.nationalgeographic.com",
+    "www.ikea.com", "www.lego.com", "www.bosch.com", "www.toyota.com", "www.deutschebahn.com", "www.sncf-connect.com", "www.lufthansa.com", "www.airfrance.fr",
+    "www.springer.com", "www.elsevier.com", "www.jstor.org", "pubmed.ncbi.nlm.nih.gov", "scholar.archive.org", "www.plos.org", "www.cambridge.org", "academic.oup.com",
+    "www.fifa.com", "www.olympics.com", "www.uefa.com", "www.chess.com", "www.imdb.com", "www.goodreads.com", "www.rottentomatoes.com", "www.discogs.com",
+    "blog.cloudflare.com", "www.mayoclinic.org", "www.khanacademy.org", "www.coursera.org", "www.edx.org", "www.duolingo.com", "www.ted.com", "www.scientificamerican.com",
+    "smithfamilydentist.com", "oakhill-school.org", "riverside-library.org", "mountain-hiking-club.de", "bakery-lindner.at", "stadtwerke-ulm.de", "ville-de-nantes.fr", "ayuntamiento-sevilla.es",
+    "anna-photography.net", "brown-law-office.com", "greenvalleyfarm.com", "community-orchestra.org", "localhistorysociety.org.uk", "carpentry-workshop.net", "village-theatre.org", "birdwatching-notes.net",
+)
+WELCOME_PATHS = (
+    "/", "/about", "/news/2021/05/12/local-election-results", "/wiki/History_of_science", "/articles/climate-report", "/docs/getting-started", "/en/latest/api.html",
+    "/questions/231767/what-does-yield-do", "/research/papers/1234", "/recipes/apple-pie", "/events/calendar", "/en/12", "/fr/340", "/es/87", "/de/455",
+    "/blog/2019/03/release-notes", "/contact", "/library/catalog?page=2", "/world/europe", "/health/conditions", "/tutorial/index.html", "/products/42", "/museum/collection", "/courses/math",
 )
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: each host under several prefixes, domains and paths, the same for both kinds."""
+    """The labelled table: each host with two paths of its kind."""
     out = []
-    for label, hosts in ((1, UNWANTED), (0, WELCOME)):
-        for i, host in enumerate(hosts):
-            for k in (0, 1):
-                front = ("", "www.", "m.", "blog.")[(i + 2 * k) % 4]
-                end = ("example.com", "example.org", "example.net", "test")[(i // 2 + k) % 4]
-                out.append((f"https://{front}{host}.{end}/{('en', 'fr', 'es', 'de')[(i + i // 4 + k) % 4]}/{(i * 37 + k * 411) % 1000}", label))
+    for label, hosts, paths in ((1, UNWANTED_HOSTS, UNWANTED_PATHS), (0, WELCOME_HOSTS, WELCOME_PATHS)):
+        out += [(f"https://{host}{paths[(5 * i + 7 * k) % len(paths)]}", label) for i, host in enumerate(hosts) for k in (0, 1)]
     return out
 
 
