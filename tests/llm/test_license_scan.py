@@ -81,6 +81,43 @@ def test_near_misses_and_prose():
         assert best(f"Some words before it. {text} And some after it.") == want, text
 
 
+def test_text_put_into_a_license_does_not_hide_it():
+    rng = random.Random(7)
+    scan = S.Scanner(S.TEMPLATES, S.COVERAGE).scan
+    w = S._MIT.split()
+    for n in (10, 150, 300, 3000):
+        middle = [f"n{rng.randrange(10**6)}" for _ in range(n)]
+        assert {f[0]: f[1] for f in scan(" ".join(w[:25] + middle + w[25:]))}["MIT"] == 1.0
+
+
+def test_coverage_against_brute_force():
+    """Coverage is close to the longest common subsequence's share, and never above it, for texts with words put in, changed and left out."""
+    rng = random.Random(5)
+    scanner = S.Scanner(S.TEMPLATES, S.COVERAGE)
+    names = [n for n in S.TEMPLATES if n.endswith("-text") or n in ("Zlib", "Unlicense", "BSL-1.0", "PostgreSQL", "OFL-1.1")]
+    worst, told = 0.0, 0
+    for turn in range(60):
+        name = rng.choice(names)
+        t = S.words(S.TEMPLATES[name])
+        marked = {i for m in scanner.marks[[n for n, _ in scanner.templates].index(name)] for s in m for i in s}
+        text = [f"n{rng.randrange(300)}" for _ in range(rng.randrange(40))]
+        for i, x in enumerate(t):
+            r = rng.random() if i not in marked else 1
+            text += [] if r < 0.03 else [f"c{rng.randrange(99)}"] if r < 0.05 else [x, f"i{rng.randrange(99)}"] if r < 0.08 else [x]
+        text += [f"n{rng.randrange(300)}" for _ in range(rng.randrange(40))]
+        want = subsequence(text, t) / len(t)
+        got = {f[0]: f[1] for f in scanner.scan(" ".join(text))}
+        assert name in got and got[name] <= want + 1e-9
+        worst, told = max(worst, want - got[name]), told + 1
+    assert told == 60 and worst < 0.06
+
+
+def test_one_name_for_one_license():
+    scan = S.Scanner(S.TEMPLATES, S.COVERAGE).scan
+    for name in ("MIT-text", "MIT-0-text", "ISC-text", "0BSD-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-3.0-text", "LGPL-2.1-text", "Apache-2.0"):
+        assert [f[0] for f in scan(S.TEMPLATES[name])] == [name]
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = S.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["license"] is None and r["coverage"] == 0 for r in rows)
