@@ -89,12 +89,42 @@ def newest(rows: DataFrame, group: str, order: list[str], per_group: int, groups
 
 
 def source_plan(rows: DataFrame, rank: int, claim: bool = True) -> DataFrame:
-    """decision, producer_rank and reason from ``state``, ``claim_granted``, ``claim_state`` and ``owner_rank``."""
-    ready, granted = F.col("state") == "READY", F.coalesce(F.col("claim_granted"), F.lit(False)) & F.lit(claim)
-    raced = F.coalesce(F.col("claim_state") == "READY", F.lit(False)) & F.lit(claim)
-    owned = F.coalesce(F.col("claim_state").isin("FALLBACK_CLAIMED", "FALLBACK_LOCAL_DONE") & F.col("owner_rank").isNotNull(), F.lit(False)) & F.lit(claim)
-    rest = "claim_denied_fail_open" if claim else "preview_requires_fallback"
-    reason = F.when(ready, "ready_before_fallback").when(granted, "fallback_claim_granted").when(raced, "ready_after_claim_race").when(owned, "fallback_claim_already_owned").otherwise(rest)
-    decision = F.when(ready | raced & ~granted, "USE_SIDECAR").otherwise("FALLBACK")
-    producer = F.when(ready, None).when(granted, F.lit(rank)).when(raced, None).when(owned, F.col("owner_rank")).otherwise(F.lit(rank))
-    return rows.withColumns({"decision": decision, "producer_rank": producer.cast("int"), "reason": reason})
+    """decision, producer_rank, reason and error from ``state``, ``claim_granted``, ``claim_state`` and ``owner_rank``.
+
+    Without ``claim`` this is a preview. A denied claim that no rank owns is an error, without a decision.
+    """
+    if not claim:
+        ready = F.coalesce(F.col("state") == "READY", F.lit(False))
+        reason = F.when(ready, "ready_before_fallback").otherwise("preview_requires_fallback")
+        producer = F.when(~ready, F.lit(rank))
+        return rows.withColumns({"decision": F.when(ready, "USE_SIDECAR").otherwise("FALLBACK"), "producer_rank": producer.cast("int"), "reason": reason, "error": F.lit(None).cast("string")})
+    ready, granted = F.coalesce(F.col("state") == "READY", F.lit(False)), F.coalesce(F.col("claim_granted"), F.lit(False))
+    raced = F.coalesce(F.col("claim_state") == "READY", F.lit(False))
+    owned = F.coalesce(F.col("claim_state").isin("FALLBACK_CLAIMED", "FALLBACK_LOCAL_DONE") & F.col("owner_rank").isNotNull(), F.lit(False))
+    reason = F.when(ready, "ready_before_fallback").when(granted, "fallback_claim_granted").when(raced, "ready_after_claim_race").when(owned, "fallback_claim_already_owned")
+    decision = F.when(ready, "USE_SIDECAR").when(granted, "FALLBACK").when(raced, "USE_SIDECAR").when(owned, "FALLBACK")
+    producer = F.when(ready, None).when(granted, F.lit(rank)).when(raced, None).when(owned, F.col("owner_rank"))
+    error = F.when(~(ready | granted | raced | owned), "fallback claim denied")
+    return rows.withColumns({"decision": decision, "producer_rank": producer.cast("int"), "reason": reason, "error": error})
+
+
+def placement(events: DataFrame, workers: int, group: str = "grp") -> DataFrame:
+    """The worker of each submitted item: the least loaded one, ties to the lowest id. ``events(grp, seq, kind, worker)``.
+
+    A ``submit`` adds to the load of the chosen worker; a ``finish`` takes one from its worker's, not below 0. The
+    events of a group are folded in one task, as their order asks for.
+    """
+    zero = f"named_struct('loads', array_repeat(0, {workers}), 'placed', CAST(array() AS array<struct<seq: bigint, worker: int>>))"
+    least = "CAST(array_position(s.loads, array_min(s.loads)) AS int) - 1"
+    step = f"""CASE WHEN x.kind = 'submit' THEN named_struct('loads', transform(s.loads, (v, k) -> CASE WHEN k = {least} THEN v + 1 ELSE v END),
+        'placed', concat(s.placed, array(named_struct('seq', x.seq, 'worker', {least}))))
+      ELSE named_struct('loads', transform(s.loads, (v, k) -> CASE WHEN k = x.worker THEN greatest(v - 1, 0) ELSE v END), 'placed', s.placed) END"""
+    rows = events.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", F.col("worker").cast("int").alias("worker")))).alias("e"))
+    placed = rows.select(group, F.explode(F.expr(f"aggregate(e, {zero}, (s, x) -> {step}).placed")).alias("p"))
+    return placed.select(group, "p.seq", "p.worker")
+
+
+def first_queued(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each queue, in order: what one poll takes."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")

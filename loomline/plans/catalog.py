@@ -5,8 +5,6 @@ The tables hold no images, so sides, states and profiles are derived from their
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,28 +14,12 @@ from pyspark.sql.window import Window
 from loomline.functions import geometry, identity, signature, tensor
 from loomline.operators import relational as R
 from loomline.operators import validation
-from loomline.streaming import lifecycle
+from loomline.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 PATCH, MERGE, LOW, HIGH = 14, 2, 56 * 56, 1280 * 28 * 28
 FACTOR = PATCH * MERGE
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def resize_sql(h: str, w: str, variant: str = "A") -> tuple[str, str]:
     f, low, high = f"{FACTOR}.0", f"{LOW}.0", f"{HIGH}.0"
     r = lambda x: f"(round_even(({x})::DOUBLE / {f}, 0) * {f})"
@@ -352,24 +334,6 @@ def scatter_merge(spark, sf):
     return out.select("l_orderkey", "idx", F.when(F.col("mask"), F.col("w")).otherwise(-1).alias("value"))
 
 
-def events_of(spark, sf):
-    """Worker events by user: a prepare first, then the table's events with epochs 1 or 2, and claims."""
-    e = table(spark, sf, "events")
-    name = F.lit(None).cast("string")
-    for k, v in {"view": "started", "click": "probed", "purchase": "ready", "signup": "ready_put_done", "error": "failed"}.items():
-        name = F.when(F.col("event_type") == k, v).otherwise(name)
-    claims = F.col("event_id") % 17 == 0
-    name = F.when(claims, "claim").when(F.col("event_id") % 23 == 0, "prepare").otherwise(name)
-    rows = e.where("user_id is not null").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), name.alias("event"), (1 + F.col("event_id") % 2).cast("int").alias("epoch"), F.when(claims, F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string"))).alias("claimer"))
-    first = rows.groupBy("key").agg(F.lit(-1).cast("long").alias("seq")).select("key", "seq", F.lit("prepare").alias("event"), F.lit(None).cast("int").alias("epoch"), F.lit(None).cast("string").alias("claimer"))
-    return first.unionByName(rows)
-
-
-@query()
-def epoch_state_machine(spark, sf):
-    return lifecycle.fold(events_of(spark, sf))
-
-
 @query("SELECT user_id, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS claimer FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
 def first_claim_wins(spark, sf):
     rows = table(spark, sf, "events").where("event_type in ('click', 'error')")
@@ -377,8 +341,8 @@ def first_claim_wins(spark, sf):
 
 
 PLAN_SQL = f"""s AS (SELECT event_id, {STATE_SQL} AS state, event_id % 3 = 0 AS granted, CASE event_id % 5 WHEN 1 THEN 'READY' WHEN 2 THEN 'FALLBACK_CLAIMED' END AS claim_state, CASE WHEN event_id % 2 = 0 THEN (user_id % 4)::INT END AS owner FROM events),
-p AS (SELECT event_id, state, CASE WHEN state = 'READY' THEN 'ready_before_fallback' WHEN granted THEN 'fallback_claim_granted' WHEN claim_state = 'READY' THEN 'ready_after_claim_race' WHEN claim_state = 'FALLBACK_CLAIMED' AND owner IS NOT NULL THEN 'fallback_claim_already_owned' ELSE 'claim_denied_fail_open' END AS reason, owner FROM s),
-d AS (SELECT event_id, state, reason, CASE WHEN reason LIKE 'ready%' THEN 'USE_SIDECAR' ELSE 'FALLBACK' END AS decision, CASE WHEN reason LIKE 'ready%' THEN NULL WHEN reason = 'fallback_claim_already_owned' THEN owner ELSE 1 END AS producer_rank FROM p)"""
+p AS (SELECT event_id, state, CASE WHEN state = 'READY' THEN 'ready_before_fallback' WHEN granted THEN 'fallback_claim_granted' WHEN claim_state = 'READY' THEN 'ready_after_claim_race' WHEN claim_state = 'FALLBACK_CLAIMED' AND owner IS NOT NULL THEN 'fallback_claim_already_owned' END AS reason, owner FROM s),
+d AS (SELECT event_id, state, reason, CASE WHEN reason LIKE 'ready%' THEN 'USE_SIDECAR' WHEN reason IS NOT NULL THEN 'FALLBACK' END AS decision, CASE WHEN reason = 'fallback_claim_already_owned' THEN owner WHEN reason = 'fallback_claim_granted' THEN 1 END AS producer_rank, CASE WHEN reason IS NULL THEN 'fallback claim denied' END AS error FROM p)"""
 
 
 def _plan(spark, sf):
@@ -387,17 +351,17 @@ def _plan(spark, sf):
     return R.source_plan(rows, 1)
 
 
-@query(f"WITH {PLAN_SQL} SELECT event_id, decision, producer_rank, reason FROM d")
+@query(f"WITH {PLAN_SQL} SELECT event_id, decision, producer_rank, reason, error FROM d")
 def source_plan(spark, sf):
-    return _plan(spark, sf).select("event_id", "decision", "producer_rank", "reason")
+    return _plan(spark, sf).select("event_id", "decision", "producer_rank", "reason", "error")
 
 
-@query(f"""WITH {PLAN_SQL} SELECT kind, name, n FROM (SELECT 'state' AS kind, lower(state) AS name, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'reason', reason, count(*) FROM d GROUP BY ALL
-UNION ALL SELECT 'rank', CASE WHEN producer_rank IS NULL THEN 'sidecar' WHEN producer_rank = 1 THEN 'local' ELSE 'remote' END, count(*) FROM d GROUP BY ALL)""")
+@query(f"""WITH {PLAN_SQL} SELECT kind, name, n FROM (SELECT 'state' AS kind, lower(state) AS name, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'reason', coalesce(reason, 'none'), count(*) FROM d GROUP BY ALL
+UNION ALL SELECT 'rank', CASE WHEN error IS NOT NULL THEN 'none' WHEN producer_rank IS NULL THEN 'sidecar' WHEN producer_rank = 1 THEN 'local' ELSE 'remote' END, count(*) FROM d GROUP BY ALL)""")
 def plan_diagnostics(spark, sf):
     p = _plan(spark, sf)
-    side = F.when(F.col("producer_rank").isNull(), "sidecar").when(F.col("producer_rank") == 1, "local").otherwise("remote")
-    named = p.select(F.explode(F.create_map(F.lit("state"), F.lower("state"), F.lit("reason"), F.col("reason"), F.lit("rank"), side)).alias("kind", "name"))
+    side = F.when(F.col("error").isNotNull(), "none").when(F.col("producer_rank").isNull(), "sidecar").when(F.col("producer_rank") == 1, "local").otherwise("remote")
+    named = p.select(F.explode(F.create_map(F.lit("state"), F.lower("state"), F.lit("reason"), F.coalesce("reason", F.lit("none")), F.lit("rank"), side)).alias("kind", "name"))
     return named.groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 

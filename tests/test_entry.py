@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomline.plans import catalog
+from loomline import plans as catalog
 
 SF = "/root/testdata/sf0.001"
 

@@ -30,7 +30,8 @@ def test_source_plan_rules(spark):
     rows = [("READY", True, None, None), ("QUEUED", True, "FALLBACK_CLAIMED", None), ("QUEUED", False, "READY", None), ("QUEUED", False, "FALLBACK_CLAIMED", 3), ("QUEUED", False, "FALLBACK_CLAIMED", None)]
     df = spark.createDataFrame(rows, "state string, claim_granted boolean, claim_state string, owner_rank int")
     got = [(r["decision"], r["producer_rank"], r["reason"]) for r in R.source_plan(df, 0).collect()]
-    assert got == [("USE_SIDECAR", None, "ready_before_fallback"), ("FALLBACK", 0, "fallback_claim_granted"), ("USE_SIDECAR", None, "ready_after_claim_race"), ("FALLBACK", 3, "fallback_claim_already_owned"), ("FALLBACK", 0, "claim_denied_fail_open")]
+    assert got == [("USE_SIDECAR", None, "ready_before_fallback"), ("FALLBACK", 0, "fallback_claim_granted"), ("USE_SIDECAR", None, "ready_after_claim_race"), ("FALLBACK", 3, "fallback_claim_already_owned"), (None, None, None)]
+    assert [r["error"] for r in R.source_plan(df, 0).collect()] == [None] * 4 + ["fallback claim denied"]
     assert {r["reason"] for r in R.source_plan(df, 0, claim=False).collect()} == {"ready_before_fallback", "preview_requires_fallback"}
 
 
@@ -48,32 +49,64 @@ def test_limits(spark):
     assert [at(10, 8, 10), at(11, 99, 99), at(1, 10, 11), at(1, 10, 10)] == [None, "encoded_bytes", "pixels_per_image", "decoded_bytes"]
 
 
-def events(seed):
+def event(kind, epoch=None, claimer=None, request="r", idx=0, **more):
+    none = dict.fromkeys(("item", "t_probe", "t_put", "error", "worker"))
+    return none | {"event": kind, "epoch": epoch, "request": request, "idx": idx, "claimer": claimer, "ok": True} | more
+
+
+def events(seed, n=400):
     rng = random.Random(seed)
-    kinds = ["prepare", "started", "probed", "ready", "ready_put_done", "failed", "claim", "publish", "done", "expire"]
-    rows = [(rng.randrange(6), i, rng.choice(kinds), rng.randrange(1, 4), rng.choice(["a", "b"])) for i in range(240)]
-    return [r for r in rows if r[0] != 5 or r[2] != "prepare"]
+    kinds = ["prepare", "started", "probed", "ready", "ready_put_done", "failed", "claim", "publish", "done", "evict", "fetch", "odd"]
+    maybe = lambda x: x if rng.random() < 0.5 else None
+    out = []
+    for i in range(n):
+        e = event(rng.choice(kinds), maybe(rng.randrange(1, 4)), maybe(rng.choice("ab")), rng.choice(["r", "r", "q"]), rng.choice([0, 0, 1]), ok=maybe(True), item=maybe(i), t_probe=maybe(float(i)), t_put=maybe(float(-i)), error=maybe("e"), worker=maybe(i % 4))
+        key = rng.randrange(6)
+        if key != 5 or e["event"] != "prepare":
+            out.append((key, i, *(e[c.split()[0]] for c in L.EVENTS.split(", ")[2:])))
+    return out
 
 
 def test_transitions():
     e = L.Entry()
-    assert not e.apply("started", 1, None) and e.apply("claim", None, "x") and e.state is None
-    assert e.apply("prepare", None, None) and (e.state, e.epoch) == ("QUEUED", 1)
-    assert e.apply("ready_put_done", 1, None) and e.apply("started", 1, None) and not e.apply("started", 1, None)
-    assert not e.apply("ready", 2, None) and e.apply("ready", 1, None) and e.state == "READY"
-    assert not e.apply("claim", None, "x") and e.apply("expire", None, None) and e.apply("claim", None, "x") and e.epoch == 2
-    assert e.apply("claim", None, "x") and not e.apply("claim", None, "y") and not e.apply("ready", 2, None)
-    assert not e.apply("publish", 1, "x") and e.apply("publish", 2, "x") and e.state == "FALLBACK_LOCAL_DONE"
-    assert e.apply("prepare", None, None) and e.epoch == 3
+    done = lambda kind, epoch=None, claimer=None, **more: e.apply(event(kind, epoch, claimer, **more))
+    assert not done("started", 1) and done("claim", None, "x") and e.state is None
+    assert done("prepare", worker=3) and (e.state, e.epoch, e.worker, e.in_flight) == ("QUEUED", 1, 3, True)
+    assert done("ready_put_done", 1, t_put=2.0) and done("started", 1) and not done("started", 1)
+    assert done("probed", 1, item=7, t_probe=1.0) and (e.item, e.t_probe, e.t_put) == (7, 1.0, None)
+    assert not done("ready", 2) and not e.in_flight  # the flight ends even where the result is out of date
+    assert not done("ready", 1, ok=False) and e.state == "SIDECAR_RUNNING"
+    assert done("ready", 1) and e.state == "READY" and e.cached and done("fetch")
+    assert not done("claim", 1, "x")
+    assert done("evict") and not done("fetch") and e.state == "EXPIRED"
+    assert not done("claim", 2, "x") and not done("claim", 1, "x", request="q") and not done("claim", 1, "x", idx=1)  # stale handles
+    assert done("claim", 1, "x") and e.epoch == 2 and not done("claim", 1, "x")
+    assert done("claim", 2, "x") and not done("claim", 2, "y") and not done("ready", 2)
+    assert not done("publish", 1, "x") and done("publish", 2, "x") and e.state == "FALLBACK_LOCAL_DONE" and done("fetch")
+    assert done("prepare") and e.epoch == 3 and not e.payload
+    assert done("ready", 3) and done("failed", 3, error="late") and e.error == "late"
+    assert done("prepare", request="s") and (e.state, e.epoch, e.request, e.error) == ("READY", 4, "s", None)  # the cache has it
+
+
+def test_fold_equals_entries(spark):
+    for seed in range(6):
+        rows = events(seed)
+        want = {}
+        columns = [c.split()[0] for c in L.EVENTS.split(", ")]
+        for r in rows:
+            want.setdefault(r[0], L.Entry()).apply(dict(zip(columns, r)))
+        got = {r["key"]: tuple(r)[1:] for r in L.fold(spark.createDataFrame(rows, L.EVENTS)).collect()}
+        assert got == {k: (e.state or "ABSENT", *L.astuple(e)[1:]) for k, e in want.items()}
 
 
 def test_fold_equals_stream(spark, tmp_path):
-    rows = events(1)
+    rows = events(1, 240)
     df = spark.createDataFrame(rows, L.EVENTS)
     want = {r["key"]: tuple(r) for r in L.fold(df).collect()}
     assert want[5][1] == "ABSENT"
+    third = len(rows) // 3 + 1
     for k in range(3):
-        spark.createDataFrame(rows[k * 80 : k * 80 + 80], L.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        spark.createDataFrame(rows[k * third : (k + 1) * third], L.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     source = spark.readStream.schema(L.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     q = L.stream(source).writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
