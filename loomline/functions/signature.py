@@ -19,6 +19,23 @@ def build(pairs: dict[str, Column | str | int | float | bool | tuple]) -> Column
     return F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.coalesce(shown(v), F.lit("None"))) for k, v in pairs.items()])
 
 
+# The fields of a processor's signature, in their order, with defaults.
+FIELDS = {
+    "model": "None", "rev": "None", "processor": "None", "patch": 14, "merge": 2, "temporal": 2, "min_pixels": 3136, "max_pixels": 1_003_520, "do_resize": True,
+    "resize_strategy": "smart", "crop_strategy": "none", "pad_strategy": "none", "resample": "bicubic", "do_rescale": True, "rescale_factor": 1 / 255, "do_normalize": True,
+    "image_mean": (0.5, 0.5, 0.5), "image_std": (0.5, 0.5, 0.5), "do_convert_rgb": True, "data_format": "channels_first", "output_dtype": "float32",
+}
+FLAGS = ("do_resize", "do_rescale", "do_normalize", "do_convert_rgb")
+
+
+def processor(**values: Column | str | int | float | bool | tuple) -> Column:
+    """A processor's signature: all 21 fields in their order, those not given with defaults; flags as 0 or 1."""
+    if unknown := values.keys() - FIELDS.keys():
+        raise ValueError(f"no fields of a signature: {sorted(unknown)}")
+    flag = lambda k, v: v.cast("int") if k in FLAGS and isinstance(v, Column) else v
+    return build({k: flag(k, values.get(k, v)) for k, v in FIELDS.items()})
+
+
 def parse(text: Column) -> Column:
     """A map; chunks without ``=`` are skipped, values run from the first ``=``, of equal keys the last counts."""
     chunks = F.filter(F.split(text, r"\|"), lambda c: F.instr(c, "=") > 0)

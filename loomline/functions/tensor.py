@@ -64,11 +64,11 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def stats(values: Column) -> tuple[Column, Column]:
-    """Mean and population deviation, summed in double precision."""
+    """Mean and population deviation in double precision, the deviation from the mean in a second pass."""
     n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
-    square = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double") * x) / n
-    return mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    summed = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
+    square = F.get(F.transform(F.array(summed), lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))), F.lit(0))
+    return summed, F.sqrt(square / n)
 
 
 def element_count(shape: Column) -> Column:

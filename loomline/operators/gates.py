@@ -102,3 +102,9 @@ def percentile(rows: DataFrame, group: str, value: str, points: dict[str, float]
 def argument_errors(images: Column, width: Column, height: Column, quality: Column) -> Column:
     """What is wrong with a dataset's arguments, null where nothing is."""
     return F.when(images < 1, "image count must be positive").when((width < 1) | (height < 1), "image size must be positive").when(~quality.between(1, 95), "quality must be from 1 to 95")
+
+
+def barrier(rows: DataFrame, group: str, rank: str, ready: str) -> DataFrame:
+    """Whether every rank of a group has reported ready, and how many reports there are."""
+    ranks = rows.groupBy(group, rank).agg(F.count_if(ready).alias("_n"))
+    return ranks.groupBy(group).agg(F.sum("_n").alias("n_ready"), F.count(rank).alias("world_size"), (F.count_if((F.col("_n") > 0) & F.col(rank).isNotNull()) == F.count(rank)).alias("all_ready"))

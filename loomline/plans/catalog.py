@@ -6,12 +6,13 @@ The tables hold no images, so sides, states and profiles are derived from their
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.functions import geometry, identity, signature, tensor
+from loomline.operators import features, gates
 from loomline.operators import relational as R
 from loomline.operators import validation
 from loomline.plans.registry import QUERIES, SQL, query, table  # noqa: F401
@@ -186,19 +187,6 @@ def ingress_quarantine(spark, sf):
     return d.select("doc_id", error.alias("error_code"))
 
 
-@query(f"WITH {ITEMS_SQL} SELECT l_orderkey, count(*) AS images, CASE WHEN count(*) < 2 THEN 'image_count_below_min' END AS reason, count(*) >= 2 AS enabled FROM tok GROUP BY 1")
-def min_image_bypass(spark, sf):
-    g = items(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("images"))
-    return g.select("l_orderkey", "images", F.when(F.col("images") == 0, "no_images_captured").when(F.col("images") < 2, "image_count_below_min").alias("reason"), (F.col("images") >= 2).alias("enabled"))
-
-
-@query(f"""WITH {ITEMS_SQL} SELECT l_orderkey, CASE WHEN count(*) FILTER (idx < 4) <> count(*) THEN 'planned_item_count_mismatch' WHEN count(rh) < count(*) THEN 'missing_image_grid_thw' ELSE 'synthetic_qwen_image_path' END AS gate FROM tok GROUP BY 1""")
-def fast_path_gates(spark, sf):
-    g = items(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("idx") < 4).alias("planned"), F.count("rh").alias("grids"))
-    gate = F.when(F.col("planned") != F.col("n"), "planned_item_count_mismatch").when(F.col("grids") < F.col("n"), "missing_image_grid_thw").otherwise("synthetic_qwen_image_path")
-    return g.select("l_orderkey", gate.alias("gate"))
-
-
 @query(f"""WITH {ITEMS_SQL}, c AS (SELECT l_orderkey, idx, 'cap' AS origin, NULL::INT AS h FROM tok WHERE idx % 3 <> 1), n AS (SELECT l_orderkey, idx, 'norm' AS origin, h FROM tok WHERE idx % 3 <> 2)
 SELECT l_orderkey, idx, coalesce(c.origin, n.origin) AS origin, coalesce(c.h, n.h) AS h FROM n FULL JOIN c USING (l_orderkey, idx)""")
 def descriptor_merge(spark, sf):
@@ -216,21 +204,6 @@ def plan_merge_setdefault(spark, sf):
     return R.set_default(rows.select("l_orderkey", "idx"), worker, planner, ["l_orderkey", "idx"], "tokens")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT l_orderkey, idx FROM tok WHERE idx % 4 <> 0 OR h % 2 = 1")
-def unprepared_anti(spark, sf):
-    rows = items(spark, sf)
-    return rows.select("l_orderkey", "idx").join(rows.where("idx % 4 = 0 and h % 2 = 0").select("l_orderkey", "idx"), ["l_orderkey", "idx"], "left_anti")
-
-
-@query("""SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey IS NULL THEN 'ABSENT' WHEN o_orderkey % 5 = 0 THEN 'ABSENT' ELSE o_orderstatus END AS state,
-  CASE WHEN o_orderkey IS NULL THEN 'cache_key_not_found' WHEN o_orderkey % 5 = 0 THEN 'stale_handle' END AS error FROM customer LEFT JOIN orders ON c_custkey = o_custkey""")
-def status_lookup(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    rows = c.join(o, c.c_custkey == o.o_custkey, "left")
-    miss, stale = F.col("o_orderkey").isNull(), F.col("o_orderkey") % 5 == 0
-    return rows.select("c_custkey", "o_orderkey", F.when(miss | stale, "ABSENT").otherwise(F.col("o_orderstatus")).alias("state"), F.when(miss, "cache_key_not_found").when(stale, "stale_handle").alias("error"))
-
-
 @query("""WITH r AS (SELECT c_custkey, o_orderkey, o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey)
 SELECT c_custkey, o_orderkey FROM r WHERE c_custkey NOT IN (SELECT c_custkey FROM r WHERE o_orderstatus = 'P')""")
 def all_match_gate(spark, sf):
@@ -272,8 +245,11 @@ def event_summary(spark, sf):
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
 def percentiles(spark, sf):
-    at = lambda p: F.round(F.percentile("value", p), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    e = table(spark, sf, "events")
+    points = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    plain = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    ranked = gates.percentile(e, "event_type", "value", points)
+    return plain.join(ranked.select("event_type", *(F.round(c, 6).alias(c) for c in points)), "event_type", "left")
 
 
 @query("""WITH c AS (SELECT user_id, event_id, event_type AS key, max(value) AS v FROM events GROUP BY ALL), r AS (SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1),
@@ -285,12 +261,6 @@ def sparse_map_summary(spark, sf):
     return out.select("user_id", "key", F.round("avg", 6).alias("avg"), "max", F.round("sum", 4).alias("sum"))
 
 
-@query("""SELECT event_type AS transport, (user_id % 3)::INT AS image_count, count(*) AS measured, count(*) FILTER (event_id % 10 <> 0) AS ok, round(avg(value), 6) AS e2e_avg, max(value) AS e2e_max FROM events WHERE event_id % 8 >= 3 GROUP BY ALL""")
-def benchmark_matrix(spark, sf):
-    rows = table(spark, sf, "events").where("event_id % 8 >= 3")
-    return rows.groupBy(F.col("event_type").alias("transport"), (F.col("user_id") % 3).cast("int").alias("image_count")).agg(F.count("*").alias("measured"), F.count_if(F.col("event_id") % 10 != 0).alias("ok"), F.round(F.avg("value"), 6).alias("e2e_avg"), F.max("value").alias("e2e_max"))
-
-
 @query(f"""WITH RECURSIVE {ITEMS_SQL}, s AS (SELECT l_orderkey, idx, coalesce(tokens, 0)::BIGINT AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(tokens, 0) DESC, idx) AS k FROM tok),
 f AS (SELECT l_orderkey, 0::BIGINT AS k, NULL::BIGINT AS idx, NULL::INT AS rank, [0, 0, 0, 0]::BIGINT[] AS loads FROM (SELECT DISTINCT l_orderkey FROM s)
   UNION ALL SELECT f.l_orderkey, s.k, s.idx, (list_position(loads, list_min(loads)) - 1)::INT, list_transform(range(1, 5), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.size ELSE 0 END)
@@ -313,25 +283,15 @@ def range_allocation(spark, sf):
     return R.allocate(table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("long")), ["p_partkey"], "p_size", "p_brand").select("p_partkey", "p_brand", "start", "stop")
 
 
-@query("""WITH i AS (SELECT vec_id, coalesce(label, 0) % 4 AS rank, 1 + vec_id % 3 AS n FROM embeddings),
-p AS (SELECT *, sum(n) OVER (PARTITION BY rank ORDER BY vec_id) - n AS off, row_number() OVER (PARTITION BY rank ORDER BY vec_id) - 1 AS pos FROM i)
-SELECT vec_id, rank::INT AS rank, off::BIGINT AS first_row, (off + n)::BIGINT AS last_row, pos::BIGINT AS pos FROM p""")
-def gather_reconstruct(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", (F.coalesce("label", F.lit(0)) % 4).cast("int").alias("rank"), (1 + F.col("vec_id") % 3).alias("n"))
-    rows = R.allocate(R.with_index(rows, "rank", ["vec_id"], "pos"), ["vec_id"], "n", "rank")
-    return rows.select("vec_id", "rank", F.col("start").alias("first_row"), F.col("stop").alias("last_row"), F.col("pos").cast("long").alias("pos"))
-
-
 @query(f"""WITH {ITEMS_SQL}, m AS (SELECT l_orderkey, idx, h % 2 = 0 AS mask, count(*) FILTER (h % 2 = 0) OVER (PARTITION BY l_orderkey ORDER BY idx) AS k FROM tok),
 e AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY w DESC, idx) AS k, w FROM tok WHERE h % 2 = 0)
 SELECT m.l_orderkey, m.idx, CASE WHEN mask THEN e.w ELSE -1 END AS value FROM m LEFT JOIN e ON m.l_orderkey = e.l_orderkey AND m.k = e.k AND mask""")
 def scatter_merge(spark, sf):
-    rows = items(spark, sf).withColumn("mask", F.col("h") % 2 == 0)
-    k = F.count_if("mask").over(Window.partitionBy("l_orderkey").orderBy("idx"))
-    slots = rows.select("l_orderkey", "idx", "mask", F.when(F.col("mask"), k).alias("k"))
-    made = rows.where("mask").select("l_orderkey", "w", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("w"), "idx")).cast("long").alias("k"))
-    out = slots.join(made, ["l_orderkey", "k"], "left")
-    return out.select("l_orderkey", "idx", F.when(F.col("mask"), F.col("w")).otherwise(-1).alias("value"))
+    rows = items(spark, sf).select("l_orderkey", "idx", "w", (F.col("h") % 2 == 0).alias("mask"))
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc(F.when(F.col("mask"), F.col("w"))), "idx")
+    made = rows.withColumn("k", F.row_number().over(order).cast("long")).where("mask").select("l_orderkey", "w", "k")
+    out = features.scatter(rows.drop("w"), made, "l_orderkey", "idx", "mask", "w", F.lit(-1))
+    return out.select("l_orderkey", "idx", F.col("merged").alias("value"))
 
 
 @query("SELECT user_id, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS claimer FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
@@ -384,16 +344,16 @@ def profile_retention(spark, sf):
     return R.newest(table(spark, sf, "events").select("user_id", "event_id"), "user_id", ["event_id"], 4, 8)
 
 
-@query("SELECT sha256(text) AS cache_key, min(doc_id) AS owner, count(*) AS requests FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT sha256(coalesce(text, '')) AS cache_key, min(doc_id) AS owner, count(*) AS requests FROM documents GROUP BY 1")
 def dedup_cache_key(spark, sf):
-    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("cache_key"))
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("cache_key"))
     return rows.groupBy("cache_key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("requests"))
 
 
-@query("SELECT count(*) AS texts, count(DISTINCT sha256(text)) AS different, count(*) = count(DISTINCT sha256(text)) AS is_unique FROM documents WHERE text IS NOT NULL")
+@query("SELECT count(*) AS texts, count(DISTINCT sha256(coalesce(text, ''))) AS different, count(*) = count(DISTINCT sha256(coalesce(text, ''))) AS is_unique FROM documents")
 def uniqueness_audit(spark, sf):
-    digest = F.sha2("text", 256)
-    d = table(spark, sf, "documents").where("text is not null").groupBy(digest.alias("h")).agg(F.count("*").alias("n"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    d = table(spark, sf, "documents").groupBy(digest.alias("h")).agg(F.count("*").alias("n"))
     d = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("texts"), F.count("*").alias("different"))
     return d.select("texts", "different", (F.col("texts") == F.col("different")).alias("is_unique"))
 
@@ -416,30 +376,24 @@ def patchify(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", row.alias("row"), col.alias("col"), "v")
 
 
-@query("""SELECT vec_id, (r.unnest)::INT AS row, 0::INT AS col FROM embeddings, unnest(range(16)) r WHERE len(embedding) = 64""")
+@query(SQL["patchify"])
 def patchify_numpy(spark, sf):
-    def run(parts):
-        for pdf in parts:
-            pdf = pdf[pdf.embedding.map(lambda e: e is not None and len(e) == 64)]
-            made = [tensor.patches(np.asarray(e, dtype=np.float32).reshape(1, 1, 8, 8), 2, 2) for e in pdf.embedding]
-            ids = np.repeat(pdf.vec_id.to_numpy(), 16)
-            yield pd.DataFrame({"vec_id": ids, "row": np.tile(np.arange(16, dtype=np.int32), len(made)), "col": np.array([len(m[0]) - 4 for m in made for _ in range(16)], dtype=np.int32)})
-
-    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, row int, col int")
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(1).to_pylist()
+            made = [tensor.patches(np.asarray(e, dtype=np.float32).reshape(1, 1, 8, 8), 2, 2) for e in flat]
+            rows, cols = np.divmod(np.tile(np.arange(64, dtype=np.int32), len(made)), 4)
+            values = np.concatenate([m.ravel() for m in made]) if made else np.empty(0, dtype=np.float32)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), 64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(values, pa.float32())], ["vec_id", "row", "col", "v"])
 
+    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, row int, col int, v float")
 
-@query(f"WITH {ITEMS_SQL} SELECT l_orderkey, idx::INT AS idx, tokens, 'none' AS note FROM tok")
-def payload_json_roundtrip(spark, sf):
-    rows = items(spark, sf)
-    plan = rows.select(F.to_json(F.struct("l_orderkey", "idx", "tokens")).alias("j"))
-    got = plan.select(F.from_json("j", "l_orderkey long, idx int, tokens int, note string").alias("p"))
-    return got.select("p.l_orderkey", "p.idx", "p.tokens", F.coalesce("p.note", F.lit("none")).alias("note"))
 
-
-@query("""SELECT conv_id, count(*) AS parts, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS shape FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY 1""")
+@query("""SELECT conv_id, count(*) AS parts, string_agg(coalesce(role, '') || ':' || length(coalesce(text, '')), ',' ORDER BY turn NULLS FIRST, coalesce(role, '') || ':' || length(coalesce(text, ''))) AS shape FROM conversations GROUP BY 1""")
 def chat_payload_shape(spark, sf):
-    rows = table(spark, sf, "conversations").where("text is not null and role is not null")
-    part = F.struct("turn", F.concat(F.col("role"), F.lit(":"), F.length("text").cast("string")).alias("s"))
+    rows = table(spark, sf, "conversations")
+    part = F.struct("turn", F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.length(F.coalesce("text", F.lit(""))).cast("string")).alias("s"))
     return rows.groupBy("conv_id").agg(F.count("*").alias("parts"), F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["s"]), ",").alias("shape"))
 
 
@@ -447,14 +401,3 @@ def chat_payload_shape(spark, sf):
 def latency_metrics(spark, sf):
     n = F.col("event_id") % 7
     return table(spark, sf, "events").select("event_id", n.cast("int").alias("tokens"), F.round(F.greatest("value", F.lit(0.0)) / F.greatest(n - 1, F.lit(1)), 6).alias("tpot"), F.sha2("event_type", 256).alias("completion"), (F.trim(F.lower("event_type")) == "click").alias("semantic"))
-
-
-@query("WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT event_id, value / n AS share FROM events JOIN n USING (user_id)")
-def batch_cost_split(spark, sf):
-    n = F.count("*").over(Window.partitionBy("user_id"))
-    return table(spark, sf, "events").where("user_id is not null").select("event_id", (F.col("value") / n).alias("share"))
-
-
-@query("SELECT user_id, count(*) FILTER (event_type <> 'error') = count(*) AS all_ready, count(DISTINCT event_type) AS kinds, min(event_id) AS first_ready, max(event_id) AS all_done FROM events GROUP BY 1")
-def readiness_barrier(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") != "error").alias("all_ready"), F.countDistinct("event_type").alias("kinds"), F.min("event_id").alias("first_ready"), F.max("event_id").alias("all_done"))

@@ -269,3 +269,16 @@ def fast_path(spark, sf):
 def unprepared_images(spark, sf):
     rows = LINES(spark, sf)
     return G.unprepared(rows, rows.where("pk % 4 = 0"), ["req", "pos"])
+
+
+@query(f"WITH {LINES.sql} SELECT req, count(*) AS images, CASE WHEN count(*) < 2 THEN 'image_count_below_min' END AS reason, count(*) >= 2 AS enabled FROM l GROUP BY 1")
+def min_image_bypass(spark, sf):
+    g = LINES(spark, sf).groupBy("req").agg(F.count("*").alias("images"))
+    reason = G.bypass_reason(F.col("images"))
+    return g.select("req", "images", reason.alias("reason"), reason.isNull().alias("enabled"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase') AS n_ready, count(DISTINCT event_id % 4) AS world_size, count(DISTINCT CASE WHEN event_type = 'purchase' THEN event_id % 4 END) = count(DISTINCT event_id % 4) AS all_ready FROM events GROUP BY 1")
+def rank_barrier(spark, sf):
+    rows = Fixture("v", "events", {"user_id": "user_id", "rank": "event_id % 4", "ready": "event_type = 'purchase'"})(spark, sf)
+    return G.barrier(rows, "user_id", "rank", "ready")

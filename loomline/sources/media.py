@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import io
+import json
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from loomline.functions import images
 from loomline.functions.identity import data_url_payload
 
 
@@ -24,72 +31,237 @@ def data_url_bytes(df: DataFrame, url: str) -> DataFrame:
 def _get(url: str, headers: list[tuple[str, str]], timeout_ms: int) -> bytes:
     import urllib.request
 
-    with urllib.request.urlopen(urllib.request.Request(url, headers=dict(headers)), timeout=timeout_ms / 1000) as got:
+    request = urllib.request.Request(url)
+    for name, value in headers:  # in order; of equal names the last counts, as a request holds one of each
+        request.add_header(name, value)
+    with urllib.request.urlopen(request, timeout=timeout_ms / 1000) as got:
         return got.read()
 
 
-def fetch(df: DataFrame, key: str, url: str, timeout_ms: int = 30_000, get: Callable[[str, list, int], bytes] = _get) -> DataFrame:
-    """``(key, content, error)`` of the distinct URLs; a failed fetch is a row with an error, not a failed job."""
+def fetch(df: DataFrame, key: str, url: str, timeout_ms: int = 30_000, get: Callable[[str, list, int], bytes] = _get, headers: str | None = None, timeout: str | None = None) -> DataFrame:
+    """``(key, content, error)`` of every row with a URL; each distinct request is made once.
+
+    ``headers`` names a column of array<struct<name, value>>, ``timeout`` one of milliseconds (null: ``timeout_ms``). A failed
+    fetch gives rows with an error, not a failed job.
+    """
+    sent = F.col(headers) if headers else F.array().cast("array<struct<name: string, value: string>>")
+    wait = F.coalesce(F.col(timeout).cast("int"), F.lit(timeout_ms)) if timeout else F.lit(timeout_ms)
+    asked = df.where(F.col(url).isNotNull()).select(F.col(key).cast("string").alias("key"), F.struct(F.col(url).alias("url"), F.to_json(sent).alias("headers"), wait.alias("timeout")).alias("request"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, error = [], []
-            for u in batch.column(1).to_pylist():
+            for i, r in enumerate(batch.column(0).to_pylist()):
+                content, error = None, None
                 try:
-                    content.append(get(u, [], timeout_ms))
-                    error.append(None)
+                    pairs = [tuple(h.values()) for h in json.loads(r["headers"] or "[]")]
+                    content = get(r["url"], pairs, r["timeout"])
                 except Exception as e:  # noqa: BLE001  any failure of a source is data here
-                    content.append(None)
-                    error.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(error, pa.string())], ["key", "content", "error"])
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["request", "content", "error"])
+
+    got = asked.select("request").distinct().mapInArrow(run, "request struct<url: string, headers: string, timeout: int>, content binary, error string")
+    return asked.join(got, "request").select("key", "content", "error")
+
 
-    rows = df.groupBy(F.col(url).alias("url")).agg(F.min(F.col(key).cast("string")).alias("key")).select("key", "url")
-    return rows.where("url is not null").mapInArrow(run, "key string, content binary, error string")
+# Markers of frame headers, and of segments without a length.
+FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
+BARE = {0x01, *range(0xD0, 0xD8)}
 
 
 def jpeg_size(data: bytes) -> tuple[int, int] | None:
-    """(width, height) from the first frame header; None where the bytes end before it or are no JPEG."""
-    if data[:2] != b"\xff\xd8":
+    """(width, height) from the first frame header; None where the bytes end before it.
+
+    Bytes between segments are skipped up to the next marker. Bytes that don't begin a JPEG, and a segment length
+    under 2, raise ValueError.
+    """
+    if len(data) < 4:
         return None
-    at = 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG stream")
+    at = data.find(b"\xff", 2)
+    while at >= 0:
+        kind = re.compile(rb"\xff+([^\xff])", re.DOTALL).match(data, at)
+        if kind is None or kind[1] == b"\xd9":
             return None
-        kind = data[at + 1]
-        if kind == 0xFF:
-            at += 1
-            continue
-        if kind == 0x01 or 0xD0 <= kind <= 0xD9:
-            at += 2
-            continue
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            if at + 9 > len(data):
+        at = kind.end()
+        if kind[1][0] not in BARE:
+            size = data[at : at + 2]
+            if len(size) < 2:
                 return None
-            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+            length = int.from_bytes(size, "big")
+            if length < 2:
+                raise ValueError(f"invalid JPEG segment length: {length}")
+            if kind[1][0] in FRAMES:
+                sides = data[at + 3 : at + 7]
+                return (int.from_bytes(sides[2:], "big"), int.from_bytes(sides[:2], "big")) if len(sides) == 4 else None
+            at += length
+        at = data.find(b"\xff", at)
     return None
 
 
-def probe_jpeg(df: DataFrame, key: str, content: str = "content", most: int = 65_536) -> DataFrame:
-    """``(key, width, height)`` from the first ``most`` bytes of each row, or from all where those don't reach the frame header."""
+#: Bytes of content, and characters of a data URL's payload, that are looked at first; each next look doubles them.
+CHUNK, CHUNK_CHARS = 8192, 4096
+
+
+def probe_bytes(content: bytes, chunk: int = CHUNK) -> tuple[int, int]:
+    """(width, height) from as little of the content as holds the frame header; by decoding it whole where there is none."""
+    while chunk < len(content):
+        if (size := jpeg_size(content[:chunk])) is not None:
+            return size
+        chunk *= 2
+    try:
+        size = jpeg_size(content)
+    except ValueError:
+        size = None
+    if size is not None:
+        return size
+    height, width = images.decode(content).shape[:2]
+    return width, height
+
+
+def probe_base64(payload: str, chars: int = CHUNK_CHARS) -> tuple[int, int]:
+    """The same from a data URL or bare base64, decoded in pieces of whole groups of four characters."""
+    coded = payload.split(",", 1)[1] if payload.startswith("data:") and "," in payload else payload
+    chars -= chars % 4
+    while chars < len(coded):
+        if (size := jpeg_size(base64.b64decode(coded[:chars]))) is not None:
+            return size
+        chars *= 2
+    return probe_bytes(base64.b64decode(coded + "=" * (-len(coded) % 4)))
+
+
+def probe_jpeg(df: DataFrame, key: str, content: str = "content", most: int = CHUNK) -> DataFrame:
+    """``(key, width, height, error)`` from the first bytes of each row, or from all where those don't reach the frame header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [jpeg_size(c[:most]) or jpeg_size(c) or (None, None) if c else (None, None) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int32()) for x in (zip(*sizes) if sizes else ([], [])))], ["key", "width", "height"])
+            rows = []
+            for c in batch.column(1).to_pylist():
+                try:
+                    rows.append((*probe_bytes(c, most), None) if c else (None, None, None))
+                except Exception as e:  # noqa: BLE001  a broken image is data here
+                    rows.append((None, None, f"{type(e).__name__}: {e}"))
+            width, height, error = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(error, pa.string())], ["key", "width", "height", "error"])
+
+    return df.select(F.col(key).cast("string").alias("key"), content).mapInArrow(run, "key string, width int, height int, error string")
+
+
+def probe_captures(df: DataFrame, key: str) -> DataFrame:
+    """Sizes of captured images (key, transport, image_url, content) by their headers: of local and inline ones, none of HTTP."""
+    inline = F.try_to_binary(data_url_payload(F.trim("image_url")), F.lit("base64"))
+    rows = df.where(F.col("transport").isin("local_path", "base64"))
+    return probe_jpeg(rows.select(key, F.when(F.col("transport") == "base64", inline).otherwise(F.col("content")).alias("content")), key)
+
+
+def catalog(rows: DataFrame, needed: int, least: int = 900) -> DataFrame:
+    """The first ``needed`` photos (pos, id, author, width, height, download_url) of a JSON array's elements ``(pos, item)``.
+
+    Elements without an id, whole sides of ``least`` at least, and a URL are passed over. ``enough`` tells whether there are as many.
+    """
+    get = lambda k: F.get_json_object("item", f"$.{k}")
+    photos = rows.select("pos", get("id").alias("id"), F.coalesce(get("author"), F.lit("unknown")).alias("author"), F.expr("try_cast(get_json_object(item, '$.width') AS int)").alias("width"), F.expr("try_cast(get_json_object(item, '$.height') AS int)").alias("height"), get("download_url").alias("download_url"))
+    photos = photos.where(f"id is not null and download_url is not null and width >= {least} and height >= {least}").orderBy("pos").limit(needed)
+    return photos.crossJoin(photos.agg((F.count("*") >= needed).alias("enough")))  # one row
+
+
+def explicit_urls(lines: DataFrame, needed: int) -> DataFrame:
+    """The first ``needed`` URLs of a file's lines ``(pos, line)``, without blank ones and comments, with ids by their order."""
+    rows = lines.select("pos", F.trim("line").alias("url"), F.col("line").startswith("#").alias("comment")).where("url <> '' and not comment").orderBy("pos").limit(needed)
+    rank = F.row_number().over(Window.orderBy("pos"))  # of at most `needed` rows
+    return rows.select(F.concat(F.lit("explicit-"), F.lpad((rank - 1).cast("string"), 2, "0")).alias("id"), "url")
 
-    return df.select(F.col(key).cast("string").alias("key"), content).mapInArrow(run, "key string, width int, height int")
 
+def streamed(lines: DataFrame, group: str) -> DataFrame:
+    """First and last token time and the text of each response from its event lines ``(group, seq, at, line)``.
 
-def write_tensors(tensors: DataFrame, path: str) -> None:
-    """Tensors as Parquet with a name from (cache_key, epoch); the commit protocol makes the write atomic."""
+    Lines after ``[DONE]``, and lines that carry no content, count for nothing; a response without any has null times and no text.
+    """
+    data = F.when(F.col("line").startswith("data: "), F.substr("line", F.lit(7)))
+    ends = lines.where(data == "[DONE]").groupBy(group).agg(F.min("seq").alias("_end"))
+    content = F.get_json_object(data, "$.choices[0].delta.content")
+    rows = lines.join(ends, group, "left").withColumn("_c", F.when(F.col("_end").isNull() | (F.col("seq") < F.col("_end")), F.nullif(content, F.lit(""))))
+    said = F.filter(F.sort_array(F.collect_list(F.struct("seq", "_c"))), lambda x: x["_c"].isNotNull())
+    at = F.when(F.col("_c").isNotNull(), F.col("at"))
+    return rows.groupBy(group).agg(F.min(at).alias("first_token_at"), F.max(at).alias("last_token_at"), F.count("_c").alias("tokens"), F.array_join(F.transform(said, lambda x: x["_c"]), "").alias("text"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A Markdown table of a report's rows; one of more than ``most`` isn't a report and is refused."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    shown = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *(line(map(shown, r)) for r in got)])
+
+
+#: Bytes of an element.
+ITEM_BYTES = {"float32": 4, "float64": 8, "uint8": 1}
+
+
+def write_tensors(tensors: DataFrame, path: str) -> DataFrame:
+    """Tensors as Parquet with a name from (cache_key, epoch) and their bytes; the commit protocol makes the write atomic.
+
+    Gives descriptors that point to the files: the rows without values, storage_kind ``local_file`` and the path.
+    """
     name = F.sha2(F.concat_ws("|", "cache_key", F.col("epoch").cast("string")), 256)
-    tensors.withColumn("name", name).write.mode("overwrite").parquet(path)
+    size = F.create_map(*(x for k, n in ITEM_BYTES.items() for x in (F.lit(k), F.lit(n))))[F.col("dtype")]
+    named = tensors.withColumn("name", name).withColumn("nbytes", F.aggregate("shape", F.lit(1).cast("long"), lambda s, x: s * x) * size)
+    named.write.mode("append").parquet(path)
+    return named.drop("values").withColumns({"storage_kind": F.lit("local_file"), "path": F.lit(path)})
 
 
-def read_tensors(spark: SparkSession, path: str, dtype: str = "float32") -> DataFrame:
+def read_tensors(spark: SparkSession, path: str, dtype: str | None = None) -> DataFrame:
     """Tensors with ``error``: set where the shape, the dtype or the byte count contradicts the values."""
     rows = spark.read.parquet(path)
     n = F.aggregate("shape", F.lit(1).cast("long"), lambda s, x: s * x)
-    error = F.when(F.col("dtype") != dtype, "dtype").when(F.size("values") != n, "shape").when(F.col("nbytes") != n * 4, "nbytes")
+    size = F.create_map(*(x for k, b in ITEM_BYTES.items() for x in (F.lit(k), F.lit(b))))[F.col("dtype")]
+    wrong = size.isNull() if dtype is None else F.col("dtype") != dtype
+    error = F.when(wrong, "dtype").when(F.size("values") != n, "shape").when(F.col("nbytes") != n * size, "nbytes")
     return rows.withColumn("error", error)
+
+
+def load_tensors(files: DataFrame) -> DataFrame:
+    """Tensors (path, values, error) of files ``(path, content, format, shape, dtype, nbytes)`` in ``npy`` or ``raw`` form.
+
+    What contradicts the reference's shape, dtype or byte count, or a raw file's size, is an error.
+    """
+
+    def load(content: bytes, form: str, shape: list[int], dtype: str, nbytes: int) -> np.ndarray:
+        want = int(np.prod(shape, dtype=np.int64)) * np.dtype(dtype).itemsize
+        if nbytes != want:
+            raise ValueError("nbytes")
+        if form == "npy":
+            got = np.load(io.BytesIO(content), allow_pickle=False)
+        elif len(content) != want:
+            raise ValueError("file size")
+        else:
+            got = np.frombuffer(content, dtype=dtype).reshape(shape)
+        if list(got.shape) != list(shape):
+            raise ValueError("shape")
+        if got.dtype != np.dtype(dtype):
+            raise ValueError("dtype")
+        return got
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, *ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values, error = None, None
+                try:
+                    values = load(*ref).ravel().astype(np.float32)
+                except Exception as e:  # noqa: BLE001  a broken file is data here
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([values], pa.list_(pa.float32())), pa.array([error], pa.string())], ["path", "values", "error"])
+
+    return files.select("path", "content", "format", "shape", "dtype", "nbytes").mapInArrow(run, "path string, values array<float>, error string")
+
+
+def drop_evicted(tensors: DataFrame, evicted: DataFrame) -> DataFrame:
+    """Tensors that stay when those of (cache_key, epoch) are evicted or replaced."""
+    return tensors.join(evicted.select("cache_key", "epoch"), ["cache_key", "epoch"], "left_anti")

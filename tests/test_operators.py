@@ -1,7 +1,13 @@
+import base64
+import io
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import images
+from loomline.operators import images as pipeline
 from loomline.operators import relational as R
 from loomline.operators import validation as V
 from loomline.sources import media
@@ -119,20 +125,110 @@ def test_fold_equals_stream(spark, tmp_path):
 
 def test_media(spark, tmp_path):
     head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc0\x00\x11\x08\x02\x00\x01\x20\x03"
-    assert media.jpeg_size(head) == (288, 512) and media.jpeg_size(head[:12]) is None and media.jpeg_size(b"GIF89a") is None
-    df = spark.createDataFrame([(1, bytearray(head)), (2, None), (3, bytearray(b""))], "id long, content binary")
-    assert {tuple(r) for r in media.probe_jpeg(df, "id").collect()} == {("1", 288, 512), ("2", None, None), ("3", None, None)}
+    assert media.jpeg_size(head) == (288, 512) and media.jpeg_size(head[:12]) is None and media.jpeg_size(b"\xff\xd8\xff") is None
+    for broken in (b"GIF89a", b"\xff\xd8\xff\xe0\x00\x01"):
+        with pytest.raises(ValueError):
+            media.jpeg_size(broken)
+    frame = head[-9:]
+    assert media.jpeg_size(b"\xff\xd8junk\xff\x01" + b"\xff" + frame[1:] if frame[0] == 0xFF else head) == (288, 512)  # bytes between segments
+    assert media.jpeg_size(b"\xff\xd8\xff\xd9" + frame) is None  # nothing after the end of the image
+    df = spark.createDataFrame([(1, bytearray(head)), (2, None), (3, bytearray(b"")), (4, bytearray(b"GIF89a")), (5, bytearray(images.encode_png(np.zeros((5, 7, 3), dtype=np.uint8))))], "id long, content binary")
+    got = {r["key"]: tuple(r)[1:] for r in media.probe_jpeg(df, "id").collect()}
+    assert got["1"] == (288, 512, None) and got["2"] == got["3"] == (None, None, None) and got["5"] == (7, 5, None) and got["4"][2].startswith("ValueError")
+    assert media.probe_base64("data:image/jpeg;base64," + base64.b64encode(head).decode(), 8) == (288, 512)
     urls = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, u string")
 
     def get(u, headers, timeout):
         if u == "b":
             raise OSError("no")
-        return u.encode()
+        return f"{u}{headers}{timeout}".encode()
 
     got = {r["key"]: (r["content"] and bytes(r["content"]), r["error"]) for r in media.fetch(urls, "id", "u", get=get).collect()}
-    assert got == {"1": (b"a", None), "3": (None, "OSError: no")}
+    assert got == {"1": (b"a[]30000", None), "2": (b"a[]30000", None), "3": (None, "OSError: no")}
+    urls = spark.createDataFrame([(1, "a", [("k", "v"), ("k", "w")], 5), (2, "a", None, None)], "id long, u string, h array<struct<name: string, value: string>>, t int")
+    got = {r["key"]: bytes(r["content"]).decode() for r in media.fetch(urls, "id", "u", get=get, headers="h", timeout="t").collect()}
+    assert got == {"1": "a[('k', 'v'), ('k', 'w')]5", "2": "a[]30000"}
     coded = media.data_url_bytes(spark.createDataFrame([("data:;base64,QUI=",), ("x",)], "u string"), "u").collect()
     assert [r["content"] and bytes(r["content"]) for r in coded] == [b"AB", None]
     t = spark.createDataFrame([("k", 1, [3, 4], "float32", 48, [float(i) for i in range(12)]), ("j", 1, [3, 5], "float32", 60, [0.0])], "cache_key string, epoch int, shape array<int>, dtype string, nbytes long, values array<float>")
     media.write_tensors(t, f"{tmp_path}/t")
-    assert {r["cache_key"]: r["error"] for r in media.read_tensors(spark, f"{tmp_path}/t").collect()} == {"k": None, "j": "shape"}
+    back = media.read_tensors(spark, f"{tmp_path}/t")
+    assert {r["cache_key"]: (r["error"], r["nbytes"]) for r in back.collect()} == {"k": (None, 48), "j": ("shape", 60)}
+    assert [r["cache_key"] for r in media.drop_evicted(back, t.where("cache_key = 'j'")).collect()] == ["k"]
+    out = io.BytesIO()
+    np.save(out, np.arange(6, dtype=np.float32).reshape(2, 3))
+    raw = np.arange(6, dtype=np.float32).tobytes()
+    files = [("a", out.getvalue(), "npy", [2, 3], "float32", 24), ("b", raw, "raw", [2, 3], "float32", 24), ("c", raw[:-1], "raw", [2, 3], "float32", 24), ("d", out.getvalue(), "npy", [3, 2], "float32", 24), ("e", raw, "raw", [2, 3], "float32", 20)]
+    got = {r["path"]: (r["values"], r["error"]) for r in media.load_tensors(spark.createDataFrame(files, "path string, content binary, format string, shape array<int>, dtype string, nbytes long")).collect()}
+    assert got["a"] == got["b"] == ([0.0, 1.0, 2.0, 3.0, 4.0, 5.0], None)
+    assert [got[k][1] for k in "cde"] == ["ValueError: file size", "ValueError: shape", "ValueError: nbytes"]
+    assert media.markdown(spark.createDataFrame([(1, 2.0, "a|b")], "x long, y double, z string")).splitlines()[2] == "| 1 | 2.00 | a\\|b |"
+
+
+def _filtered_png(pixels, kinds):
+    """A PNG whose rows use the given filters, made byte by byte."""
+    import struct
+    import zlib
+
+    h, w, n = pixels.shape
+    flat = pixels.reshape(h, w * n).astype(int)
+    raw = b""
+    for y in range(h):
+        row = [kinds[y % len(kinds)]]
+        for i in range(w * n):
+            left, up, corner = (flat[y, i - n] if i >= n else 0), (flat[y - 1, i] if y else 0), (flat[y - 1, i - n] if y and i >= n else 0)
+            p = left + up - corner
+            paeth = left if abs(p - left) <= abs(p - up) and abs(p - left) <= abs(p - corner) else up if abs(p - up) <= abs(p - corner) else corner
+            row.append((flat[y, i] - [0, left, up, (left + up) // 2, paeth][row[0]]) % 256)
+        raw += bytes(row)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_image_formats():
+    import struct
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 4):
+        x = rng.integers(0, 256, (9, 7, n)).astype(np.uint8)
+        assert (images.decode(_filtered_png(x, [0, 1, 2, 3, 4])) == x).all()
+        assert images.to_rgb(x).shape == (9, 7, 3)
+    x = rng.integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    assert (images.decode(images.encode_png(x)) == x).all()
+    assert (images.decode(b"P6\n# note\n5 3\n255\n" + x.tobytes()) == x).all()
+    rows = b"".join(r[:, ::-1].tobytes() + b"\0" for r in x[::-1])
+    assert (images.decode(b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 5, 3, 1, 24, 0, 0, 0, 0, 0, 0) + rows) == x).all()
+
+
+def test_jpeg_files_and_local_pipeline(spark, tmp_path):
+    x = np.zeros((60, 90, 3), dtype=np.uint8)
+    x[:, :45, 0], x[:, 45:, 2] = 255, 255  # red left, blue right
+    (tmp_path / "a.png").write_bytes(images.encode_png(x))
+    jvm = spark.sparkContext._jvm
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(f"{tmp_path}/a.png"))
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/b.jpg"))
+    got = {r["origin"][-5:]: r for r in pipeline.decode_files(spark, str(tmp_path)).collect()}
+    assert (np.frombuffer(got["a.png"]["pixels"], dtype=np.uint8).reshape(60, 90, 3) == x).all()
+    near = np.frombuffer(got["b.jpg"]["pixels"], dtype=np.uint8).reshape(60, 90, 3).astype(int)
+    assert abs(near[:, :30] - x[:, :30]).max() < 12 and abs(near[:, 60:] - x[:, 60:]).max() < 12
+    data = (tmp_path / "b.jpg").read_bytes()
+    assert media.probe_bytes(data, 16) == (90, 60)
+    rows = spark.createDataFrame([("ok", bytearray(images.encode_png(x))), ("broken", bytearray(b"no")), ("none", None), ("long", bytearray(images.encode_png(np.zeros((1, 300, 3), dtype=np.uint8))))], "k string, content binary")
+    made = {r["key"]: r for r in pipeline.run_locally(rows, "k").collect()}
+    ok = made["ok"]
+    assert (ok["grid_t"], ok["grid_h"], ok["grid_w"], ok["tokens"], ok["shape"], ok["nbytes"]) == (1, 4, 6, 6, [24, 1176], 24 * 1176 * 4)
+    assert abs(ok["mean"] + 1 / 3) < 0.02 and len(ok["values"]) == 24 * 1176
+    assert all(made[k]["error"] and made[k]["values"] is None for k in ("broken", "none", "long"))
+
+
+def test_same_sides_in_numpy_and_spark(spark):
+    from loomline.functions import geometry
+
+    sizes = [(h, w) for h in (1, 13, 60, 500, 1500, 4000) for w in (1, 27, 300, 1000, 3000)]
+    df = spark.createDataFrame(sizes, "h int, w int")
+    a, b = geometry.resized(F.col("h"), F.col("w"), 28, 3136, 1_003_520)
+    for r in df.select("h", "w", a.alias("a"), b.alias("b")).collect():
+        try:
+            assert images.sides(r["h"], r["w"], 28, 3136, 1_003_520) == (r["a"], r["b"])
+        except ValueError:
+            assert r["a"] is None
