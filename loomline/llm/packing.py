@@ -56,6 +56,8 @@ class Encoder:
         self.lengths = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
         for t, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.lengths[i] = len(t)
+        #: Ids travel in two bytes where all fit.
+        self.kind = encoder_kind(path)
         self.known: dict[str, bytes] = {}
         self.odd = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]|\\n | \\n|  ")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
@@ -66,34 +68,42 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        return np.array(self.bpe.encode(text, allowed_special="all"), dtype=self.kind).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.parts(t) for t in texts]
-        flat = [p for parts in cut for p in parts]
+        return [np.frombuffer(x, dtype=self.kind).astype("<u4").tobytes() for x in self.encode_narrow(texts)]
+
+    def encode_narrow(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as numbers of the type ``kind``."""
+        flat: list[str] = []
+        ends = []
+        for t in texts:
+            flat += self.parts(t)
+            ends.append(len(flat))
         ids = list(map(self.known.get, flat))
-        if None in ids:
-            new = dict.fromkeys(p for p, v in zip(flat, ids, strict=True) if v is None)
+        missing = [i for i, v in enumerate(ids) if v is None]
+        if missing:
+            new = dict.fromkeys(flat[i] for i in missing)
             inner = [p for p in new if p[:1] == " " and p[1:2].strip() and p[-1:].strip()]
             if inner:
-                got = np.array(self.bpe.encode("".join(inner), allowed_special="all"), dtype="<u4")
-                ends = np.cumsum([len(p.encode()) for p in inner])
-                stops = np.searchsorted(np.cumsum(self.lengths[got]), ends) + 1
+                got = np.array(self.bpe.encode("".join(inner), allowed_special="all"), dtype=self.kind)
+                stops = (np.searchsorted(np.cumsum(self.lengths[got]), np.cumsum([len(p.encode()) for p in inner])) + 1) * got.itemsize
                 raw, start = got.tobytes(), 0
                 for p, stop in zip(inner, stops.tolist(), strict=True):
-                    new[p] = raw[4 * start : 4 * stop]
+                    new[p] = raw[start:stop]
                     start = stop
             for p, v in new.items():
                 if v is None:
                     new[p] = self.encode(p)
-            ids = [new[p] if v is None else v for p, v in zip(flat, ids, strict=True)]
+            for i in missing:
+                ids[i] = new[flat[i]]
             if len(self.known) < REMEMBERED:
                 self.known.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
         out, at = [], 0
-        for parts in cut:
-            out.append(b"".join(ids[at : at + len(parts)]))
-            at += len(parts)
+        for end in ends:
+            out.append(b"".join(ids[at:end]))
+            at = end
         return out
 
 
@@ -102,6 +112,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@functools.cache
+def encoder_kind(path: str) -> np.dtype:
+    """The type in which a vocabulary's ids travel, from its largest id alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
 def lengths_of(n: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of the pieces that a document of ``n`` ids is cut into."""
     out, left = [capacity] * (n // capacity), n % capacity
@@ -116,20 +135,21 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, and the ids as little-endian unsigned 32-bit numbers. A null text is empty."""
+    """The pieces of every document: doc_id, start, length, ids_crc32 (of unsigned 32-bit ids), doc_tokens, and the ids as the encoder's ``kind``. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        width = enc.kind.itemsize
         for batch in batches:
             for part in slices(batch, 1):
-                ids = enc.encode_all([t or "" for t in part.column(1).to_pylist()])
+                ids = enc.encode_narrow([t or "" for t in part.column(1).to_pylist()])
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), ids, strict=True):
-                    raw += b"\0\0\0\0"
-                    start, n = 0, len(raw) // 4
+                    raw += b"\0" * width
+                    wide = raw if width == 4 else np.frombuffer(raw, dtype=enc.kind).astype("<u4").tobytes()
+                    start, n = 0, len(raw) // width
                     for size in lengths_of(n, capacity):
-                        own = raw[4 * start : 4 * (start + size)]
-                        rows.append((doc, start, size, zlib.crc32(own), n, own))
+                        rows.append((doc, start, size, zlib.crc32(wide[4 * start : 4 * (start + size)]), n, raw[width * start : width * (start + size)]))
                         start += size
                 *numbers, held = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(held, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
@@ -137,8 +157,25 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+def widened(pieces: DataFrame, vocabulary: str) -> DataFrame:
+    """The pieces with their ids, the last column, as little-endian unsigned 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder_kind(vocabulary)
+        for batch in batches:
+            for part in slices(batch, batch.num_columns - 1, 1 << 14, 16 << 20):
+                ids = part.column(part.num_columns - 1).cast(pa.large_binary())
+                ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+                flat = np.frombuffer(ids.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind).astype("<u4")
+                wide = ((ends - ends[0]) * (4 // kind.itemsize)).astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(wide), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], part.schema.names)
+
+    return pieces.mapInArrow(run, pieces.schema)
+
+
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: the columns of PIECES, sequence_id (dense from 0), offset within the sequence.
+    """One row per piece: the columns of PIECES, sequence_id (dense from 0), offset within the sequence; ids as little-endian unsigned 32-bit numbers.
 
     Every id of every row lies in one piece, rows that repeat a doc_id are packed each; an empty
     text is one piece of one id; an empty table gives no rows. Other columns are ignored. Pieces are
@@ -177,4 +214,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     ahead = Window.partitionBy("sequence_id").orderBy("k", "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long")
     placed = both.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "piece")
-    return placed.join(held.select("piece", "ids"), "piece").drop("piece")
+    return widened(placed.join(held.select("piece", "ids"), "piece").drop("piece"), vocabulary)
