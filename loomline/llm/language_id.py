@@ -199,15 +199,17 @@ def _blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 
 def sample_of(docs: DataFrame, sample: int, longest: int) -> DataFrame:
-    """At most ``sample`` rows (lang, text) of each language, the texts cut to ``longest`` bytes."""
+    """At most ``sample`` rows (lang, text) of each language, the texts cut to ``longest`` bytes.
+
+    The languages' documents are counted first; a share of them by hash, about twice the sample, is ranked.
+    """
     long, drawn = (F.octet_length("text") > longest).alias("long"), F.xxhash64("doc_id").alias("h")
     rows = docs.where(remainder(F.col("doc_id")) != 2).where("lang is not null and octet_length(text) > 0")
-    order = Window.partitionBy("lang").orderBy("long", "h")
-    last = rows.select("lang", long, drawn).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    last = save(last.groupBy("lang").agg(F.max(F.struct("long", "h")).alias("last")))
-    few = last.count() <= MOST_BROADCAST  # else texts are shuffled by language
-    near = rows.select("lang", long, drawn, F.substring(F.col("text").cast("binary"), 1, longest).alias("text")).join(F.broadcast(last) if few else last, "lang")
-    near = near.where(F.struct("long", "h") <= F.col("last"))  # `sample` rows a language, but for repeated ids
+    counts = save(rows.groupBy("lang", long).agg(F.count("*").alias("n")))
+    few = counts.count() <= MOST_BROADCAST  # else texts are shuffled by language
+    near = rows.select("lang", long, drawn, F.substring(F.col("text").cast("binary"), 1, longest).alias("text"))
+    near = near.join(F.broadcast(counts) if few else counts, ["lang", "long"])
+    near = near.where(F.pmod(F.shiftrightunsigned("h", 16), F.lit(1 << 31)) * F.col("n") < F.lit(float(1 << 31)) * 2 * sample)
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "text")
 
