@@ -47,8 +47,15 @@ def _cubic(x: np.ndarray) -> np.ndarray:
     return np.where(x < 1, near, np.where(x < 2, far, 0.0))
 
 
+#: Bits after the point of a weight.
+WEIGHT_BITS = 22
+
+
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Antialiased bicubic resizing of (rows, columns, channels) bytes, rounded to bytes after each axis."""
+    """Antialiased bicubic resizing of (rows, columns, channels) bytes, rounded to bytes after each axis.
+
+    Weights are whole numbers of 2^-WEIGHT_BITS, so sums are exact and ties don't depend on their order.
+    """
     for axis, size in ((1, width), (0, height)):
         n = image.shape[axis]
         if n == size:
@@ -58,8 +65,9 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         at = (np.arange(size) + 0.5) * scale
         weights = _cubic((np.arange(n)[None] + 0.5 - at[:, None]) / wide)
         weights /= weights.sum(axis=1, keepdims=True)
-        moved = np.tensordot(weights, image.astype(np.float64), axes=(1, axis))
-        image = np.clip(np.floor((moved if axis == 0 else moved.transpose(1, 0, 2)) + 0.5), 0, 255).astype(np.uint8)
+        whole = np.trunc(weights * (1 << WEIGHT_BITS) + np.where(weights < 0, -0.5, 0.5))
+        moved = np.tensordot(whole, image.astype(np.float64), axes=(1, axis))  # below 2^53: exact
+        image = np.clip(np.floor(((moved if axis == 0 else moved.transpose(1, 0, 2)) + (1 << WEIGHT_BITS - 1)) / (1 << WEIGHT_BITS)), 0, 255).astype(np.uint8)
     return image
 
 

@@ -101,3 +101,14 @@ def phases(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(
         (F.min("ready_at") - start).alias("first_ready"), (F.max("ready_at") - start).alias("all_ready"), (F.max("fetched_at") - F.max("ready_at")).alias("fetch"), F.coalesce(F.sum("nbytes"), F.lit(0)).alias("nbytes")
     )
+
+
+def of_request(rows: DataFrame, group: str, request: object) -> DataFrame:
+    """The profiles of one request."""
+    return rows.where(F.col(group) == request)
+
+
+def refreshed(rows: DataFrame, group: str, row: str, key: str, value: str) -> DataFrame:
+    """The summary of a request's profiles with their number."""
+    sizes = rows.groupBy(group).agg(F.countDistinct(row).alias("profiles"))
+    return sparse_summary(rows, group, row, key, value).join(sizes, group)

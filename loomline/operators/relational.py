@@ -128,3 +128,49 @@ def first_queued(rows: DataFrame, group: str, order: list[str], most: int) -> Da
     """The first ``most`` rows of each queue, in order: what one poll takes."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
+def cache_fold(events: DataFrame, group: str, ttl: int, budget: int) -> DataFrame:
+    """A cache's state after its events (group, seq, kind, key, size, at): hits, misses and the keys it holds.
+
+    ``put`` replaces a key, lets it run out at at + ttl, and evicts the least recently used until all sizes are within the
+    budget, which an item above the budget doesn't survive itself; ``get`` makes a key the last used one without prolonging it. A
+    group's events are folded in one task, as their order asks for.
+    """
+    entry = "struct<key: string, size: bigint, used: bigint, expires: bigint>"
+    zero = f"named_struct('e', CAST(array() AS array<{entry}>), 'hits', 0, 'misses', 0)"
+    alive = "filter(s.e, v -> v.expires > x.at)"
+    new = f"CAST(named_struct('key', x.key, 'size', x.size, 'used', x.seq, 'expires', x.at + {ttl}) AS {entry})"
+    put = f"concat(filter({alive}, v -> v.key <> x.key), array({new}))"
+    kept = f"transform(array({put}), l -> filter(l, v -> aggregate(filter(l, w -> w.used >= v.used), 0L, (t, w) -> t + w.size) <= {budget}))[0]"
+    touched = f"transform({alive}, v -> CASE WHEN v.key = x.key THEN CAST(named_struct('key', v.key, 'size', v.size, 'used', x.seq, 'expires', v.expires) AS {entry}) ELSE v END)"
+    hit = f"exists({alive}, v -> v.key = x.key)"
+    step = f"""CASE WHEN x.kind = 'put' THEN named_struct('e', {kept}, 'hits', s.hits, 'misses', s.misses)
+      ELSE named_struct('e', {touched}, 'hits', s.hits + CAST({hit} AS int), 'misses', s.misses + CAST(NOT {hit} AS int)) END"""
+    rows = events.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "key", "size", "at"))).alias("e"))
+    rows = rows.select(group, F.expr(f"aggregate(e, {zero}, (s, x) -> {step})").alias("s"))
+    return rows.select(group, "s.hits", "s.misses", F.array_join(F.array_sort(F.transform("s.e", lambda v: v["key"])), ",").alias("keys"))
+
+
+def allocate_within(rows: DataFrame, order: list[str], count: str, group: str, available: Column) -> DataFrame:
+    """``allocate`` from a stock of ``available`` items a group; a range that reaches beyond it is an error."""
+    out = allocate(rows, order, count, group)
+    return out.withColumn("error", F.when(F.col("stop") > available, "not enough items left"))
+
+
+def compare_modes(left: DataFrame, right: DataFrame, keys: list[str], modes: dict[str, list[str]]) -> DataFrame:
+    """Rows of two extractions that differ, counted for each mode by the fields that it tells; a row on one side differs in every mode."""
+    fields = sorted({f for own in modes.values() for f in own})
+    a = left.select(*keys, F.lit(True).alias("_a"), *(F.col(f).alias(f"_a_{f}") for f in fields))
+    b = right.select(*keys, F.lit(True).alias("_b"), *(F.col(f).alias(f"_b_{f}") for f in fields))
+    both = a.join(b, keys, "full")
+    one = F.col("_a").isNull() | F.col("_b").isNull()
+
+    def differs(own: list[str]) -> Column:
+        out = one
+        for f in own:
+            out = out | ~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}"))
+        return out
+
+    counts = both.agg(*(F.count_if(differs(own)).alias(m) for m, own in modes.items()), F.count("*").alias("_n"))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("mismatches"), F.col("_n").alias("rows")) for m in modes))).alias("r")).select("r.*")
