@@ -85,3 +85,11 @@ def bench_metadata(h: Column, w: Column, patch: int, merge: int, temporal: int,
     n = max(1, 1 // temporal) * gh * gw
     shape = F.concat(F.lit("("), n.cast("string"), F.lit(f", {payload_width(patch, temporal, channels)})"))
     return F.struct(gh.alias("grid_h"), gw.alias("grid_w"), F.floor(n / merge**2).cast("int").alias("tokens"), shape.alias("payload_shape"), F.lit("float32").alias("dtype"))
+
+
+def scheduled(h: Column, w: Column, patch: int, merge: int, temporal: int, low: int, high: int, do_resize: bool = True) -> Column:
+    """A worker's schedule item: sides, grid and tokens; null where the image is rejected. Without resizing the sides stay."""
+    rh, rw = resized(h, w, patch * merge, low, high) if do_resize else (h.cast("int"), w.cast("int"))
+    t, gh, gw = grid(rh, rw, patch, temporal)
+    item = F.struct(rh.alias("rh"), rw.alias("rw"), t.alias("grid_t"), gh.alias("grid_h"), gw.alias("grid_w"), tokens(t, gh, gw, merge).alias("tokens"))
+    return F.when(rh.isNotNull(), item)

@@ -56,7 +56,7 @@ def decode_plan(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("{"), made)
 
 
-def found_payload(params: Column, features: Column, key: str = "mm_sidecar") -> Column:
+def found_payload(params: Column, features: Column, key: str = "request_plan") -> Column:
     """The payload object in a map of extra arguments, else in the first of the features' maps that has one."""
     own = lambda m: F.get(F.filter(F.array(F.try_element_at(m, F.lit(key))), lambda x: F.coalesce(x.startswith("{"), F.lit(False))), F.lit(0))
     return F.coalesce(own(params), F.get(F.filter(F.transform(features, own), lambda x: x.isNotNull()), F.lit(0)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.functions import payloads
+
 
 def by_index(items: DataFrame, group: str, index: str, pos: str) -> DataFrame:
     """Items by index, which defaults to the position; of equal indexes the last counts."""
@@ -123,3 +125,10 @@ def cursor(slices: DataFrame, context: DataFrame, group: str) -> DataFrame:
     zero = "named_struct('at', 0, 'out', CAST(array() AS array<struct<call: bigint, start: int>>))"
     folded = calls.join(context, group).select(group, F.explode(F.expr(f"aggregate(c, {zero}, (s, x) -> {step}).out")).alias("o"))
     return folded.select(group, "o.call", "o.start")
+
+
+def serialized(planned: DataFrame, descriptors: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned items with a descriptor as JSON, with the descriptor's transport and source key; items without one are left out."""
+    rows = planned.join(descriptors.select(*keys, "transport", "source_key"), keys)
+    fields = ("request_media_index", "item_identity", "transport", "source_key", "image_grid_thw", "placeholder_token_count", "processor_signature")
+    return rows.select(*keys, payloads.encode(**{c: F.col(c) for c in fields}).alias("item"))

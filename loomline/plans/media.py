@@ -61,10 +61,10 @@ def planner_schedule(spark, sf):
     return d.select("doc_id", item.alias("i")).select("doc_id", "i.*")
 
 
-@query("""SELECT p_partkey, 'model=' || p_name || '|rev=main|processor=qwen|patch=' || (10 + p_size % 5) || '|merge=2|temporal=2|min_pixels=3136|max_pixels=1003520|do_resize=' || (p_partkey % 2) || '|resize_strategy=smart|crop_strategy=none|pad_strategy=none|resample=bicubic|do_rescale=1|rescale_factor=0.00392156862745098|do_normalize=1|image_mean=0.5,0.5,0.5|image_std=0.5,0.25,1.0|do_convert_rgb=1|data_format=channels_first|output_dtype=float32' AS sig FROM part""")
+@query("""SELECT p_partkey, 'model=' || p_name || '|rev=main|processor=fast|patch=' || (10 + p_size % 5) || '|merge=2|temporal=2|min_pixels=3136|max_pixels=1003520|do_resize=' || (p_partkey % 2) || '|resize_strategy=smart|crop_strategy=none|pad_strategy=none|resample=bicubic|do_rescale=1|rescale_factor=0.00392156862745098|do_normalize=1|image_mean=0.5,0.5,0.5|image_std=0.5,0.25,1.0|do_convert_rgb=1|data_format=channels_first|output_dtype=float32' AS sig FROM part""")
 def processor_signature(spark, sf):
     p = Fixture("p", "part", {"p_partkey": "p_partkey", "p_name": "p_name", "p_size": "p_size"})(spark, sf)
-    sig = signature.processor(model=F.col("p_name"), rev="main", processor="qwen", patch=10 + F.col("p_size") % 5, min_pixels=3136, max_pixels=1_003_520, do_resize=F.col("p_partkey") % 2 == 1, image_std=(0.5, 0.25, 1.0))
+    sig = signature.processor(model=F.col("p_name"), rev="main", processor="fast", patch=10 + F.col("p_size") % 5, min_pixels=3136, max_pixels=1_003_520, do_resize=F.col("p_partkey") % 2 == 1, image_std=(0.5, 0.25, 1.0))
     return p.select("p_partkey", sig.alias("sig"))
 
 
@@ -113,8 +113,8 @@ def tolerant_plan(spark, sf):
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '{\"b\":2}' END AS payload, CASE WHEN event_id % 5 = 0 THEN 'i' || event_id || '|s' ELSE 'k' || event_id END AS mm_hash FROM events")
 def payload_lookup(spark, sf):
     e = F.col("event_id")
-    params = F.when(e % 3 == 0, F.create_map(F.lit("mm_sidecar"), F.lit('{"a":1}'))).when(e % 3 == 1, F.create_map(F.lit("mm_sidecar"), F.lit("text")))
-    nested = F.when(e % 3 != 2, F.array(F.create_map(F.lit("other"), F.lit("{}")), F.create_map(F.lit("mm_sidecar"), F.lit('{"b":2}'))))
+    params = F.when(e % 3 == 0, F.create_map(F.lit("request_plan"), F.lit('{"a":1}'))).when(e % 3 == 1, F.create_map(F.lit("request_plan"), F.lit("text")))
+    nested = F.when(e % 3 != 2, F.array(F.create_map(F.lit("other"), F.lit("{}")), F.create_map(F.lit("request_plan"), F.lit('{"b":2}'))))
     n = e.cast("string")
     key = F.when(e % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("k"), n))
     rows = Fixture("v", "events", {"event_id": "event_id"})(spark, sf)

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomline.functions import geometry, identity, tensor
+from loomline.functions import geometry, identity, payloads, tensor
+from loomline.operators import features as T
 from loomline.operators import profiles as P
 from loomline.operators import relational as R
 from loomline.plans.catalog import SIDES_SQL, resize_sql
@@ -107,3 +108,37 @@ def tensor_files(spark, sf):
     files = rows.select(F.col("vec_id").cast("string").alias("path"), "content", F.when(k == 1, "raw").otherwise("npy").alias("format"), F.when(k == 3, F.array(F.lit(4), F.lit(16))).otherwise(F.array(F.lit(8), F.lit(8))).alias("shape"), F.lit("float32").alias("dtype"), F.when(k == 4, 255).otherwise(256).cast("long").alias("nbytes"))
     total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
     return media.load_tensors(files).select(F.col("path").cast("long").alias("vec_id"), "error", F.round(total, 4).alias("total"))
+
+
+PLANNED = {"req": "o_custkey", "request_media_index": "CAST(o_orderkey AS INT)", "item_identity": "concat('i', CAST(o_orderkey AS VARCHAR(20)))", "placeholder_token_count": "CAST(o_orderkey % 9 + 1 AS INT)", "processor_signature": "'s'"}
+
+
+@query("SELECT o_custkey AS req, o_orderkey::INT AS request_media_index, 'i' || o_orderkey AS item_identity, CASE WHEN o_orderkey % 2 = 0 THEN 'http' ELSE 'base64' END AS transport, 'k' || o_orderkey AS source_key, (o_orderkey % 9 + 1)::INT AS tokens, (o_orderkey % 5 + 1)::INT AS grid_h FROM orders WHERE o_orderkey % 3 <> 0")
+def planned_serialization(spark, sf):
+    planned = Fixture("p", "orders", PLANNED)(spark, sf)
+    planned = planned.withColumn("image_grid_thw", F.array(F.lit(1), F.col("request_media_index") % 5 + 1, F.lit(2)))
+    known = Fixture("d", "orders", {"req": "o_custkey", "request_media_index": "CAST(o_orderkey AS INT)", "transport": "CASE WHEN o_orderkey % 2 = 0 THEN 'http' ELSE 'base64' END", "source_key": "concat('k', CAST(o_orderkey AS VARCHAR(20)))"}, "o_orderkey % 3 <> 0")
+    rows = T.serialized(planned, known(spark, sf), ["req", "request_media_index"])
+    got = rows.select("req", payloads.decode(F.col("item"), payloads.PLANNED).alias("i"))
+    return got.select("req", "i.request_media_index", "i.item_identity", "i.transport", "i.source_key", F.col("i.placeholder_token_count").alias("tokens"), F.col("i.image_grid_thw")[1].alias("grid_h"))
+
+
+@query(f"WITH {SIDES_SQL}, r AS (SELECT doc_id, {resize_sql('h', 'w')[0]} AS rh, {resize_sql('h', 'w')[1]} AS rw FROM d) SELECT doc_id, rh, rw, CASE WHEN rh > 0 THEN 1 END::INT AS grid_t, CASE WHEN rh > 0 THEN greatest(1, rh // 14) END::INT AS grid_h, CASE WHEN rh > 0 THEN greatest(1, rw // 14) END::INT AS grid_w, CASE WHEN rh > 0 THEN greatest(1, greatest(1, rh // 14) * greatest(1, rw // 14) // 4) END::INT AS tokens FROM r")
+def worker_schedule(spark, sf):
+    d = Fixture("d", "documents", {"doc_id": "doc_id", "h": "CAST(doc_id * 37 % 3000 + 1 AS INT)", "w": "CAST(n_chars * 13 % 2800 + 1 AS INT)"})(spark, sf)
+    return d.select("doc_id", geometry.scheduled(F.col("h"), F.col("w"), 14, 2, 2, 3136, 1_003_520).alias("i")).select("doc_id", "i.*")
+
+
+@query("SELECT vec_id, 'k' || vec_id AS cache_key, 2::INT AS epoch FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, 'k' || vec_id, 1 FROM embeddings WHERE vec_id % 4 <> 0")
+def evicted_payloads(spark, sf):
+    rows = Fixture("e", "embeddings", {"vec_id": "vec_id", "cache_key": "concat('k', CAST(vec_id AS VARCHAR(20)))"})(spark, sf)
+    held = rows.withColumn("epoch", F.explode(F.array(F.lit(1), F.lit(2))))
+    gone = held.where("epoch = 2 and vec_id % 3 = 0 or epoch = 1 and vec_id % 4 = 0")
+    return media.drop_evicted(held, gone).select("vec_id", "cache_key", "epoch")
+
+
+@query()
+def local_files(spark, sf):
+    """Whole files as rows; their paths aren't known to SQL."""
+    rows = media.files(spark, f"{sf}/region.parquet")
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
