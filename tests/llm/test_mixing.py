@@ -61,3 +61,22 @@ def test_edges(spark, odd_docs, no_docs):
     holds(rows, docs, None)
     assert M.emit(odd_docs).columns == odd_docs.columns
     assert M.mix(no_docs).count() == 0 and M.emit(no_docs).count() == 0
+
+
+def test_choosing_a_seed_keeps_the_probability(spark):
+    """Over many sources a document is drawn as often as the fraction asks for, and each source comes close to its target."""
+    rows = [(i * 40 + k, "one two three four five " * (1 + k % 3), f"s{i:03}") for i in range(120) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn, wanted, off = [0, 0], [0.0, 0.0], []
+    by_source = {}
+    for r in M.mix(df).collect():
+        rate = r["target"] / r["source_size"]
+        half = r["doc_id"] % 40 >= 20  # no half of a source is preferred
+        drawn[half] += r["copies"] - int(rate)
+        wanted[half] += rate - int(rate)
+        s = by_source.setdefault(r["source"], [0, r["target"]])
+        s[0] += r["taken"]
+    for got, want in zip(drawn, wanted):
+        assert abs(got - want) < 0.03 * 2400
+    off = [abs(t - g) / g for t, g in by_source.values()]
+    assert max(off) < 0.05 and sum(off) / len(off) < 0.01
