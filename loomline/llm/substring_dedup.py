@@ -30,7 +30,9 @@ from .common import hot_join, mix, save, slices, spelled, words_of
 
 WINDOW, MINIMISER = 13, 3
 #: Bytes of text for each bucket, the fewest buckets, and bytes of strings that a task holds before it sends them.
-BUCKET_BYTES, FEWEST, HELD = 8 << 20, 64, 48 << 20
+BUCKET_BYTES, FEWEST, HELD = 8 << 20, 16, 48 << 20
+#: Tasks that settle buckets: as many as there are buckets up to this number, beyond which a task settles several, one after the other.
+MOST_TASKS = 20_000
 #: Hash classes in which minimisers are counted, and the share of a bucket's part of all super-k-mers above which a class is hot.
 CLASSES, HOT = 1 << 16, 0.25
 #: Places of one string in a task above which they don't go to its bucket, and places and windows settled at a time.
@@ -289,6 +291,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     buckets = int(max(FEWEST, n[kind == -1].sum() // BUCKET_BYTES))
     hot = counts > HOT * max(counts.sum() / buckets, 1.0)
     sent = rows.where("doc_id is not null").mapInArrow(lambda b: send(b, buckets, hot), SENT)
+    sent = sent.repartition(min(buckets, MOST_TASKS), "bucket")
     found = save(sent.groupBy("bucket").applyInArrow(_settled, f"{SPANS}, digest binary, answer binary, places binary"))
     asides = found.where("places is not null").select("digest", "places")
     answers = found.where("answer is not null").groupBy("digest").agg(F.first("answer").alias("answer"))  # equal for one digest
