@@ -115,7 +115,7 @@ def _class(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(48)).astype(np.int64)
 
 
-SENT = "bucket long, blob binary, digest binary, places binary"
+SENT = "bucket int, blob binary, digest binary, places binary"
 
 
 def send(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> It
                 part = place[:, at : min(at + CELLS // 64, new[i] + counts[i])]
                 packed = squeeze.compress(np.ascontiguousarray(part).tobytes())
                 side = buckets + int.from_bytes(_digest(packed)[:8], "little") % buckets
-                yield pa.RecordBatch.from_arrays([pa.array([side]), pa.array([None], pa.binary()), pa.array([digest], pa.binary()), pa.array([packed], pa.binary())], ["bucket", "blob", "digest", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([None], pa.binary()), pa.array([digest], pa.binary()), pa.array([packed], pa.binary())], ["bucket", "blob", "digest", "places"])
         left = np.ones(len(number), dtype=bool)
         if asked.any():  # the first place stays, which is that of the smallest document
             left = ~np.repeat(asked, counts)
@@ -153,7 +153,7 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> It
         for x, y in itertools.pairwise([*cuts.tolist(), len(new)]):
             a, z = new[x], new[y] if y < len(new) else len(number)
             blob = _pack([strings[i] for i in number[new[x:y]].tolist()], counts[x:y], place[:, a:z], squeeze, asked[x:y])
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[a])]), pa.array([blob], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], ["bucket", "blob", "digest", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[a])], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], ["bucket", "blob", "digest", "places"])
 
     for batch in batches:
         for part in slices(batch, 2):
@@ -291,7 +291,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     buckets = int(max(FEWEST, n[kind == -1].sum() // BUCKET_BYTES))
     hot = counts > HOT * max(counts.sum() / buckets, 1.0)
     sent = rows.where("doc_id is not null").mapInArrow(lambda b: send(b, buckets, hot), SENT)
-    sent = sent.repartition(min(buckets, MOST_TASKS), "bucket")
+    sent = sent.repartitionById(min(buckets, MOST_TASKS), F.col("bucket"))  # one bucket a task, not as many as hashes bring together
     found = save(sent.groupBy("bucket").applyInArrow(_settled, f"{SPANS}, digest binary, answer binary, places binary"))
     asides = found.where("places is not null").select("digest", "places")
     answers = found.where("answer is not null").groupBy("digest").agg(F.first("answer").alias("answer"))  # equal for one digest
