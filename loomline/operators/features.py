@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.functions import payloads
+from loomline.operators.segments import scan
 
 
 def by_index(items: DataFrame, group: str, index: str, pos: str) -> DataFrame:
@@ -98,8 +99,8 @@ def scatter(slots: DataFrame, embeddings: DataFrame, group: str, pos: str, mask:
 
     ``embeddings(group, k, value)`` counts k from 1.
     """
-    k = F.count_if(mask).over(Window.partitionBy(group).orderBy(pos))
-    numbered = slots.withColumn("k", F.when(F.col(mask), k))
+    counted = scan(slots, [group], [pos], F.col(mask).cast("int"), before="k")
+    numbered = counted.withColumn("k", F.when(F.col(mask), F.col("k") + 1))
     sizes = slots.groupBy(group).agg(F.count_if(mask).alias("_m")).join(embeddings.groupBy(group).agg(F.count("*").alias("_e")), group, "left")
     bad = F.col("_m") != F.coalesce("_e", F.lit(0))
     out = numbered.join(embeddings.select(group, "k", F.col(value).alias("_v")), [group, "k"], "left").join(sizes, group)
@@ -109,9 +110,7 @@ def scatter(slots: DataFrame, embeddings: DataFrame, group: str, pos: str, mask:
 def gathered(blocks: DataFrame, items: DataFrame, group: str) -> DataFrame:
     """Rows of padded rank blocks in the items' own order. ``items(group, idx, rank, place, rows)``: the place-th item of a rank
     takes the next rows of its block; ``blocks(group, rank, row, value)``. Items with a missing row get ``error``."""
-    before = Window.partitionBy(group, "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("rows").over(before), F.lit(0))
-    each = items.withColumn("_start", start).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows").cast("long") - 1))).withColumn("row", F.col("_start") + F.col("i"))
+    each = scan(items, [group, "rank"], ["place"], F.col("rows"), before="_start").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows").cast("long") - 1))).withColumn("row", F.col("_start") + F.col("i"))
     out = each.join(blocks.select(group, "rank", "row", "value"), [group, "rank", "row"], "left")
     return out.select(group, "idx", "i", "value", F.when(F.col("value").isNull(), "hole in gathered rows").alias("error"))
 

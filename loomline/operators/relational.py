@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.operators.segments import scan
+
 
 def with_index(rows: DataFrame, group: str, order: list[str], name: str = "idx") -> DataFrame:
-    """Rows numbered from 0 within their group."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    """Rows numbered from 0 within their group, which may be of any size."""
+    return scan(rows, [group], order, before=name).withColumn(name, F.col(name).cast("int"))
 
 
 def manifest(items: DataFrame, group: str) -> DataFrame:
@@ -32,7 +34,8 @@ def set_default(base: DataFrame, first: DataFrame, second: DataFrame, keys: list
 
 def all_match(rows: DataFrame, group: str, ok: Column) -> DataFrame:
     """Rows of the groups in which every row is ok."""
-    return rows.withColumn("_ok", F.min(F.coalesce(ok, F.lit(False)).cast("int")).over(Window.partitionBy(group))).where("_ok = 1").drop("_ok")
+    broken = rows.where(~F.coalesce(ok, F.lit(False))).select(F.col(group).alias("_g")).distinct()
+    return rows.join(broken, F.col(group).eqNullSafe(F.col("_g")), "left_anti")
 
 
 def sparse_summary(rows: DataFrame, group: str, row: str, key: str, value: str) -> DataFrame:
@@ -64,10 +67,9 @@ def load_balance(sizes: Column, ranks: int) -> Column:
 
 
 def allocate(rows: DataFrame, order: list[str], count: str, group: str | None = None) -> DataFrame:
-    """Disjoint consecutive ranges [start, stop) of ``count`` items in order."""
-    window = Window.partitionBy(group).orderBy(*order) if group else Window.orderBy(*order)
-    stop = F.sum(count).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col(count))
+    """Disjoint consecutive ranges [start, stop) of ``count`` items in order, in each group or over all rows; a null count takes none."""
+    out = scan(rows, [group] if group else [], order, F.col(count), before="start")
+    return out.withColumn("stop", F.col("start") + F.coalesce(F.col(count), F.lit(0)))
 
 
 def alive(cache: DataFrame, created: str, ttl: float, now: Column) -> DataFrame:
