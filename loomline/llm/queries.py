@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import chat, embedding_dedup, exact_dedup, language_id, license_scan, merkle, mixing, near_dedup, packing, substring_dedup, url_filter
 
 
 def vocabulary() -> str:
@@ -66,10 +66,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_tampered(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_packing, op3_near_dedup, op4_embedding_dedup, op5_language_id,
-        op6_chat_format, op7_exact_dedup, op8_mixing, op9_license_scan, op10_substring_dedup,
+        op6_chat_format, op7_exact_dedup, op8_mixing, op9_license_scan, op10_substring_dedup, op11_merkle_manifest,
     )}
 
 
