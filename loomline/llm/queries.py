@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.tables import new_path
 
-from . import chat, embedding_dedup, exact_dedup, language_id, license_scan, merkle, mixing, near_dedup, packing, secret_scan, substring_dedup, url_filter
+from . import chat, chat_repair, embedding_dedup, exact_dedup, language_id, license_scan, merkle, mixing, near_dedup, packing, secret_scan, substring_dedup, url_filter
 
 
 def vocabulary() -> str:
@@ -76,10 +76,14 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"), new_path(spark))
 
 
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_packing, op3_near_dedup, op4_embedding_dedup, op5_language_id,
-        op6_chat_format, op7_exact_dedup, op8_mixing, op9_license_scan, op10_substring_dedup, op11_merkle_manifest, op12_secret_scan,
+        op6_chat_format, op7_exact_dedup, op8_mixing, op9_license_scan, op10_substring_dedup, op11_merkle_manifest, op12_secret_scan, op13_chat_repair,
     )}
 
 
