@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.tables import new_path
 
-from . import chat, chat_repair, embedding_dedup, exact_dedup, language_id, license_scan, merkle, mixing, near_dedup, packing, secret_scan, substring_dedup, url_filter
+from . import chat, chat_repair, embedding_dedup, exact_dedup, language_id, license_scan, merkle, mixing, near_dedup, oracles, packing, secret_scan, substring_dedup, url_filter
 
 
 def vocabulary() -> str:
@@ -161,4 +161,4 @@ FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_substring_dedup": OP10_SQL, **oracles.ORACLE_SQL}
