@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import os.path
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -59,8 +60,8 @@ GRAMMAR = (
     ("assistant turn", ("keep assistant",)), ("assistant turn", ("rerole",)), ("assistant turn", ("insert",)),
 )
 OPEN, ACCEPTED = ("nothing", "system", "user", "assistant"), ("nothing", "assistant")
-#: Rows that are parsed at a time.
-BLOCK = 4096
+#: Rows that are parsed at a time; parses of up to SHORT rows are remembered, KEPT of them, as few kinds of rows make them up.
+BLOCK, SHORT, KEPT = 4096, 32, 1 << 14
 
 
 def applied(edit: Edit, row: Row) -> int | None:
@@ -137,6 +138,11 @@ def parse(rows: Iterable[Row], entry: str = "nothing") -> dict[str, Value]:
         waiting = {k: v for k, v in waiting.items() if k in used}
 
 
+@lru_cache(KEPT)
+def _remembered(rows: tuple[Row, ...], entry: str) -> dict[str, Value]:
+    return parse(rows, entry)
+
+
 def put_together(blocks: Iterable[list[tuple[str, str, int, str]]]) -> Value:
     """The least (cost, audit) of a conversation from what each of its blocks does: (from, to, cost, audit)."""
     now: dict[str, Value] = {"nothing": (0, "")}
@@ -230,8 +236,9 @@ def _parsed(rows: DataFrame) -> DataFrame:
             rows = list(run)  # at most BLOCK
             faults, initials = [r[5] for r in rows], [r[4] or "" for r in rows]
             seen = [Row(i, f in ("blank", "duplicate"), 5 * (f == "truncated")) for i, f in zip(initials, faults)]
+            chart = lambda e: _remembered(tuple(seen), e) if len(seen) <= SHORT else parse(seen, e)
             entries = ("nothing",) if rows[0][3] <= BLOCK else ("nothing",) if block == 0 else OPEN
-            moves = [{"source": e, "to": to, "cost": cost, "audit": audit} for e in entries for to, (cost, audit) in parse(seen, e).items()]
+            moves = [{"source": e, "to": to, "cost": cost, "audit": audit} for e in entries for to, (cost, audit) in chart(e).items()]
             illegal = sum(a + b not in LEGAL for a, b in zip(initials, initials[1:]))
             yield conv, block, *(faults.count(k) for k in ("blank", "duplicate", "truncated")), illegal, initials[0], initials[-1], moves
 
