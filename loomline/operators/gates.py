@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomline.operators.selection import order_statistics
 
 
 def bypass_reason(images: Column, least: int = 2) -> Column:
@@ -85,18 +86,18 @@ def split_cost(rows: DataFrame, group: str, cost: str) -> DataFrame:
 
 
 def percentile(rows: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Percentiles by linear interpolation on rank (n - 1) p, exact, from distinct values with their counts."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = counts.select(group, value, F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_c").over(Window.partitionBy(group)).alias("_n"), F.lead(value).over(order).alias("_next"), "_c")
-    out = []
-    for name, p in points.items():
-        at = (F.col("_n") - 1) * F.lit(p)
-        low, part = F.floor(at), at - F.floor(at)
-        inside = (low >= F.col("_upto") - F.col("_c")) & (low < F.col("_upto"))
-        upper = F.when(low + 1 < F.col("_upto"), F.col(value)).otherwise(F.coalesce("_next", value))
-        out.append(F.max(F.when(inside, F.col(value) + (upper - F.col(value)) * part)).alias(name))
-    return ranked.groupBy(group).agg(*out)
+    """Percentiles by linear interpolation on rank (n - 1) p, exact; a group may have any size. Nulls aren't values, null is a group."""
+    flat = rows.select(F.col(group).alias("g"), F.col(value).alias("v")).where("v is not null")
+    sizes = flat.groupBy("g").agg(F.count("*").alias("n"))
+    at = {name: (F.col("n") - 1) * F.lit(p) for name, p in points.items()}
+    above = lambda x: F.least(F.floor(x) + 1, F.col("n") - 1)
+    ranks = sizes.select("g", F.explode(F.array_distinct(F.array(*(r for x in at.values() for r in (F.floor(x), above(x)))))).alias("rank"))
+    found = order_statistics(flat, ranks).withColumnsRenamed({"g": "_g"})
+    each = sizes.join(found, F.col("g").eqNullSafe(F.col("_g")))
+    pick = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("v")))
+    sides = each.groupBy("g", "n").agg(*(pick(r).alias(f"{side}_{name}") for name, x in at.items() for side, r in (("a", F.floor(x)), ("z", above(x)))))
+    out = (F.col(f"a_{name}") + (F.col(f"z_{name}") - F.col(f"a_{name}")) * (x - F.floor(x)) for name, x in at.items())
+    return sides.select(F.col("g").alias(group), *(c.alias(name) for c, name in zip(out, at)))
 
 
 def argument_errors(images: Column, width: Column, height: Column, quality: Column) -> Column:
