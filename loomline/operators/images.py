@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.images import Processor, decode
+from loomline.sources import blobs
+from loomline.tables import new_path
 
 MADE = "key string, grid_t int, grid_h int, grid_w int, tokens int, orig_h int, orig_w int, shape array<int>, dtype string, nbytes long, mean double, std double, values array<float>, decode_ms double, preprocess_ms double, error string"
 
@@ -31,33 +33,63 @@ def decode_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "origin string, height int, width int, channels int, pixels binary")
 
 
+def decoded(rows: DataFrame, content: str) -> DataFrame:
+    """``rows`` with height, width, channels and data of their images in place of the bytes, which become files of the shared folder
+    and are decoded by Spark's image source; ``content`` stays where that can't read them, and all five are null without bytes."""
+    spark = rows.sparkSession
+    folder = new_path(spark)
+    named = blobs.put(rows.withColumn("_bytes", F.col(content)), "_bytes", folder).withColumnRenamed("name", "_name")
+    files = spark.read.format("image").load(folder).select("image.*").where("height > 0")
+    found = files.select(F.regexp_extract("origin", "([0-9a-f]{64})$", 1).alias("_name"), "height", "width", F.col("nChannels").alias("channels"), "data")
+    return named.join(found, "_name", "left").drop("_name").withColumn(content, F.when(F.col("data").isNull(), F.col(content)))
+
+
+#: Bytes of values that come in one batch, but for larger tensors.
+BATCH = 8 << 20
+
+
 def run_locally(images: DataFrame, key: str, content: str = "content", processor: Processor | None = None) -> DataFrame:
-    """MADE rows of images in bytes, one after the other: decoded, converted, resized, rescaled, normalised, cut into patches.
+    """MADE rows of images in bytes: decoded, converted, resized, rescaled, normalised, cut into patches.
 
-    An image that can't be processed gives a row with an error and no values. Rows come one a batch, as a tensor is large.
+    JPEG, PNG and BMP bytes are decoded by Spark's image source, others that ``functions.images`` knows in the task. An image that can't be
+    processed gives a row with an error and no values.
     """
     made = processor or Processor()
+    schema = pa.schema([("key", pa.string()), *((c, pa.int32()) for c in ("grid_t", "grid_h", "grid_w", "tokens", "orig_h", "orig_w")), ("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("nbytes", pa.int64()), ("mean", pa.float64()), ("std", pa.float64()), ("values", pa.list_(pa.float32())), ("decode_ms", pa.float64()), ("preprocess_ms", pa.float64()), ("error", pa.string())])
+
+    def one(name: str, content: bytes | None, height: int | None, width: int | None, n: int | None, data: bytes | None) -> dict:
+        row = dict.fromkeys(schema.names) | {"key": name}
+        try:
+            began = time.perf_counter()
+            if data is None:
+                pixels = decode(content or b"")
+            else:
+                pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, n)
+                pixels = pixels[:, :, [2, 1, 0, *range(3, n)]] if n >= 3 else pixels
+            opened = time.perf_counter()
+            patches, grid, tokens = made(pixels)
+            flat = patches.ravel().astype(np.float64)
+            return row | dict(zip(("grid_t", "grid_h", "grid_w"), grid, strict=True)) | {
+                "tokens": tokens, "orig_h": pixels.shape[0], "orig_w": pixels.shape[1], "shape": list(patches.shape), "dtype": "float32", "nbytes": patches.size * 4, "mean": float(flat.mean()),
+                "std": float(flat.std()), "values": patches.astype(np.float32).ravel(), "decode_ms": 1000 * (opened - began), "preprocess_ms": 1000 * (time.perf_counter() - opened),
+            }
+        except Exception as e:  # noqa: BLE001  a broken image is data here
+            return row | {"error": f"{type(e).__name__}: {e}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.string()), *((c, pa.int32()) for c in ("grid_t", "grid_h", "grid_w", "tokens", "orig_h", "orig_w")), ("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("nbytes", pa.int64()), ("mean", pa.float64()), ("std", pa.float64()), ("values", pa.list_(pa.float32())), ("decode_ms", pa.float64()), ("preprocess_ms", pa.float64()), ("error", pa.string())])
+        held, size = [], 0
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = dict.fromkeys(schema.names) | {"key": name}
-                try:
-                    began = time.perf_counter()
-                    pixels = decode(data or b"")
-                    opened = time.perf_counter()
-                    patches, grid, tokens = made(pixels)
-                    flat = patches.ravel().astype(np.float64)
-                    row |= dict(zip(("grid_t", "grid_h", "grid_w"), grid, strict=True)) | {
-                        "tokens": tokens, "orig_h": pixels.shape[0], "orig_w": pixels.shape[1], "shape": list(patches.shape), "dtype": "float32", "nbytes": patches.size * 4, "mean": float(flat.mean()),
-                        "std": float(flat.std()), "values": patches.astype(np.float32).ravel(), "decode_ms": 1000 * (opened - began), "preprocess_ms": 1000 * (time.perf_counter() - opened),
-                    }
-                except Exception as e:  # noqa: BLE001  a broken image is data here
-                    row["error"] = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([pa.array([row[c]], schema.field(c).type) for c in schema.names], schema=schema)
-
-    return images.select(F.col(key).cast("string").alias("key"), content).mapInArrow(run, MADE)
+            for i in range(batch.num_rows):
+                held.append(one(*(c[i].as_py() for c in batch.columns)))
+                size += held[-1]["nbytes"] or 0
+                if size > BATCH or len(held) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in held], f.type) for f in schema], schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in held], f.type) for f in schema], schema=schema)
+
+    rows = decoded(images.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content")), "content")
+    return rows.select("key", "content", "height", "width", "channels", "data").mapInArrow(run, MADE)
 
 
 def patch_rows(made: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import base64
 import io
 import json
-import re
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions import images
 from loomline.functions.identity import data_url_payload
+from loomline.sources import heads
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +39,12 @@ def _get(url: str, headers: list[tuple[str, str]], timeout_ms: int) -> bytes:
         return got.read()
 
 
+def _open(url: str) -> BinaryIO:
+    import urllib.request
+
+    return urllib.request.urlopen(url, timeout=30)
+
+
 def fetch(df: DataFrame, key: str, url: str, timeout_ms: int = 30_000, get: Callable[[str, list, int], bytes] = _get, headers: str | None = None, timeout: str | None = None) -> DataFrame:
     """``(key, content, error)`` of every row with a URL; each distinct request is made once.
 
@@ -63,71 +70,64 @@ def fetch(df: DataFrame, key: str, url: str, timeout_ms: int = 30_000, get: Call
     return asked.join(got, "request").select("key", "content", "error")
 
 
-# Markers of frame headers, and of segments without a length.
-FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
-BARE = {0x01, *range(0xD0, 0xD8)}
-
-
 def jpeg_size(data: bytes) -> tuple[int, int] | None:
     """(width, height) from the first frame header; None where the bytes end before it.
 
     Bytes between segments are skipped up to the next marker. Bytes that don't begin a JPEG, and a segment length
     under 2, raise ValueError.
     """
-    if len(data) < 4:
-        return None
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG stream")
-    at = data.find(b"\xff", 2)
-    while at >= 0:
-        kind = re.compile(rb"\xff+([^\xff])", re.DOTALL).match(data, at)
-        if kind is None or kind[1] == b"\xd9":
-            return None
-        at = kind.end()
-        if kind[1][0] not in BARE:
-            size = data[at : at + 2]
-            if len(size) < 2:
-                return None
-            length = int.from_bytes(size, "big")
-            if length < 2:
-                raise ValueError(f"invalid JPEG segment length: {length}")
-            if kind[1][0] in FRAMES:
-                sides = data[at + 3 : at + 7]
-                return (int.from_bytes(sides[2:], "big"), int.from_bytes(sides[:2], "big")) if len(sides) == 4 else None
-            at += length
-        at = data.find(b"\xff", at)
-    return None
-
-
-#: Bytes of content, and characters of a data URL's payload, that are looked at first; each next look doubles them.
-CHUNK, CHUNK_CHARS = 8192, 4096
+    return heads.sides(heads.of_bytes(data))[0] if len(data) >= 4 else None
 
 
-def probe_bytes(content: bytes, chunk: int = CHUNK) -> tuple[int, int]:
-    """(width, height) from as little of the content as holds the frame header; by decoding it whole where there is none."""
-    while chunk < len(content):
-        if (size := jpeg_size(content[:chunk])) is not None:
-            return size
-        chunk *= 2
+#: Bytes that are looked at at a time.
+CHUNK = heads.CHUNK
+
+
+def _probed(read: heads.Read, whole: Callable[[], bytes], chunk: int) -> tuple[int, int]:
     try:
-        size = jpeg_size(content)
+        found, _ = heads.sides(read, chunk)
     except ValueError:
-        size = None
-    if size is not None:
-        return size
-    height, width = images.decode(content).shape[:2]
-    return width, height
+        found = None
+    if found is None:
+        height, width = images.decode(whole()).shape[:2]
+        found = width, height
+    return found
+
+
+def probe_bytes(content: bytes, chunk: int = CHUNK) -> tuple[int, int]:
+    """(width, height) from as little of the content as holds the frame header; by decoding it whole where there is none."""
+    return _probed(heads.of_bytes(content), lambda: content, chunk)
 
 
-def probe_base64(payload: str, chars: int = CHUNK_CHARS) -> tuple[int, int]:
-    """The same from a data URL or bare base64, decoded in pieces of whole groups of four characters."""
+def probe_base64(payload: str, chunk: int = CHUNK) -> tuple[int, int]:
+    """The same from a data URL or bare base64, of which only the groups of four characters are decoded that are looked at."""
     coded = payload.split(",", 1)[1] if payload.startswith("data:") and "," in payload else payload
-    chars -= chars % 4
-    while chars < len(coded):
-        if (size := jpeg_size(base64.b64decode(coded[:chars]))) is not None:
-            return size
-        chars *= 2
-    return probe_bytes(base64.b64decode(coded + "=" * (-len(coded) % 4)))
+    return _probed(heads.of_base64(coded), lambda: base64.b64decode(coded + "=" * (-len(coded) % 4)), chunk)
+
+
+def probe_urls(df: DataFrame, key: str, url: str, open_url: Callable[[str], BinaryIO] = _open, chunk: int = CHUNK) -> DataFrame:
+    """``(key, width, height, bytes_read, error)`` of images behind URLs; a response is read up to its frame header and closed.
+
+    What is no JPEG is an error, as it would have to be fetched whole. Rows without a URL have neither sides nor an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u in batch.column(1).to_pylist():
+                row = None, None, 0, None
+                if u is not None:
+                    try:
+                        with open_url(u) as got:
+                            found, total = heads.sides(heads.of_stream(got), chunk)
+                        row = (*found, total, None) if found else (None, None, total, "ValueError: no frame header")
+                    except Exception as e:  # noqa: BLE001  any failure of a source is data here
+                        row = None, None, 0, f"{type(e).__name__}: {e}"
+                rows.append(row)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True))], ["key", "width", "height", "bytes_read", "error"])
+
+    return df.select(F.col(key).cast("string").alias("key"), url).mapInArrow(run, "key string, width int, height int, bytes_read long, error string")
 
 
 def probe_jpeg(df: DataFrame, key: str, content: str = "content", most: int = CHUNK) -> DataFrame:
