@@ -41,6 +41,18 @@ def test_scan(spark, monkeypatch, apart, limit):
     assert segments.scan(df.where("id < 0"), ["g"], ["o"]).count() == 0
 
 
+@pytest.mark.parametrize("limit", [50, 1 << 16])
+def test_latest(spark, monkeypatch, apart, limit):
+    monkeypatch.setattr(segments, "LEAST", limit)
+    draw = random.Random(5)
+    rows = [(draw.choice([7, 7, None, 9 + o % 50]), o, draw.choice([None] * 30 + [o]), o) for o in range(2000)]
+    got = segments.latest(table(spark, rows), ["g"], ["o"], F.col("v"))
+    held, want = {}, {}
+    for g, o, v, i in rows:
+        held[g] = want[i] = held.get(g) if v is None else v
+    assert {r["id"]: r["latest"] for r in got.collect()} == want
+
+
 @pytest.fixture
 def apart(spark):
     """Small partitions stay apart, as large ones do."""
