@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.operators import patterns, waits
-from loomline.plans.registry import Fixture, query
+from loomline.plans.registry import SQL, Fixture, query
+from loomline.streaming import timed
+from loomline.tables import new_path
 
 _STATE = "CASE event_type WHEN 'view' THEN 'QUEUED' WHEN 'click' THEN 'SIDECAR_RUNNING' WHEN 'purchase' THEN 'READY' WHEN 'signup' THEN 'READY' WHEN 'error' THEN 'EXPIRED' END"
 _START = 1_704_067_200_000
@@ -67,3 +69,64 @@ SELECT item, run, n, i AS at, kinds[i + 1] AS event, CASE WHEN i IS NOT NULL THE
 def emission_order(spark, sf):
     """The first event of each run that a worker doesn't emit there."""
     return patterns.first_break(RUNS(spark, sf), ["item", "run"], ["seq"], "kind")
+
+
+#: Hours that a ready entry stays cached.
+TTL = 12 * _HOUR
+_EVENT = "CASE event_type WHEN 'view' THEN 'prepare' WHEN 'click' THEN 'started' WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN 'evict' WHEN 'error' THEN 'failed' END"
+TIMED = Fixture("v", "events", {"key": "user_id", "at": "CAST(ts AS timestamp)", "seq": "event_id", "event": _EVENT, "epoch": "CAST(1 + event_id % 3 AS INT)"})
+
+
+def _timed(spark, sf):
+    fixed = {"request": F.lit("r"), "idx": F.lit(0), "ok": F.lit(True), "worker": F.lit(0)}
+    rows = TIMED(spark, sf)
+    return rows.select(*(F.col(n) if n in rows.columns else fixed.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in timed.EVENTS.split(", "))))
+
+
+def _by_key(changes):
+    counts = (F.count_if(F.col("what") == w).alias(n) for w, n in (("state", "changes"), ("expired", "expired")))
+    return changes.groupBy("key").agg(F.max_by("state", F.struct("at", "epoch")).alias("state"), F.max("epoch").alias("epoch"), *counts, F.max("at").alias("last_at"))
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS time, {_EVENT} AS event, (1 + event_id % 3)::INT AS xe, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+f AS (
+  SELECT DISTINCT key, 0::BIGINT AS k, NULL::VARCHAR AS state, 0 AS epoch, NULL::BIGINT AS until, 0::BIGINT AS changes, 0::BIGINT AS expired, NULL::BIGINT AS last_at FROM x
+  UNION ALL
+  SELECT key, k, next, next_epoch, CASE WHEN event = 'evict' THEN NULL WHEN event = 'ready' AND fits THEN time + {TTL} ELSE kept END,
+    changes + (next IS DISTINCT FROM held OR next_epoch <> epoch)::INT, expired + ran::INT, CASE WHEN next IS DISTINCT FROM held OR next_epoch <> epoch THEN time WHEN ran THEN until ELSE last_at END
+  FROM (
+    SELECT *, CASE WHEN event = 'prepare' THEN CASE WHEN held IN ('QUEUED', 'SIDECAR_RUNNING', 'READY') THEN held WHEN kept IS NOT NULL THEN 'READY' ELSE 'QUEUED' END
+        WHEN event = 'started' AND fits AND held = 'QUEUED' THEN 'SIDECAR_RUNNING' WHEN event = 'ready' AND fits THEN 'READY' WHEN event = 'failed' AND fits THEN 'FAILED' ELSE held END AS next,
+      epoch + (event = 'prepare' AND coalesce(held NOT IN ('QUEUED', 'SIDECAR_RUNNING', 'READY'), TRUE))::INT AS next_epoch
+    FROM (
+      SELECT f.* EXCLUDE (k), x.k, x.time, x.event, coalesce(until <= x.time AND state = 'READY', FALSE) AS ran, CASE WHEN until <= x.time AND state = 'READY' THEN 'EXPIRED' ELSE state END AS held,
+        CASE WHEN until > x.time THEN until END AS kept, state IS NOT NULL AND x.xe = epoch AS fits
+      FROM f JOIN x ON x.key = f.key AND x.k = f.k + 1
+    )
+  )
+), z AS (SELECT *, until IS NOT NULL AND state = 'READY' AS ran FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC) AS last FROM f) WHERE last = 1)
+SELECT key, CASE WHEN ran THEN 'EXPIRED' ELSE state END AS state, epoch, changes, expired + ran::INT AS expired, CASE WHEN ran THEN until ELSE last_at END AS last_at FROM z WHERE changes > 0""")
+def timed_lifecycle(spark, sf):
+    """What became of each key's entry in event time, entries running out by themselves."""
+    return _by_key(timed.fold(_timed(spark, sf), TTL))
+
+
+@query(SQL["timed_lifecycle"])
+def timed_stream(spark, sf):
+    """The same as a stream over files in which the events are shuffled over days, started anew for each part."""
+    rows = _timed(spark, sf)
+    folder, store = new_path(spark), "spark.sql.streaming.stateStore.providerClass"
+    span = rows.agg(F.min("at").alias("a"), F.max("at").alias("z")).first()
+    half = rows.withColumn("late", F.unix_millis("at") + F.col("seq") % 5 * 24 * _HOUR > F.unix_millis(F.lit(span["a"])) + 15 * 24 * _HOUR)
+    tick = rows.sparkSession.range(1).select(*((F.lit(-1).cast(t) if n == "key" else F.timestamp_millis(F.unix_millis(F.lit(span["z"])) + 90 * 24 * _HOUR) if n == "at" else F.lit(None).cast(t)).alias(n) for n, t in (f.split() for f in timed.EVENTS.split(", "))))
+    old = spark.conf.get(store)
+    spark.conf.set(store, timed.ROCKS)
+    try:
+        for part in (half.where("not late").drop("late"), half.where("late or late is null").drop("late"), tick):
+            part.write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(timed.EVENTS).parquet(f"{folder}/in")
+            out = timed.stream(source, TTL, "35 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, old)
+    return _by_key(spark.read.schema(timed.CHANGES).parquet(f"{folder}/out"))
