@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline.operators import images
 from loomline.plans.catalog import resize_sql
 from loomline.plans.registry import query, table
-from loomline.sources import blobs, heads, media
+from loomline.sources import blobs, commits, heads, media
 from loomline.tables import new_path
 
 #: Bytes of a comment segment.
@@ -90,3 +90,24 @@ def jpeg_pipeline(spark, sf):
     urls = docs.mapInArrow(run, "doc_id long, content binary").select("doc_id", F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content")).alias("url"))
     made = images.run_locally(media.data_url_bytes(urls, "url"), "doc_id")
     return made.select(F.col("key").cast("long").alias("doc_id"), "orig_h", "orig_w", "grid_h", "grid_w", "tokens", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query("""WITH t AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 3 WHEN label % 4 = 2 THEN NULL WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS epoch, embedding FROM embeddings)
+SELECT vec_id, epoch::INT AS epoch, len(embedding)::INT AS n, (len(embedding) * 4)::BIGINT AS nbytes, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * epoch, 3) AS total FROM t WHERE epoch IS NOT NULL""")
+def tensor_commits(spark, sf):
+    """Tensors that are written, replaced, evicted, written again and vacuumed."""
+    folder = new_path(spark)
+    vectors = table(spark, sf, "embeddings")
+
+    def put(rows, epoch):
+        values = F.transform("embedding", lambda x: (x * epoch).cast("float"))
+        media.write_tensors(rows.select(F.col("vec_id").cast("string").alias("cache_key"), F.lit(epoch).alias("epoch"), F.array(F.size("embedding")).alias("shape"), F.lit("float32").alias("dtype"), values.alias("values")), folder, token=f"epoch {epoch}")
+
+    put(vectors, 1)
+    put(vectors.where("vec_id % 3 = 0"), 2)
+    media.evict_tensors(spark, folder, vectors.where("label % 4 = 2").select(F.col("vec_id").cast("string").alias("cache_key")))
+    commits.vacuum(spark, folder, media.TENSORS, 0)
+    put(vectors.where("vec_id % 5 = 0"), 3)
+    put(vectors, 3)  # a second run of the same commit
+    total = F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double")), 3)
+    return media.read_tensors(spark, folder).where("error is null").select(F.col("cache_key").cast("long").alias("vec_id"), "epoch", F.col("shape")[0].alias("n"), "nbytes", total.alias("total"))

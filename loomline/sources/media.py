@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions import images
 from loomline.functions.identity import data_url_payload
-from loomline.sources import heads
+from loomline.sources import commits, heads
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -205,21 +205,31 @@ def markdown(rows: DataFrame, most: int = 1000) -> str:
 ITEM_BYTES = {"float32": 4, "float64": 8, "uint8": 1}
 
 
-def write_tensors(tensors: DataFrame, path: str) -> DataFrame:
-    """Tensors as Parquet with a name from (cache_key, epoch) and their bytes; the commit protocol makes the write atomic.
+#: Columns of a table of tensors.
+TENSORS = "cache_key string, epoch int, shape array<int>, dtype string, values array<float>, name string, nbytes long"
 
-    Gives descriptors that point to the files: the rows without values, storage_kind ``local_file`` and the path.
+
+def write_tensors(tensors: DataFrame, path: str, token: str | None = None) -> DataFrame:
+    """Tensors in a keyed table, with a name from (cache_key, epoch) and their bytes: they replace all of their cache keys' earlier ones.
+
+    Readers see all of a write or nothing; a second one with the same token does nothing. Gives descriptors that point to the table:
+    the rows without values, storage_kind ``local_file`` and the path.
     """
     name = F.sha2(F.concat_ws("|", "cache_key", F.col("epoch").cast("string")), 256)
     size = F.create_map(*(x for k, n in ITEM_BYTES.items() for x in (F.lit(k), F.lit(n))))[F.col("dtype")]
     named = tensors.withColumn("name", name).withColumn("nbytes", F.aggregate("shape", F.lit(1).cast("long"), lambda s, x: s * x) * size)
-    named.write.mode("append").parquet(path)
+    commits.commit(tensors.sparkSession, path, ["cache_key"], named.select(*(f.split()[0] for f in TENSORS.split(", "))), token=token)
     return named.drop("values").withColumns({"storage_kind": F.lit("local_file"), "path": F.lit(path)})
 
 
+def evict_tensors(spark: SparkSession, path: str, evicted: DataFrame, token: str | None = None) -> int:
+    """The version of the table in which the ``evicted`` cache keys have no tensors; ``commits.vacuum`` deletes their files."""
+    return commits.commit(spark, path, ["cache_key"], evicted=evicted, token=token)
+
+
 def read_tensors(spark: SparkSession, path: str, dtype: str | None = None) -> DataFrame:
-    """Tensors with ``error``: set where the shape, the dtype or the byte count contradicts the values."""
-    rows = spark.read.parquet(path)
+    """Tensors of the newest version with ``error``: set where the shape, the dtype or the byte count contradicts the values."""
+    rows = commits.snapshot(spark, path, TENSORS)
     n = F.aggregate("shape", F.lit(1).cast("long"), lambda s, x: s * x)
     size = F.create_map(*(x for k, b in ITEM_BYTES.items() for x in (F.lit(k), F.lit(b))))[F.col("dtype")]
     wrong = size.isNull() if dtype is None else F.col("dtype") != dtype
