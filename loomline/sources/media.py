@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from loomline.functions import images
 from loomline.functions.identity import data_url_payload
 from loomline.sources import commits, heads
+from loomline.sources.hosts import Connections
+from loomline.tables import written
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,44 +31,54 @@ def data_url_bytes(df: DataFrame, url: str) -> DataFrame:
     return df.withColumn("content", F.try_to_binary(data_url_payload(F.col(url)), F.lit("base64")))
 
 
-def _get(url: str, headers: list[tuple[str, str]], timeout_ms: int) -> bytes:
-    import urllib.request
-
-    request = urllib.request.Request(url)
-    for name, value in headers:  # in order; of equal names the last counts, as a request holds one of each
-        request.add_header(name, value)
-    with urllib.request.urlopen(request, timeout=timeout_ms / 1000) as got:
-        return got.read()
-
-
 def _open(url: str) -> BinaryIO:
     import urllib.request
 
     return urllib.request.urlopen(url, timeout=30)
 
 
-def fetch(df: DataFrame, key: str, url: str, timeout_ms: int = 30_000, get: Callable[[str, list, int], bytes] = _get, headers: str | None = None, timeout: str | None = None) -> DataFrame:
+#: Bytes of content that come in one batch, but for larger ones.
+BATCH = 8 << 20
+
+
+def fetch(df: DataFrame, key: str, url: str, timeout_ms: int = 30_000, get: Callable[[str, list, int], bytes] | None = None, headers: str | None = None, timeout: str | None = None, per_host: int = 4) -> DataFrame:
     """``(key, content, error)`` of every row with a URL; each distinct request is made once.
 
-    ``headers`` names a column of array<struct<name, value>>, ``timeout`` one of milliseconds (null: ``timeout_ms``). A failed
-    fetch gives rows with an error, not a failed job.
+    A host's requests are dealt to ``per_host`` lanes, each of which one task goes through over one connection, so a host has no more
+    than that many in flight however many executors there are. ``headers`` names a column of array<struct<name, value>>, ``timeout`` one of
+    milliseconds (null: ``timeout_ms``). A failed fetch gives rows with an error, not a failed job.
     """
     sent = F.col(headers) if headers else F.array().cast("array<struct<name: string, value: string>>")
     wait = F.coalesce(F.col(timeout).cast("int"), F.lit(timeout_ms)) if timeout else F.lit(timeout_ms)
     asked = df.where(F.col(url).isNotNull()).select(F.col(key).cast("string").alias("key"), F.struct(F.col(url).alias("url"), F.to_json(sent).alias("headers"), wait.alias("timeout")).alias("request"))
+    schema = pa.schema([("request", pa.struct([("url", pa.string()), ("headers", pa.string()), ("timeout", pa.int32())])), ("content", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, r in enumerate(batch.column(0).to_pylist()):
-                content, error = None, None
-                try:
-                    pairs = [tuple(h.values()) for h in json.loads(r["headers"] or "[]")]
-                    content = get(r["url"], pairs, r["timeout"])
-                except Exception as e:  # noqa: BLE001  any failure of a source is data here
-                    error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["request", "content", "error"])
-
-    got = asked.select("request").distinct().mapInArrow(run, "request struct<url: string, headers: string, timeout: int>, content binary, error string")
+        hosts = Connections()
+        made, held, size = get or hosts.get, [], 0
+        try:
+            for batch in batches:
+                for r in batch.column(0).to_pylist():
+                    content, error = None, None
+                    try:
+                        content = made(r["url"], [tuple(h.values()) for h in json.loads(r["headers"] or "[]")], r["timeout"])
+                    except Exception as e:  # noqa: BLE001  any failure of a source is data here
+                        error = f"{type(e).__name__}: {e}"
+                    held.append((r, content, error))
+                    size += len(content or b"")
+                    if size > BATCH or len(held) >= 1024:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), schema.types)], schema=schema)
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), schema.types)], schema=schema)
+        finally:
+            hosts.close()
+
+    host = F.lower(F.regexp_extract("request.url", r"^[^:/]+://(?:[^/?#]*@)?([^/?#]*)", 1))
+    lanes = asked.select("request").distinct().withColumns({"host": host, "lane": F.pmod(F.xxhash64("request"), F.lit(per_host))})
+    dealt = lanes.repartition("host", "lane").sortWithinPartitions("host", "lane").select("request")
+    # Written once: what a join reads again must not be asked for again.
+    got = written(dealt.mapInArrow(run, "request struct<url: string, headers: string, timeout: int>, content binary, error string"))
     return asked.join(got, "request").select("key", "content", "error")
 
 
