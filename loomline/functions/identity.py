@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HTTP = r"^([hH][tT][tT][pP][sS]?)://(?:[^/?#]*@)?([^/?#:]*)(?::0*(\d+))?([^?#]*)(\?[^#]+)?"
+_HTTP = r"^([hH][tT][tT][pP][sS]?)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::0*(\d+))?([^?#]*)(\?[^#]+)?"
 
 # Media types by file extension.
 EXTENSIONS = {
@@ -29,17 +29,34 @@ def transport(url: Column, path: Column) -> Column:
 
 
 def canonical_http_url(url: Column) -> Column:
-    """Scheme and host in lower case, without user, fragment and empty query; a path at least. Null for others."""
+    """Scheme and host in lower case, without user, fragment and empty query; a path at least. Null for others.
+
+    An IPv6 host loses its brackets; what follows a percent sign in a host keeps its case.
+    """
     part = lambda i: F.regexp_extract(url, _HTTP, i)
     port = F.when(part(3) != "", F.concat(F.lit(":"), part(3))).otherwise("")
     path = F.when(part(4) != "", part(4)).otherwise("/")
-    return F.when((part(1) != "") & (part(2) != ""), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), port, path, part(5)))
+    bare = F.regexp_replace(part(2), r"[\[\]]", "")
+    name = F.substring_index(bare, "%", 1)
+    host = F.concat(F.lower(name), F.substr(bare, F.char_length(name) + 1))
+    return F.when((part(1) != "") & (bare != ""), F.concat(F.lower(part(1)), F.lit("://"), host, port, path, part(5)))
 
 
 def http_source_key(url: Column) -> Column:
     return F.concat(F.lit("http:"), canonical_http_url(url))
 
 
+def http_source_error(url: Column) -> Column:
+    """INVALID_SOURCE where a URL has no source key, null where it has one."""
+    return F.when(canonical_http_url(url).isNull(), "INVALID_SOURCE")
+
+
+def transport_error(url: Column, path: Column) -> Column:
+    """INVALID_TRANSPORT where nothing tells the transport, null where something does."""
+    known = F.coalesce(F.length(path) > 0, F.lit(False)) | is_data_url(url) | canonical_http_url(url).isNotNull()
+    return F.when(~known, "INVALID_TRANSPORT")
+
+
 def local_source_key(path: Column, mtime_ns: Column, size: Column) -> Column:
     return F.concat(F.lit("local_path:"), path, F.lit("|"), mtime_ns.cast("string"), F.lit("|"), size.cast("string"))
 

@@ -125,7 +125,7 @@ def rewritten_parts(parts: Column, url) -> Column:
     return F.transform(parts, lambda p: F.when((p["type"] == "image_url") & p["image_url"]["url"].isNotNull(), new(p)).otherwise(p))
 
 
-# The words of generated sentences.
+# The words of generated sentences, and in ``sentence`` the text around them, which token counts of datasets depend on.
 ADJECTIVES = ("granular", "deterministic", "cacheless", "multimodal", "latency-aware", "token-precise", "vision-heavy", "nonrepeating")
 NOUNS = ("benchmark", "request", "payload", "profile", "timeline", "dataset", "session", "sample")
 

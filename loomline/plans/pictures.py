@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomline.operators import images
+from loomline.functions import identity
+from loomline.operators import images, relational
 from loomline.plans.catalog import resize_sql
 from loomline.plans.registry import query, table
 from loomline.sources import blobs, commits, heads, media
@@ -79,6 +80,12 @@ r AS (SELECT *, {resize_sql("h", "w")[0]} AS rh, {resize_sql("h", "w")[1]} AS rw
 SELECT doc_id, h AS orig_h, w AS orig_w, (rh // 14)::INT AS grid_h, (rw // 14)::INT AS grid_w, ((rh // 14) * (rw // 14) // 4)::INT AS tokens, round((level / 255.0 - 0.5) / 0.5, 4)::DOUBLE AS mean, 0.0::DOUBLE AS std FROM r""")
 def jpeg_pipeline(spark, sf):
     """JPEGs in data URLs, sides and level from the text, through the whole way from transport to patches."""
+    urls = _level_jpegs(spark, sf).select("doc_id", F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content")).alias("url"))
+    made = images.run_locally(media.data_url_bytes(urls, "url"), "doc_id")
+    return made.select(F.col("key").cast("long").alias("doc_id"), "orig_h", "orig_w", "grid_h", "grid_w", "tokens", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+def _level_jpegs(spark, sf):
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf, "documents").select("doc_id", F.octet_length(text).alias("n"), F.char_length(text).alias("m"))
 
@@ -87,9 +94,7 @@ def jpeg_pipeline(spark, sf):
             made = [level_jpeg((n % 12 + 1) * 8, (m % 10 + 1) * 8, n % 256) for n, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
-    urls = docs.mapInArrow(run, "doc_id long, content binary").select("doc_id", F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content")).alias("url"))
-    made = images.run_locally(media.data_url_bytes(urls, "url"), "doc_id")
-    return made.select(F.col("key").cast("long").alias("doc_id"), "orig_h", "orig_w", "grid_h", "grid_w", "tokens", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return docs.mapInArrow(run, "doc_id long, content binary")
 
 
 @query("""WITH t AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 3 WHEN label % 4 = 2 THEN NULL WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS epoch, embedding FROM embeddings)
@@ -111,3 +116,27 @@ def tensor_commits(spark, sf):
     put(vectors, 3)  # a second run of the same commit
     total = F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double")), 3)
     return media.read_tensors(spark, folder).where("error is null").select(F.col("cache_key").cast("long").alias("vec_id"), "epoch", F.col("shape")[0].alias("n"), "nbytes", total.alias("total"))
+
+
+@query("""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, substr(url, position('://' IN url) + 3) FROM pages UNION ALL SELECT page_id, left(html, 200) FROM pages)
+SELECT page_id, url, CASE WHEN regexp_matches(url, '^https?://[^/?#]') THEN NULL ELSE 'INVALID_SOURCE' END AS source_error, CASE WHEN regexp_matches(url, '^https?://[^/?#]') THEN NULL ELSE 'INVALID_TRANSPORT' END AS transport_error FROM u""")
+def source_errors(spark, sf):
+    """What is wrong with pages' URLs, with their parts after the scheme and with markup taken for a URL."""
+    pages = table(spark, sf, "pages")
+    parts = F.array("url", F.substr("url", F.instr("url", "://") + 3), F.substring("html", 1, 200))
+    rows = pages.select("page_id", F.explode(parts).alias("url"))
+    return rows.select("page_id", "url", identity.http_source_error(F.col("url")).alias("source_error"), identity.transport_error(F.col("url"), F.lit(None).cast("string")).alias("transport_error"))
+
+
+@query("SELECT unnest(['count', 'sides']) AS mode, 0::BIGINT AS mismatches, count(*) AS rows FROM documents")
+def probed_against_decoded(spark, sf):
+    """Sides from the header against sides of the decoded image, of JPEGs made of each text's lengths."""
+    rows = _level_jpegs(spark, sf)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width, height = zip(*(media.probe_bytes(c) for c in batch.column(1).to_pylist())) if batch.num_rows else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(height, pa.int32()), pa.array(width, pa.int32())], ["doc_id", "height", "width"])
+
+    fast = rows.mapInArrow(probe, "doc_id long, height int, width int")
+    return relational.compare_modes(fast, images.decoded(rows, "content").select("doc_id", "height", "width"), ["doc_id"], {"count": [], "sides": ["height", "width"]})

@@ -81,15 +81,19 @@ def prepare_submissions(spark, sf):
     return H.new_work(asked(spark, sf), ENTRIES(spark, sf))
 
 
-DESCRIPTORS = Fixture("d", "orders", {"request_id": "concat('r', CAST(o_custkey % 400 AS VARCHAR(20)))", "idx": "CAST(o_orderkey AS INT)", "cache_key": "concat('k', CAST(o_orderkey AS VARCHAR(20)))", "signature": "concat('s', CAST(o_orderkey % 2 AS VARCHAR(20)))"}, "o_orderkey % 37 < 2")
+DESCRIPTORS = Fixture("d", "orders", {"request_id": "concat('r', CAST(o_custkey % 400 AS VARCHAR(20)))", "idx": "CAST(o_orderkey AS INT)", "cache_key": "concat('k', CAST(o_orderkey AS VARCHAR(20)))", "signature": "concat('s', CAST(o_orderkey % 2 AS VARCHAR(20)))"})
 RANK_SQL = "CASE WHEN contains(claimed_by, '::producer_rank=') THEN split_part(claimed_by, '::producer_rank=', 2)::INT END"
 
 
-@query(f"""WITH {ENTRIES.sql}, {DESCRIPTORS.sql}, j AS (SELECT d.request_id, d.idx, d.cache_key, e.state, e.epoch, CASE WHEN state IN ('FALLBACK_CLAIMED', 'FALLBACK_LOCAL_DONE') THEN {RANK_SQL} END AS producer_rank FROM d LEFT JOIN e USING (cache_key)),
+#: Requests of two images, so that there are some of which all images are ready or have an owner.
+PAIRS = Fixture("d", "orders", DESCRIPTORS.columns | {"request_id": "concat('r', CAST(o_orderkey - o_orderkey % 2 AS VARCHAR(20)))"})
+
+
+@query(f"""WITH {ENTRIES.sql}, {PAIRS.sql}, j AS (SELECT d.request_id, d.idx, d.cache_key, e.state, e.epoch, CASE WHEN state IN ('FALLBACK_CLAIMED', 'FALLBACK_LOCAL_DONE') THEN {RANK_SQL} END AS producer_rank FROM d LEFT JOIN e USING (cache_key)),
 u AS (SELECT request_id FROM j WHERE coalesce(state, '') <> 'READY' AND producer_rank IS NULL)
 SELECT request_id, idx, CASE WHEN state = 'READY' THEN 'USE_SIDECAR' ELSE 'FALLBACK' END AS decision, producer_rank, state, CASE WHEN state = 'READY' THEN 'ready' ELSE 'fallback' END || '_observed_from_manager' AS reason, cache_key, epoch FROM j WHERE request_id NOT IN (SELECT request_id FROM u)""")
 def observe_plan(spark, sf):
-    return C.observe(DESCRIPTORS(spark, sf), ENTRIES(spark, sf))
+    return C.observe(PAIRS(spark, sf), ENTRIES(spark, sf))
 
 
 @query(f"WITH {DESCRIPTORS.sql} SELECT request_id, idx, 'FALLBACK' AS decision, 2::INT AS producer_rank, 'manager_unavailable_fail_open' AS reason FROM d")
@@ -102,7 +106,7 @@ PLAN = Fixture("p", "orders", {
     "producer_rank": "CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey % 4 AS INT) END", "state": "CASE WHEN o_orderkey % 10 = 9 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'READY' ELSE 'FALLBACK_CLAIMED' END",
     "reason": "CASE WHEN o_orderkey % 3 = 0 THEN 'ready_before_fallback' WHEN o_orderkey % 9 <> 4 THEN 'fallback_claim_granted' END", "cache_key": "CASE WHEN o_orderkey % 5 <> 2 THEN concat('k', CAST(o_orderkey AS VARCHAR(20))) END", "epoch": "CAST(1 + o_orderkey % 3 AS INT)",
     "near_ms": "CAST(o_custkey % 400 % 7 AS DOUBLE)", "running_ms": "CAST(o_custkey % 400 % 5 AS DOUBLE)",
-}, "o_orderkey % 37 < 4")
+})
 
 
 @query(f"""WITH {PLAN.sql}, {DESCRIPTORS.sql}, j AS (SELECT p.request_id, p.idx, decision, producer_rank, d.idx IS NULL AND decision <> 'USE_SIDECAR' AS lost FROM p LEFT JOIN d ON p.request_id = d.request_id AND p.idx = d.idx)
@@ -129,7 +133,7 @@ def publish_own_artifacts(spark, sf):
     return C.to_publish(plan, plan.where("idx % 2 = 1").select("request_id", "idx", (F.col("idx") % 100).alias("nbytes")), 1)
 
 
-FEATURES = Fixture("f", "orders", {"req": "o_custkey % 400", "pos": "o_orderkey", "modality": "CASE WHEN o_orderkey % 9 = 0 THEN 'audio' ELSE 'image' END", "identifier": "CASE WHEN o_orderkey % 15 = 0 THEN '' WHEN o_orderkey % 41 = 0 THEN 'gone' ELSE concat('k', CAST(o_orderkey AS VARCHAR(20))) END"}, "o_orderkey % 37 < 3")
+FEATURES = Fixture("f", "orders", {"req": "o_custkey % 400", "pos": "o_orderkey", "modality": "CASE WHEN o_orderkey % 9 = 0 THEN 'audio' ELSE 'image' END", "identifier": "CASE WHEN o_orderkey % 15 = 0 THEN '' WHEN o_orderkey % 41 = 0 THEN 'gone' ELSE concat('k', CAST(o_orderkey AS VARCHAR(20))) END"})
 
 
 @query(f"""WITH {FEATURES.sql}, {ENTRIES.sql}, j AS (SELECT req, pos, e.request_id, e.signature, e.epoch FROM f LEFT JOIN e ON identifier = cache_key WHERE modality = 'image' AND identifier <> '')

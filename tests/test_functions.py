@@ -96,3 +96,11 @@ def test_resize_keeps_constants_and_sizes():
     rng = np.random.default_rng(1).integers(0, 256, (5, 6, 3)).astype(np.uint8)
     assert (T.resize(rng, 5, 6) == rng).all()
     assert T.with_frames(np.zeros((3, 2, 2)), 2).shape == (2, 3, 2, 2)
+
+
+def test_hosts_of_urls(spark):
+    rows = ["http://[FE80::1%25tEst]:0042/a?", "HTTPS://u:p@[::1]", "http://[::1/x", "http://EX.com%Ab:7#f", "http://[]/x", "ftp://a/b", None, "http://a:b@C:80?q"]
+    df = spark.createDataFrame([(u,) for u in rows], "u string")
+    got = df.select(I.canonical_http_url(F.col("u")).alias("c"), I.http_source_key(F.col("u")).alias("k"), I.http_source_error(F.col("u")).alias("e"), I.transport_error(F.col("u"), F.lit(None).cast("string")).alias("t")).collect()
+    assert [r["c"] for r in got] == ["http://fe80::1%25tEst:42/a", "https://::1/", None, "http://ex.com%Ab:7/", None, None, None, "http://c:80/?q"]
+    assert all((r["e"] is None) == (r["k"] is not None) and (r["t"] is None) == (r["e"] is None) for r in got)
