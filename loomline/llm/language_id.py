@@ -199,7 +199,7 @@ def _blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 
 def sample_of(docs: DataFrame, sample: int, longest: int) -> DataFrame:
-    """At most ``sample`` rows (lang, text) of each language, the texts cut to ``longest`` bytes.
+    """At most ``sample`` rows (lang, text) of each language with their whole texts, those of up to ``longest`` bytes before others.
 
     The languages' documents are counted first; a share of them by hash, about twice the sample, is ranked.
     """
@@ -207,7 +207,7 @@ def sample_of(docs: DataFrame, sample: int, longest: int) -> DataFrame:
     rows = docs.where(remainder(F.col("doc_id")) != 2).where("lang is not null and octet_length(text) > 0")
     counts = save(rows.groupBy("lang", long).agg(F.count("*").alias("n")))
     few = counts.count() <= MOST_BROADCAST  # else texts are shuffled by language
-    near = rows.select("lang", long, drawn, F.substring(F.col("text").cast("binary"), 1, longest).alias("text"))
+    near = rows.select("lang", long, drawn, F.col("text").cast("binary").alias("text"))
     near = near.join(F.broadcast(counts) if few else counts, ["lang", "long"])
     near = near.where(F.pmod(F.shiftrightunsigned("h", 16), F.lit(1 << 31)) * F.col("n") < F.lit(float(1 << 31)) * 2 * sample)
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
@@ -215,7 +215,7 @@ def sample_of(docs: DataFrame, sample: int, longest: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Trees of each language in ``lang``, from at most ``sample`` documents and ``longest`` bytes of each.
+    """Trees of each language in ``lang``, from at most ``sample`` documents, longer ones than ``longest`` bytes only where others are too few.
 
     Only documents with a lang and a text whose crc32(doc_id) mod 4 is not 2 are learned from. The quadruples of bytes
     are counted in the tasks; what comes to the driver are their distinct ones by language.
