@@ -37,12 +37,18 @@ def _named(rows: DataFrame, keys: list[str], name: str, total: int) -> DataFrame
     many = rows.where("_common")
     names = many.select(*keys, "_h").distinct().withColumn("_range", spread + RANGES).select(*keys, number.alias(name))
     same: Column = F.lit(True)
-    left, right = many.alias("l"), names.alias("r")
+    # At most 1 / SHARE names of BLOCK bytes; unbroadcast, the rows of one common value would meet in one task.
+    left, right = many.alias("l"), F.broadcast(names).alias("r")
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     return few.unionByName(left.join(right, same).select(*[F.col(f"l.{c}") for c in rest], f"r.{name}"))
 
 
+def _row() -> Column:
+    """What a row's blocks are put together by, beside its doc_id: a digest that no two texts share, while names decide which texts are equal."""
+    return F.unhex(F.sha2("raw", 256))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -55,7 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = F.octet_length("raw")
     n_blocks = F.greatest(F.lit(1), F.ceil(size / BLOCK).cast("int"))
     cut = let(F.col("raw"), lambda raw: F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK))))
-    blocks = base.select("doc_id", F.xxhash64("raw").alias("row_hash"), n_blocks.alias("n"), F.posexplode(cut).alias("pos", "block"))
+    blocks = base.select("doc_id", _row().alias("row_hash"), n_blocks.alias("n"), F.posexplode(cut).alias("pos", "block"))
     first = base.agg(F.count("*").alias("docs"), F.sum(n_blocks.cast("long")).alias("blocks")).first()
     total = first["blocks"] or 0
     level = save(_named(blocks, ["block"], "name", total))
@@ -66,8 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         total = level.count()
         if not total:
             break
-        # Rows of one doc_id and equal hash that are not the same text would mix here; a pair's
-        # sides are therefore taken as sets of one value, which equal texts always give.
+        # Rows that repeat both the id and the text are one here, and their pairs have sides of one value.
         at = F.floor(F.col("pos") / 2).cast("int")
         even, odd = F.col("pos") % 2 == 0, F.col("pos") % 2 == 1
         pairs = level.groupBy("doc_id", "row_hash", "n", at.alias("pos")).agg(
@@ -79,7 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for more in done[1:]:
         names = names.unionByName(more)
     groups = names.distinct()
-    rows = base.select("doc_id", F.xxhash64("raw").alias("row_hash"), F.sha2("raw", 256).alias("text_sha256"))
+    rows = base.select("doc_id", _row().alias("row_hash"), F.sha2("raw", 256).alias("text_sha256"))
     left, right = rows.alias("l"), groups.alias("r")
     named = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.row_hash") == F.col("r.row_hash")))
     named = save(named.select("l.doc_id", "l.text_sha256", F.struct("r.depth", "r.name").alias("name")))

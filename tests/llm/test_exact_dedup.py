@@ -37,3 +37,12 @@ def test_names_tell_apart_what_shares_blocks(spark, monkeypatch):
     texts = ["", "a", "aa", "aaa", "aaaa", "aabb", "bbaa", "aaaaaa", "aaaaaaaa", "aabbaabb", "aabbaabb", "é", "aaé", "a\0", "\0a", "aabb", None, "x", None]
     docs = list(enumerate(texts)) + [(3, "aaa"), (None, "x"), (None, "zz")]
     assert got(X.exact_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == want(docs)
+
+
+def test_one_block_in_half_of_all_rows_and_colliding_hashes(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 4)
+    monkeypatch.setattr(X, "COMMON", 5)
+    # Hashes that collide choose what is common, not what is equal.
+    monkeypatch.setattr(X.F, "xxhash64", lambda *c: X.F.lit(7).cast("long"))
+    docs = [(i, "same" * 3 + (f"{i:04d}" if i % 2 else "")) for i in range(300)] + [(i % 3, f"own{i}") for i in range(40)] + [(2, "own2"), (2, "own5")]
+    assert got(X.exact_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == want(docs)
