@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from .common import save, slices
 
 ORDER = 3
-#: Documents of each language that the trees are counted on, those with the smallest hashes of their ids, and the bytes
-#: of a document that are learned from. Longer documents are taken only where a language has too few others.
+#: Documents of each language that the trees are counted on, whole, those with the smallest hashes of their ids; ones of more bytes
+#: than LONGEST are taken only where a language has too few others.
 SAMPLE, LONGEST = 300, 40_000
 UNKNOWN = "und"
 #: Documents and bytes scored at a time.
