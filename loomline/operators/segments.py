@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from loomline.tables import written
 
 #: A group of more rows than LEAST, and than a SHARE of all, is laid over several tasks; there are at most 1 / SHARE of them.
-LEAST, SHARE = 1 << 16, 1e-4
+LEAST, SHARE = 1 << 14, 1e-4
 
 
 def same(keys: list[str], mark: str) -> Column:
