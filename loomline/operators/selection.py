@@ -73,7 +73,7 @@ def _select(values: DataFrame, ranks: DataFrame) -> DataFrame:
     none = F.lit(None).cast(dict(values.dtypes)["v"])
     # The rank-th value of g is the r-th of those between low and high.
     asked = written(ranks.withColumns({"r": F.col("rank"), "low": none, "high": none}))
-    found = []
+    found, before = [], None
     for number in count():
         spans = F.broadcast(marked(written(asked.select(*_SPAN).distinct()), _SPAN, "s"))  # at most one a rank
         near = same(["g"], "s") & _within("slow", "shigh")
@@ -81,9 +81,11 @@ def _select(values: DataFrame, ranks: DataFrame) -> DataFrame:
             values = written(values.join(spans, near, "left_semi"))
         held = values.join(spans, near).select("g", F.col("slow").alias("low"), F.col("shigh").alias("high"), "v")
         most = held.groupBy(*_SPAN).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 if number else None
-        if number and (most <= segments.LEAST or number == ROUNDS):
+        # Pivots that no longer narrow, as of long integers that are one double, leave the rest to ranges.
+        if number and (most <= segments.LEAST or number == ROUNDS or most == before):
             found.append(_exact(held, _SPAN, asked, most <= segments.LEAST))
             break
+        before = most
         met = written(_narrowed(held, asked))
         found.append(met.where("where in ('a', 'z')").select("g", "rank", "v"))
         asked = met.where("where in ('left', 'inside', 'right')").select("g", "rank", "r", "low", "high")
