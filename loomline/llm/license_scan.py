@@ -4,16 +4,17 @@ Words are runs of letters and digits in lower case. Words that occur once in bot
 template anchor the alignment; the longest increasing subsequence of their positions is kept, and
 the gaps between kept anchors are aligned in the same way. A gap without such a word is closed by
 the words its two sides have in common at either end. Coverage is the share of the template's words
-that were aligned. A template is laid on stretches around its rare words, and on stretches of twice the length again and
-again up to the whole text, so text that is put into a license doesn't hide it. The words that name a license, its kind and its version are no part of that
-leeway: each marked phrase of a template has to be aligned as a whole, with nothing in between. A license within the
+that were aligned; an alignment without an anchor counts for nothing. A template is laid on stretches around its rare words, and on stretches of twice the length again and
+again up to the whole text, so text that is put into a license doesn't hide it; a notice of at most NOTICE words has to lie in one
+sentence. The words that name a license, its kind and its version are no part of that
+leeway: the alignment has to hold each marked phrase of a template as a whole, with nothing in between. A license within the
 place of a longer one that is covered as well isn't told.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -104,13 +105,25 @@ for _kind, _name in _KINDS.items():
 COVERAGE = 0.8
 #: Words of text on which a template of n words is laid first: WINDOW x n to either side of each rare word of it.
 WINDOW = 2
+#: Words of the longest template that has to lie in one sentence.
+NOTICE = 12
 _WORD = re.compile(r"[^\W_]+")
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def sentences(text: str) -> list[int]:
+    """Where the sentences with words start, in words, and the number of all words; blank lines end a sentence too."""
+    out = [0]
+    for part in _BREAK.split(text.lower()):
+        if n := sum(1 for _ in _WORD.finditer(part)):
+            out.append(out[-1] + n)
+    return out
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence, by patience piles."""
     tops: list[int] = []
@@ -131,37 +144,48 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """Pairs of positions (in text, in template), increasing in both, that hold equal words."""
+def patience(text: list[str], template: list[str]) -> tuple[list[tuple[int, int]], int]:
+    """Pairs of positions (in text, in template), increasing in both, that hold equal words; and how many of them are anchors."""
     out: list[tuple[int, int]] = []
+    anchored = 0
     todo = [(0, len(text), 0, len(template))]
     while todo:
         a, b, c, d = todo.pop()
-        while a < b and c < d and text[a] == template[c]:
-            out.append((a, c))
-            a, c = a + 1, c + 1
-        while a < b and c < d and text[b - 1] == template[d - 1]:
-            b, d = b - 1, d - 1
-            out.append((b, d))
         if a >= b or c >= d:
             continue
         wanted = Counter(template[c:d])
         found = Counter(w for w in text[a:b] if w in wanted)
         place = {template[j]: j for j in range(c, d)}
         anchors = [(i, place[text[i]]) for i in range(a, b) if found[text[i]] == 1 and wanted[text[i]] == 1]
-        kept = [anchors[k] for k in longest_increasing([j for _, j in anchors])]
-        out += kept
-        if kept:
+        if anchors:
+            kept = [anchors[k] for k in longest_increasing([j for _, j in anchors])]
+            out += kept
+            anchored += len(kept)
             for (i, j), (k, m) in zip([(a - 1, c - 1), *kept], [*kept, (b, d)], strict=True):
                 todo.append((i + 1, k, j + 1, m))
-    return sorted(out)
+            continue
+        before = len(out)
+        while a < b and c < d and text[a] == template[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and text[b - 1] == template[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if len(out) > before:
+            todo.append((a, b, c, d))  # without its ends the gap may have anchors
+    return sorted(out), anchored
+
+
+def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """The pairs of ``patience``."""
+    return patience(text, template)[0]
 
 
 class Scanner:
     """Finds the templates in a text.
 
-    Templates of whose words a text doesn't hold enough, or not the marked phrases, are passed over, as are stretches; this
-    loses nothing, as coverage is never above the bound of words in common.
+    Templates of whose words a text doesn't hold enough, or not those of the marked phrases, are passed over, as are stretches; this
+    loses nothing, as coverage is never above the bound of words in common. Whether and where a license stands is judged by the alignment alone.
     """
 
     def __init__(self, templates: dict[str, str], coverage: float, marks: dict[str, list[str]] = MARKS) -> None:
@@ -187,74 +211,74 @@ class Scanner:
         for k, rare in enumerate(self.rare):
             for w in rare:
                 self.by_word.setdefault(w, []).append(k)
-        self.phrases = [[f" {' '.join(words(p))} " for p in marks.get(name, ())] for name, _ in self.templates]
+        self.named = [{x for p in marks.get(name, ()) for x in words(p)} for name, _ in self.templates]
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word + 1) of each template's best place that covers enough."""
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
+        """(template, coverage, first word, last word + 1, anchors) of each template's best place that covers enough."""
         w = words(text)
         every = set(w)
         wanted = sorted({k for x in self.by_word.keys() & every for k in self.by_word[x]})
         if not wanted:
             return []
-        count, joined, out = Counter(w), None, []
+        count, cuts, out = Counter(w), None, []
         for k in wanted:
             name, t = self.templates[k]
-            if sum(min(n, count[x]) for x, n in self.counts[k].items()) < self.coverage * len(t):
+            if sum(min(n, count[x]) for x, n in self.counts[k].items()) < self.coverage * len(t) or not self.named[k] <= every:
                 continue
-            if self.phrases[k]:
-                joined = joined or f" {' '.join(w)} "
-                if not all(p in joined for p in self.phrases[k]):
-                    continue
-            if best := self._best(w, t, k):
+            if len(t) <= NOTICE:
+                cuts = cuts or sentences(text)
+            if best := self._best(w, t, k, cuts if len(t) <= NOTICE else [0, len(w)]):
                 out.append((name, *best))
         # Of places within one another the longer template's counts, if it is covered as well.
         sizes = {name: len(t) for name, t in self.templates}
         inside = lambda x, y: y[2] <= x[2] and x[3] <= y[3] and sizes[x[0]] < sizes[y[0]] and x[1] <= y[1]
         return [x for x in out if not any(inside(x, y) for y in out)]
 
-    def _best(self, w: list[str], t: list[str], k: int) -> tuple[float, int, int] | None:
-        """Coverage, first word and last word + 1 of the template's best place, over stretches of doubling length up to the whole text."""
+    def _best(self, w: list[str], t: list[str], k: int, cuts: list[int]) -> tuple[float, int, int, int] | None:
+        """Coverage, first word, last word + 1 and anchors of the template's best place, over stretches between cuts of doubling length up to the longest."""
         at = [i for i, x in enumerate(w) if x in self.rare[k]]
+        longest = max(z - a for a, z in zip(cuts, cuts[1:]))
         reach, best, near = WINDOW * len(t), None, True
         while True:
             seen = -1
             for i in at:
                 if i < seen:
                     continue
-                a, b = max(0, i - reach), min(len(w), i + 2 * reach)
-                seen = i + reach
+                cut = bisect_right(cuts, i)
+                a, b = max(cuts[cut - 1], i - reach), min(cuts[cut], i + 2 * reach)
+                seen = min(cuts[cut], i + reach)
                 part = w[a:b]
                 found = Counter(x for x in part if x in self.counts[k])
-                if sum((found & self.counts[k]).values()) < self.coverage * len(t):
+                if sum((found & self.counts[k]).values()) < self.coverage * len(t) or not self.named[k] <= found.keys():
                     continue
-                pairs = self._place(part, t, self.marks[k], near)
+                pairs, anchors = self._place(part, t, self.marks[k], near)
                 share = len(pairs) / len(t)
                 if share >= self.coverage and (best is None or share > best[0]):
-                    best = (share, a + pairs[0][0], a + pairs[-1][0] + 1)
-            if reach >= len(w) or best and best[0] == 1:
+                    best = (share, a + pairs[0][0], a + pairs[-1][0] + 1, anchors)
+            if reach >= longest or best and best[0] == 1:
                 return best
             reach, near = 2 * reach, False
 
-    def _place(self, part: list[str], t: list[str], marks: list[list[range]], near: bool = True) -> list[tuple[int, int]]:
-        """The best alignment of the template with the stretch, or in near ones with the windows of its length within it, that holds the marks."""
+    def _place(self, part: list[str], t: list[str], marks: list[list[range]], near: bool = True) -> tuple[list[tuple[int, int]], int]:
+        """The best alignment of the template with the stretch, or in near ones with the windows of its length within it, that holds the marks; and its anchors."""
 
-        def marked(pairs: list[tuple[int, int]]) -> bool:
+        def sound(pairs: list[tuple[int, int]], anchors: int) -> bool:
             at = {q: p for p, q in pairs}
-            return all(any(all(at.get(q, -1) == at.get(m[0], -2) + q - m[0] for q in m) for m in spots) for spots in marks)
+            return anchors > 0 and all(any(all(at.get(q, -1) == at.get(m[0], -2) + q - m[0] for q in m) for m in spots) for spots in marks)
 
-        whole = align(part, t)
-        best = whole if marked(whole) else []
-        if near and len(best) < len(t):
+        whole = patience(part, t)
+        best = whole if sound(*whole) else ([], 0)
+        if near and len(best[0]) < len(t):
             first = Counter(t)
             starts = [i for i, x in enumerate(part) if x in first]
             for i in starts:
                 # From each place of the word in the template.
                 for j in [j for j, x in enumerate(t) if x == part[i]] if marks else [t.index(part[i])]:
                     at = max(0, i - j)
-                    got = [(at + p, q) for p, q in align(part[at : at + len(t) + 2], t)]
-                    if len(got) > len(best) and marked(got):
-                        best = got
-                if len(best) == len(t):
+                    pairs, anchors = patience(part[at : at + len(t) + 2], t)
+                    if len(pairs) > len(best[0]) and sound(pairs, anchors):
+                        best = [(at + p, q) for p, q in pairs], anchors
+                if len(best[0]) == len(t):
                     break
         return best
 
@@ -262,26 +286,26 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, marks: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, license, coverage, n_found, found.
 
-    ``found`` lists (license, coverage, start, end) of every template that is covered well enough, in word
-    positions; license and coverage are the best one's (null and 0.0 where none is), of equals the
+    ``found`` lists (license, coverage, start, end, anchors) of every template that is covered well enough, in word
+    positions, with the number of words that anchor its alignment; license and coverage are the best one's (null and 0.0 where none is), of equals the
     longer template's, then the first in the alphabet. ``marks`` are the phrases of each template that have
-    to stand in the text whole (MARKS for our own templates). A null or empty text has none. Repeated rows are judged alike.
+    to be aligned whole (MARKS for our own templates). A null or empty text has none. Repeated rows are judged alike.
     """
     marks = marks if marks is not None else MARKS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     lengths = {k: len(words(t)) for k, t in templates.items()}
-    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("anchors", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage, marks)
         for batch in batches:
             found = [scanner.scan(t) if t else [] for t in batch.column(1).to_pylist()]
             best = [min(f, key=lambda x: (-x[1], -lengths[x[0]], x[0]), default=(None, 0.0)) for f in found]
-            rows = [[{"license": n, "coverage": c, "start": a, "end": b} for n, c, a, b in f] for f in found]
+            rows = [[{"license": n, "coverage": c, "start": a, "end": b, "anchors": m} for n, c, a, b, m in f] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array([len(f) for f in found], pa.int32()), pa.array(rows, kind)],
                 ["doc_id", "license", "coverage", "n_found", "found"],
             )
 
-    schema = "doc_id long, license string, coverage double, n_found int, found array<struct<license:string,coverage:double,start:long,end:long>>"
+    schema = "doc_id long, license string, coverage double, n_found int, found array<struct<license:string,coverage:double,start:long,end:long,anchors:int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -1,4 +1,8 @@
+import json
 import random
+import re
+
+import pytest
 
 from loomline.llm import license_scan as S
 from loomline.llm.queries import op9_license_scan
@@ -122,3 +126,99 @@ def test_edges(spark, odd_docs, no_docs):
     rows = S.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["license"] is None and r["coverage"] == 0 for r in rows)
     assert S.scan_licenses(no_docs).count() == 0
+
+
+def plain_alignment(a, b):
+    """Numbers of pairs and of anchors by recursion over lists, with a longest increasing subsequence of quadratic cost."""
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if once:
+        size, before = [1] * len(once), [None] * len(once)
+        for i in range(len(once)):
+            for j in range(i):
+                if once[j][1] < once[i][1] and size[j] + 1 > size[i]:
+                    size[i], before[i] = size[j] + 1, j
+        i, kept = size.index(max(size)), []
+        while i is not None:
+            kept.append(once[i])
+            i = before[i]
+        edges = [(-1, -1), *kept[::-1], (len(a), len(b))]
+        inner = [plain_alignment(a[i + 1 : k], b[j + 1 : m]) for (i, j), (k, m) in zip(edges, edges[1:])]
+        return len(kept) + sum(n for n, _ in inner), len(kept) + sum(m for _, m in inner)
+    n = 0
+    while a and b and a[0] == b[0]:
+        a, b, n = a[1:], b[1:], n + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, n = a[:-1], b[:-1], n + 1
+    more, anchored = plain_alignment(a, b) if n and a and b else (0, 0)
+    return n + more, anchored
+
+
+def test_alignment_against_plain_recursion():
+    """Equal where the longest subsequence of anchors is the only one, as in texts whose words keep their order."""
+    rng = random.Random(12)
+    for _ in range(400):
+        b = [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(30))]
+        a = [y for x in b for y in ([] if rng.random() < 0.2 else [x, f"n{rng.randrange(9)}"] if rng.random() < 0.2 else [x])]
+        pairs, anchors = S.patience(a, b)
+        assert (len(pairs), anchors) == plain_alignment(a, b)
+
+
+def marked_subsequence(text, t, phrases):
+    """The longest common subsequence of which every phrase of the template is a part, in one piece in the text as well; 0 if there is none."""
+    spots = {i: len(p) for p in phrases for i in range(len(t)) if t[i : i + len(p)] == p}
+    inside = {i + k for i, n in spots.items() for k in range(n)}
+    best = [[0] * (len(t) + 1) for _ in range(len(text) + 1)]
+    for i in range(len(text) - 1, -1, -1):
+        for j in range(len(t) - 1, -1, -1):
+            x = max(best[i + 1][j], best[i][j + 1])
+            if j in spots and text[i : i + spots[j]] == t[j : j + spots[j]]:
+                x = max(x, best[i + spots[j]][j + spots[j]] + spots[j] + 1000)
+            elif j not in inside and text[i] == t[j]:
+                x = max(x, best[i + 1][j + 1] + 1)
+            best[i][j] = x
+    return best[0][0] - 1000 * len(spots) if best[0][0] >= 1000 * len(spots) else 0
+
+
+def test_query_against_exact_subsequences(spark, sf, documents):
+    """A notice is found where one sentence has a common subsequence that covers it and holds its phrases, and nowhere else."""
+    got = {r["doc_id"]: json.loads(r["found"]) for r in op9_license_scan(spark, sf).collect()}
+    notices = {n: (S.words(t), [S.words(p) for p in S.MARKS[n]]) for n, t in S.TEMPLATES.items() if len(S.words(t)) <= S.NOTICE and n in S.MARKS}
+    texts = {n: S.words(t) for n, t in S.TEMPLATES.items() if len(S.words(t)) > S.NOTICE}
+    some = 0
+    for r in documents.collect():
+        want = set()
+        for sentence in re.split(r"(?<=[.!?])\s+|\n\s*\n", r["text"] or ""):
+            w = S.words(sentence)
+            for name, (t, phrases) in notices.items():
+                if set(sum(phrases, [])) <= set(w) and marked_subsequence(w, t, phrases) >= S.COVERAGE * len(t):
+                    want.add(name)
+        assert {f["license"] for f in got[r["doc_id"]]} == want
+        assert all(f["anchors"] > 0 and f["coverage"] >= S.COVERAGE for f in got[r["doc_id"]])
+        some += len(want)
+        w = S.words(r["text"] or "")
+        for name, t in texts.items():
+            if sum(x in set(w) for x in t) >= S.COVERAGE * len(t):
+                assert subsequence(w, t) < S.COVERAGE * len(t)
+    assert some
+
+
+def test_no_find_without_anchors_in_order():
+    """Texts that hold every word and every phrase of a license, but not in its order, and texts of which no word may anchor."""
+    scan = S.Scanner(S.TEMPLATES, S.COVERAGE).scan
+    shuffled = "Version 3 it is, the General Public one: see GNU General Public License for what under means"
+    assert all(f" {p} " in f" {' '.join(S.words(shuffled))} " for p in ("gnu general public license", "version 3"))
+    assert scan(shuffled) == []
+    assert scan("The MIT License is what it isn't under") == []
+    assert scan("It was under way. The book on the MIT License is out") == []  # a notice lies in one sentence
+    text = f"Some words. {S.TEMPLATES['GPL-3.0-text']} Released under the MIT License."
+    found = {f[0]: f[4] for f in scan(text)}
+    assert found["MIT-notice"] >= 2 and found["GPL-3.0-text"] > 20
+    assert S.Scanner({"none": "so so far far so far"}, S.COVERAGE, {}).scan("so so far far so far") == []
+
+
+@pytest.mark.parametrize("text", ["", " \n\n ", "...", "One two. Three!  Four\n\nfive 2.0 six", "a\n \n\n. b?"])
+def test_sentences(text):
+    cuts = S.sentences(text)
+    assert cuts[0] == 0 and cuts[-1] == len(S.words(text)) and sorted(set(cuts)) == cuts
+    if "Three" in text:
+        assert cuts == [0, 2, 3, 4, 8]
