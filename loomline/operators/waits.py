@@ -27,11 +27,11 @@ def as_of(log: DataFrame, asked: DataFrame, at: str = "at") -> DataFrame:
     return known.select("row.*", F.col("known.state").alias("state"))
 
 
-def wait(log: DataFrame, asked: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+def wait(log: DataFrame, asked: DataFrame, wanted: Column, least: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What becomes of ``asked(request, key, since, deadline)``, whose rows of a request have the same times and different keys.
 
     Gives (request, done, at, waited), ``at`` being the first moment from ``since`` on at which ``wanted``, a predicate of ``state``, holds for all
-    keys at once, or the deadline, and the keys' states then: (request, key, state). A null predicate doesn't hold; a key that the
+    keys at once, or for ``least`` of them (all, where a request has fewer), or the deadline, and the keys' states then: (request, key, state). A null predicate doesn't hold; a key that the
     log doesn't have is in the null state. A null request or key is one like others. A request without rows has no result.
     """
     ok = F.coalesce(wanted, F.lit(False)).cast("int")
@@ -51,7 +51,7 @@ def wait(log: DataFrame, asked: DataFrame, wanted: Column) -> tuple[DataFrame, D
     moments = steps.groupBy("r", "at").agg(F.sum("step").alias("step"))
     counts = scan(moments, ["r"], ["at"], F.col("step"), before="held")
     sizes = asked.groupBy("r").agg(F.first(F.struct("request")).alias("q"), F.count("*").alias("keys"), F.min("since").alias("since"), F.max("deadline").alias("deadline"))
-    met = counts.join(sizes.select("r", "keys"), "r").where("held + step = keys").groupBy("r").agg(F.min("at").alias("met"))
+    met = counts.join(sizes.select("r", "keys"), "r").where(F.col("held") + F.col("step") >= (F.col("keys") if least is None else F.least("keys", F.lit(least)))).groupBy("r").agg(F.min("at").alias("met"))
     ends = sizes.join(met, "r", "left")
     at = F.coalesce("met", F.greatest("since", "deadline"))
     ends = written(ends.select("r", "q.request", F.col("met").isNotNull().alias("done"), at.alias("at"), (at - F.col("since")).alias("waited")))
@@ -60,6 +60,12 @@ def wait(log: DataFrame, asked: DataFrame, wanted: Column) -> tuple[DataFrame, D
     return ends.drop("r"), states
 
 
+def wait_for_any(log: DataFrame, asked: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """``wait`` until one key is as wanted, and the keys that are then: (request, key), several where they came in the same moment."""
+    ends, states = wait(log, asked, wanted, 1)
+    return ends, states.where(wanted).select("request", "key")
+
+
 def wait_for_metadata(log: DataFrame, asked: DataFrame, probed: Column) -> tuple[DataFrame, DataFrame]:
     """``wait`` until each key is ``probed``, a predicate of the state, or in a state in which it won't be any more."""
     return wait(log, asked, probed | F.col("state").isin(*TERMINAL))

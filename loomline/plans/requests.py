@@ -172,15 +172,33 @@ EVENTS = Fixture("v", "events", {
 _COLUMNS = ", ".join(EVENTS.columns)
 #: A key's first event is a prepare of request r, image 0.
 FIRST = "SELECT key, -1 AS seq, 'prepare' AS event, NULL AS epoch, 'r' AS request, 0 AS idx, NULL AS claimer, NULL AS item, NULL AS t_probe, NULL AS t_put, NULL AS ok, NULL AS error, 0 AS worker FROM v GROUP BY key"
-_KINDS = {"string": "VARCHAR", "int": "INT", "double": "DOUBLE", "boolean": "BOOLEAN", "long": "BIGINT"}
-_ZERO = ", ".join(f"CAST({lifecycle.ZERO[f]} AS {_KINDS[t]}) AS {f}" for f, t in lifecycle.FIELDS.items())
-_STEP = ", ".join(f"CAST({lifecycle.effect_sql(f, 's.rule')} AS {_KINDS[t]}) AS {f}" for f, t in lifecycle.FIELDS.items())
+#: The machine in its own words, apart from the operator's rules: what an event is to its key's entry, then each field.
+_FLAGS = """SELECT *, event = 'prepare' AND coalesce(state NOT IN ('QUEUED', 'SIDECAR_RUNNING', 'READY'), TRUE) AS opens, event IN ('ready', 'failed') AND state IS NOT NULL AS lands,
+  event = 'started' AND fits AND state = 'QUEUED' AS starts, event = 'probed' AND fits AS probes, event = 'ready_put_done' AND fits AS puts,
+  event = 'ready' AND fits AND ok AND state <> 'FALLBACK_CLAIMED' AS readies, event = 'failed' AND fits AND state <> 'FALLBACK_CLAIMED' AS fails,
+  event = 'claim' AND own AND state NOT IN ('READY', 'FALLBACK_CLAIMED', 'FALLBACK_LOCAL_DONE') AS claims, event = 'claim' AND (state IS NULL OR own AND mine AND state = 'FALLBACK_CLAIMED') AS grants,
+  event = 'publish' AND own AND mine AS publishes, event = 'done' AND mine AND state = 'FALLBACK_CLAIMED' AS ends, event = 'evict' AND cached AS evicts,
+  event = 'fetch' AND state = 'READY' AND NOT cached AS misses, event = 'fetch' AND (state = 'READY' AND cached OR state = 'FALLBACK_LOCAL_DONE' AND payload) AS reads
+FROM (SELECT f.*, x.event, x.ok, x.claimer, x.request AS xrequest, x.idx AS xidx, x.item AS xitem, x.t_probe AS xprobe, x.t_put AS xput, x.error AS xerror, x.worker AS xworker,
+  coalesce(f.state IS NOT NULL AND x.epoch = f.epoch, FALSE) AS fits, coalesce(f.state IS NOT NULL AND (x.epoch, x.request, x.idx) = (f.epoch, f.request, f.idx), FALSE) AS own, coalesce(f.claimed_by = x.claimer, FALSE) AS mine
+  FROM f JOIN x ON x.key = f.key AND x.k = f.k + 1)"""
+_NEXT = """SELECT key, k + 1 AS k,
+  CASE WHEN opens AND cached OR readies THEN 'READY' WHEN opens THEN 'QUEUED' WHEN starts THEN 'SIDECAR_RUNNING' WHEN fails THEN 'FAILED' WHEN claims THEN 'FALLBACK_CLAIMED' WHEN publishes OR ends THEN 'FALLBACK_LOCAL_DONE' WHEN misses THEN 'EXPIRED' ELSE state END AS state,
+  epoch + coalesce(opens OR claims, FALSE)::INT AS epoch, CASE WHEN event = 'prepare' THEN xrequest ELSE request END AS request, CASE WHEN event = 'prepare' THEN xidx ELSE idx END AS idx,
+  CASE WHEN claims THEN claimer WHEN NOT opens THEN claimed_by END AS claimed_by, CASE WHEN probes OR readies THEN coalesce(xitem, item) WHEN cached OR NOT opens THEN item END AS item,
+  CASE WHEN fails OR probes AND xput IS NOT NULL THEN xprobe WHEN probes OR puts THEN coalesce(xprobe, t_probe) WHEN cached OR NOT opens THEN t_probe END AS t_probe,
+  CASE WHEN fails OR probes AND xprobe IS NOT NULL THEN xput WHEN probes OR puts THEN coalesce(xput, t_put) WHEN cached OR NOT opens THEN t_put END AS t_put,
+  CASE WHEN fails THEN xerror WHEN opens OR readies THEN NULL ELSE error END AS error, CASE WHEN opens AND NOT cached THEN xworker ELSE worker END AS worker,
+  CASE WHEN opens AND NOT cached THEN TRUE WHEN lands THEN FALSE ELSE in_flight END AS in_flight, CASE WHEN readies THEN TRUE WHEN evicts THEN FALSE ELSE cached END AS cached,
+  CASE WHEN publishes THEN TRUE WHEN opens OR claims THEN FALSE ELSE payload END AS payload, n_applied + counts::BIGINT AS n_applied, n_dropped + (NOT counts)::BIGINT AS n_dropped
+FROM (SELECT *, coalesce(event = 'prepare' OR starts OR probes OR puts OR readies OR fails OR claims OR grants OR publishes OR ends OR evicts OR reads, FALSE) AS counts FROM z)"""
 
 
 @query(f"""WITH RECURSIVE {EVENTS.sql.replace("event_id % 9 / 8", "event_id % 9 // 8")}, w AS (SELECT {_COLUMNS} FROM v UNION ALL {FIRST}), x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM w),
-f AS (SELECT DISTINCT key, 0::BIGINT AS k, {_ZERO} FROM x UNION ALL
-  SELECT s.key, s.k + 1, {_STEP} FROM (SELECT s.*, {lifecycle.rule_sql()} AS rule FROM f s JOIN x ON x.key = s.key AND x.k = s.k + 1) s JOIN x ON x.key = s.key AND x.k = s.k + 1)
-SELECT key, coalesce(state, 'ABSENT') AS state, {", ".join(f for f in lifecycle.FIELDS if f != "state")} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC) AS last FROM f) WHERE last = 1""")
+f AS (SELECT DISTINCT key, 0::BIGINT AS k, NULL::VARCHAR AS state, 0 AS epoch, NULL::VARCHAR AS request, NULL::INT AS idx, NULL::VARCHAR AS claimed_by, NULL::INT AS item, NULL::DOUBLE AS t_probe, NULL::DOUBLE AS t_put,
+  NULL::VARCHAR AS error, NULL::INT AS worker, FALSE AS in_flight, FALSE AS cached, FALSE AS payload, 0::BIGINT AS n_applied, 0::BIGINT AS n_dropped FROM x UNION ALL
+  (WITH z AS ({_FLAGS}) {_NEXT}))
+SELECT * EXCLUDE (k) REPLACE (coalesce(state, 'ABSENT') AS state) FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1""")
 def epoch_state_machine(spark, sf):
     rows = EVENTS(spark, sf)
     first = rows.groupBy("key").agg(F.lit(-1).cast("long").alias("seq"))

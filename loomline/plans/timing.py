@@ -59,6 +59,16 @@ def source_plan_waits(spark, sf):
     return times.join(counts, "request")
 
 
+@query(f"""WITH {_LOG_SQL}, {_ASK_SQL}, m AS (SELECT request, since AS time FROM q UNION SELECT request, log.time FROM q JOIN log USING (key) WHERE log.time > since AND log.time <= deadline), {_states_sql("s", "m")},
+met AS (SELECT request, min(time) AS met FROM s WHERE state = 'READY' GROUP BY 1), n AS (SELECT s.request, count(*) AS n_first, min(key) AS first_key FROM s JOIN met ON met.request = s.request AND met.met = s.time WHERE state = 'READY' GROUP BY ALL)
+SELECT q.request, met IS NOT NULL AS done, (coalesce(met, deadline) - since)::BIGINT AS waited, coalesce(n_first, 0) AS n_first, first_key FROM (SELECT DISTINCT request, since, deadline FROM q) q LEFT JOIN met USING (request) LEFT JOIN n USING (request)""")
+def wait_for_any(spark, sf):
+    """When the first key of each request is ready, and which."""
+    ends, first = waits.wait_for_any(_log(spark, sf), _asked(spark, sf), F.col("state") == "READY")
+    first = first.groupBy("request").agg(F.count("*").alias("n_first"), F.min("key").alias("first_key"))
+    return ends.join(first, "request", "left").select("request", "done", "waited", F.coalesce("n_first", F.lit(0)).alias("n_first"), "first_key")
+
+
 _KIND = "CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'probed' WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN 'ready_put_done' WHEN 'error' THEN 'failed' END"
 RUNS = Fixture("r", "events", {"item": "user_id", "run": "event_id % 40", "seq": "event_id", "kind": _KIND})
 

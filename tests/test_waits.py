@@ -16,14 +16,14 @@ def state_at(log, key, t):
     return max(own, key=lambda r: r[:2])[2] if own else None
 
 
-def polled(log, rows, ok):
+def polled(log, rows, ok, enough=all):
     """Every millisecond, as a poll without a pause would see it."""
     out, states = {}, {}
     for request, own in itertools.groupby(sorted(rows, key=lambda r: r[0] or ""), key=lambda r: r[0]):
         own = list(own)
         since, deadline = own[0][2:]
         t = since
-        while not (done := all(ok(state_at(log, r[1], t)) for r in own)) and t < deadline:
+        while not (done := enough(ok(state_at(log, r[1], t)) for r in own)) and t < deadline:
             t += 1
         out[request] = (done, t, t - since)
         states |= {(request, r[1]): state_at(log, r[1], t) for r in own}
@@ -61,6 +61,13 @@ def test_wait_equals_polling(spark, monkeypatch, seed, least):
     got, _ = waits.wait_for_metadata(df, asked, F.col("state") == "SIDECAR_RUNNING")
     want, _ = polled(log, rows, lambda s: s == "SIDECAR_RUNNING" or s in waits.TERMINAL)
     assert {r["request"]: (r["done"], r["at"], r["waited"]) for r in got.collect()} == want
+    got, first = waits.wait_for_any(df, asked, F.col("state") == "READY")
+    want, seen = polled(log, rows, ready, any)
+    assert {r["request"]: (r["done"], r["at"], r["waited"]) for r in got.collect()} == want
+    assert {(r["request"], r["key"]) for r in first.collect()} == {k for k, s in seen.items() if s == "READY"}
+    got, _ = waits.wait(df, asked, F.col("state") == "READY", 2)
+    want, _ = polled(log, rows, ready, lambda x: sum(x := list(x)) >= min(2, len(x)))
+    assert {r["request"]: (r["done"], r["at"], r["waited"]) for r in got.collect()} == want
     empty = waits.wait(df, asked.where("since > 9999"), F.col("state") == "READY")
     assert empty[0].count() == 0 and empty[1].count() == 0
     assert waits.wait(df.where("at < 0"), asked, F.col("state") == "READY")[0].where("done").count() == 0
