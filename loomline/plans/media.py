@@ -103,11 +103,17 @@ def plan_payload_roundtrip(spark, sf):
     return got.select("req", "p.version", "p.enabled", "p.reason", "p.prepared_image_count", "p.total_placeholder_token_count", F.size("p.planned_items").alias("n_planned"), F.size("p.handles").alias("n_handles"), last.alias("last_key"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 END::INT AS version, CASE WHEN event_id % 4 < 2 THEN event_id % 4 = 1 END AS enabled, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 END::INT AS images FROM events")
+@query("""WITH d AS (SELECT doc_id, text, n_chars, doc_id % 4 AS k, starts_with(ltrim(text, ' '), '{') AS braced FROM documents)
+SELECT doc_id, CASE WHEN k < 3 OR braced THEN 1 END::INT AS version, CASE WHEN k < 3 OR braced THEN k = 1 END AS enabled, CASE WHEN k = 1 THEN n_chars WHEN k < 3 OR braced THEN 0 END::INT AS images,
+  CASE WHEN k < 3 THEN sha256(text) END AS request, CASE WHEN k = 1 THEN 1 WHEN k < 3 OR braced THEN 0 END::INT AS n_handles FROM d""")
 def tolerant_plan(spark, sf):
-    text = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"request_id": "a"}' WHEN 1 THEN '{"request_id": "b", "enabled": true, "prepared_image_count": 3, "handles": [1, {"epoch": 2}]}' WHEN 2 THEN 'no json' ELSE '[1]' END""")
-    got = Fixture("v", "events", {"event_id": "event_id"})(spark, sf).select("event_id", payloads.decode_plan(text).alias("p"))
-    return got.select("event_id", "p.version", "p.enabled", F.col("p.prepared_image_count").alias("images"))
+    """Plans whose request is named by a whole text: with most keys, with none but it, and texts that are no plan."""
+    docs = Fixture("d", "documents", {"doc_id": "doc_id", "text": "text", "n_chars": "n_chars"})(spark, sf)
+    full = "to_json(struct(text AS request_id, true AS enabled, n_chars AS prepared_image_count, array(struct(text AS cache_key)) AS handles))"
+    payload = F.expr(f"CASE WHEN doc_id % 4 = 1 THEN {full} WHEN doc_id % 4 < 3 THEN to_json(struct(text AS request_id)) ELSE text END")
+    got = docs.select("doc_id", payloads.decode_plan(payload).alias("p"))
+    handles = F.when(F.col("p").isNotNull(), F.size("p.handles"))
+    return got.select("doc_id", "p.version", "p.enabled", F.col("p.prepared_image_count").alias("images"), F.sha2("p.request_id", 256).alias("request"), handles.alias("n_handles"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '{\"b\":2}' END AS payload, CASE WHEN event_id % 5 = 0 THEN 'i' || event_id || '|s' ELSE 'k' || event_id END AS mm_hash FROM events")
@@ -128,12 +134,13 @@ def prompt_metadata(spark, sf):
     return rows.groupBy("conv_id").agg(F.count("*").alias("prompt_parts"), F.sum(F.length("text")).alias("prompt_chars"), of("image"), of("audio"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR END AS seed, '5' AS n FROM events")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND html IS NOT NULL THEN html ELSE url END AS model, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR END AS seed, length(html)::VARCHAR AS n FROM pages")
 def payload_overrides(spark, sf):
-    e = F.col("event_id")
-    m = payloads.overridden(F.lit('{"model": "old", "n": 5}'), model=F.when(e % 2 == 0, "new"), seed=F.when(e % 3 == 0, e))
-    rows = Fixture("v", "events", {"event_id": "event_id"})(spark, sf).select("event_id", m.alias("m"))
-    return rows.select("event_id", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("model", "seed", "n")))
+    """Payloads that carry a page's URL, some of which get its whole HTML in the URL's place."""
+    pages = Fixture("p", "pages", {"page_id": "page_id", "url": "url", "html": "html"})(spark, sf)
+    k = F.col("page_id")
+    m = payloads.overridden(F.expr("to_json(struct(url AS model, length(html) AS n))"), model=F.when(k % 2 == 0, F.col("html")), seed=F.when(k % 3 == 0, k))
+    return pages.select("page_id", m.alias("m")).select("page_id", *(F.try_element_at("m", F.lit(c)).alias(c) for c in ("model", "seed", "n")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 14 END::INT AS patch, CASE WHEN p_size % 3 = 0 THEN 4 ELSE 2 END::INT AS merge, 2::INT AS temporal, 3::INT AS channels, CASE WHEN p_size % 5 = 0 THEN 100 WHEN p_size % 3 = 0 THEN 56 ELSE 3136 END::INT AS min_pixels, CASE WHEN p_size % 3 = 0 THEN 900 ELSE 12845056 END::INT AS max_pixels FROM part")
@@ -220,14 +227,15 @@ def explicit_urls(spark, sf):
     return media.explicit_urls(Fixture("v", "events", {"event_id": "event_id"})(spark, sf).select(e.alias("pos"), line.alias("line")), 12)
 
 
-@query("""WITH l AS (SELECT user_id, event_id, event_id % 11 = 0 AS done, event_id % 5 > 1 AS said FROM events WHERE user_id IS NOT NULL), d AS (SELECT user_id, min(event_id) AS z FROM l WHERE done GROUP BY 1), c AS (SELECT l.user_id, event_id, said AND NOT done AND (z IS NULL OR event_id < z) AS ok FROM l LEFT JOIN d USING (user_id))
-SELECT user_id, min(event_id * 2) FILTER (ok) AS first_token_at, max(event_id * 2) FILTER (ok) AS last_token_at, count(*) FILTER (ok) AS tokens, coalesce(string_agg('t' || event_id, '' ORDER BY event_id) FILTER (ok), '') AS text FROM c GROUP BY 1""")
+@query("""WITH l AS (SELECT conv_id, turn, text, coalesce(length(text) % 7 = 0, FALSE) AS done, role = 'assistant' AND text <> '' AS said FROM conversations), d AS (SELECT conv_id, min(turn) AS z FROM l WHERE done GROUP BY 1),
+c AS (SELECT l.conv_id, turn, text, coalesce(said AND NOT done AND (z IS NULL OR turn < z), FALSE) AS ok FROM l LEFT JOIN d ON l.conv_id IS NOT DISTINCT FROM d.conv_id)
+SELECT conv_id, (min(turn * 2) FILTER (ok))::BIGINT AS first_token_at, (max(turn * 2) FILTER (ok))::BIGINT AS last_token_at, count(*) FILTER (ok) AS tokens, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (ok), '')) AS text_sha256 FROM c GROUP BY 1""")
 def token_stream(spark, sf):
-    e = F.col("event_id")
-    content = F.concat(F.lit('data: {"choices": [{"delta": {"content": "t'), e.cast("string"), F.lit('"}}]}'))
-    line = F.when(e % 11 == 0, "data: [DONE]").when(e % 5 == 0, ": ping").when(e % 5 == 1, 'data: {"choices": []}').otherwise(content)
-    rows = Fixture("v", "events", {"event_id": "event_id", "user_id": "user_id"}, "user_id IS NOT NULL")(spark, sf)
-    return media.streamed(rows.select("user_id", e.alias("seq"), (e * 2).alias("at"), line.alias("line")), "user_id")
+    """Conversations as responses: what the assistant says are event lines, the rest are comments; some texts end the response."""
+    line = F.expr("""CASE WHEN length(text) % 7 = 0 THEN 'data: [DONE]' WHEN role = 'assistant' THEN concat('data: ', to_json(struct(array(struct(struct(text AS content) AS delta)) AS choices))) ELSE ': ping' END""")
+    rows = Fixture("c", "conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"})(spark, sf)
+    lines = rows.select("conv_id", F.col("turn").alias("seq"), (F.col("turn").cast("long") * 2).alias("at"), line.alias("line"))
+    return media.streamed(lines, "conv_id").withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'request_id' WHEN o_orderkey % 5 = 0 THEN 'http_timeout_ms' WHEN o_orderkey % 3 = 0 THEN 'orig_size_hw' END AS fallback, CASE WHEN o_orderkey % 7 = 0 THEN 'item_identity' WHEN o_orderkey % 3 = 0 THEN 'image_grid_thw' WHEN o_orderkey % 5 = 0 THEN 'placeholder_token_count' END AS schedule_item,

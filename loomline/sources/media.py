@@ -187,12 +187,12 @@ def explicit_urls(lines: DataFrame, needed: int) -> DataFrame:
 def streamed(lines: DataFrame, group: str) -> DataFrame:
     """First and last token time and the text of each response from its event lines ``(group, seq, at, line)``.
 
-    Lines after ``[DONE]``, and lines that carry no content, count for nothing; a response without any has null times and no text.
+    Lines after ``[DONE]``, and lines that carry no content, count for nothing; a response without any has null times and no text. Lines of a null group are one response.
     """
     data = F.when(F.col("line").startswith("data: "), F.substr("line", F.lit(7)))
-    ends = lines.where(data == "[DONE]").groupBy(group).agg(F.min("seq").alias("_end"))
+    ends = lines.where(data == "[DONE]").groupBy(F.col(group).alias("_group")).agg(F.min("seq").alias("_end"))
     content = F.get_json_object(data, "$.choices[0].delta.content")
-    rows = lines.join(ends, group, "left").withColumn("_c", F.when(F.col("_end").isNull() | (F.col("seq") < F.col("_end")), F.nullif(content, F.lit(""))))
+    rows = lines.join(ends, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_c", F.when(F.col("_end").isNull() | (F.col("seq") < F.col("_end")), F.nullif(content, F.lit(""))))
     said = F.filter(F.sort_array(F.collect_list(F.struct("seq", "_c"))), lambda x: x["_c"].isNotNull())
     at = F.when(F.col("_c").isNotNull(), F.col("at"))
     return rows.groupBy(group).agg(F.min(at).alias("first_token_at"), F.max(at).alias("last_token_at"), F.count("_c").alias("tokens"), F.array_join(F.transform(said, lambda x: x["_c"]), "").alias("text"))
