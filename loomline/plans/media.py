@@ -116,15 +116,17 @@ def tolerant_plan(spark, sf):
     return got.select("doc_id", "p.version", "p.enabled", F.col("p.prepared_image_count").alias("images"), F.sha2("p.request_id", 256).alias("request"), handles.alias("n_handles"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '{\"b\":2}' END AS payload, CASE WHEN event_id % 5 = 0 THEN 'i' || event_id || '|s' ELSE 'k' || event_id END AS mm_hash FROM events")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 1 AND starts_with(text, '{') THEN sha256(text) WHEN doc_id % 3 = 1 THEN sha256(source) END AS found, CASE WHEN lang = 'en' OR lang IS NULL THEN source || '|' || doc_id ELSE lang || doc_id END AS mm_hash FROM documents""")
 def payload_lookup(spark, sf):
-    e = F.col("event_id")
-    params = F.when(e % 3 == 0, F.create_map(F.lit("request_plan"), F.lit('{"a":1}'))).when(e % 3 == 1, F.create_map(F.lit("request_plan"), F.lit("text")))
-    nested = F.when(e % 3 != 2, F.array(F.create_map(F.lit("other"), F.lit("{}")), F.create_map(F.lit("request_plan"), F.lit('{"b":2}'))))
-    n = e.cast("string")
-    key = F.when(e % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("k"), n))
-    rows = Fixture("v", "events", {"event_id": "event_id"})(spark, sf)
-    return rows.select("event_id", payloads.found_payload(params, nested).alias("payload"), payloads.mm_hash(key, F.concat(F.lit("i"), n), F.lit("s")).alias("mm_hash"))
+    """Payloads around whole texts: in a request's own arguments, in its features' where those are no object, or nowhere."""
+    docs = Fixture("d", "documents", {"doc_id": "doc_id", "text": "text", "source": "source", "lang": "lang"})(spark, sf)
+    k = F.col("doc_id") % 3
+    around = lambda c: F.to_json(F.struct(F.col(c).alias("inner")))
+    params = F.when(k == 0, F.create_map(F.lit("request_plan"), around("text"))).when(k == 1, F.create_map(F.lit("request_plan"), F.when(F.col("text").startswith("{"), around("text")).otherwise(F.col("text"))))
+    nested = F.when(k != 2, F.array(F.create_map(F.lit("other"), around("text")), F.create_map(F.lit("request_plan"), around("source"))))
+    key = F.when(F.col("lang") == "en", "").otherwise(F.concat("lang", F.col("doc_id").cast("string")))
+    found = F.get_json_object(payloads.found_payload(params, nested), "$.inner")
+    return docs.select("doc_id", F.sha2(found, 256).alias("found"), payloads.mm_hash(key, F.col("source"), F.col("doc_id").cast("string")).alias("mm_hash"))
 
 
 @query("SELECT conv_id, count(*) AS prompt_parts, sum(len(text))::BIGINT AS prompt_chars, count(*) FILTER (turn % 2 = 0) AS image_uuids, count(*) FILTER (turn % 2 = 1) AS audio_uuids FROM conversations GROUP BY 1")
@@ -212,19 +214,22 @@ def normalized_images(spark, sf):
     return d.select("doc_id", F.when(i % 4 != 0, (i % 50 + 1).cast("int")).alias("h"), mime.alias("mime"))
 
 
-@query("WITH c AS (SELECT event_id, event_id % 2000 AS w, event_id * 7 % 2500 AS h, event_id % 13 AS bad FROM events) SELECT event_id AS pos, 'p' || event_id AS id, CASE WHEN bad = 3 THEN 'unknown' ELSE 'someone' END AS author, w::INT AS width, h::INT AS height, 'u' || event_id AS download_url, true AS enough FROM c WHERE w >= 900 AND h >= 900 AND bad <> 1 AND bad <> 2 ORDER BY event_id LIMIT 40")
+_SIDE = "length(regexp_replace(html, '[^a-z]', '', 'g'))"
+
+
+@query(f"""WITH c AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, ({_SIDE})::INT AS w, length(url) * 40 AS h FROM pages)
+SELECT page_id AS pos, url AS id, coalesce(title, 'unknown') AS author, w AS width, h::INT AS height, url AS download_url, count(*) OVER () >= 10 AS enough FROM c WHERE w >= 900 AND h >= 900 AND page_id % 13 <> 1 AND url IS NOT NULL ORDER BY page_id LIMIT 10""")
 def photo_catalog(spark, sf):
-    e = F.col("event_id")
-    w, h = (e % 2000).cast("string"), (e * 7 % 2500).cast("string")
-    item = F.concat(F.lit('{"id": "p'), e.cast("string"), F.lit('", '), F.when(e % 13 == 3, "").otherwise('"author": "someone", '), F.lit('"width": '), F.when(e % 13 == 1, '"x"').otherwise(w), F.lit(', "height": '), h, F.when(e % 13 == 2, "").otherwise(F.concat(F.lit(', "download_url": "u'), e.cast("string"), F.lit('"'))), F.lit("}"))
-    return media.catalog(Fixture("v", "events", {"event_id": "event_id"})(spark, sf).select(e.alias("pos"), item.alias("item")), 40)
+    """Pages as photos: the title's author, sides counted from the HTML's letters and the URL's."""
+    fields = f"url AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS author, CASE WHEN page_id % 13 = 1 THEN 'x' ELSE CAST({_SIDE.replace(", 'g'", '')} AS string) END AS width, length(url) * 40 AS height, url AS download_url"
+    pages = Fixture("p", "pages", {"pos": "page_id", "page_id": "page_id", "url": "url", "html": "html"})(spark, sf)
+    return media.catalog(pages.select("pos", F.expr(f"to_json(struct({fields}))").alias("item")), 10)
 
 
-@query("WITH l AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE event_id % 4 > 1 ORDER BY event_id LIMIT 12) SELECT 'explicit-' || lpad(k::VARCHAR, 2, '0') AS id, 'http://h/' || event_id AS url FROM l")
+@query("WITH l AS (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS k FROM pages WHERE page_id % 4 > 1 AND trim(url, ' ') <> '' ORDER BY page_id LIMIT 12) SELECT 'explicit-' || lpad(k::VARCHAR, 2, '0') AS id, trim(url, ' ') AS url FROM l")
 def explicit_urls(spark, sf):
-    e = F.col("event_id")
-    line = F.when(e % 4 == 0, "  ").when(e % 4 == 1, "# http://comment").otherwise(F.concat(F.lit(" http://h/"), e.cast("string"), F.lit(" ")))
-    return media.explicit_urls(Fixture("v", "events", {"event_id": "event_id"})(spark, sf).select(e.alias("pos"), line.alias("line")), 12)
+    line = F.expr("CASE page_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN concat('# ', url) ELSE concat(' ', url, ' ') END")
+    return media.explicit_urls(Fixture("p", "pages", {"page_id": "page_id", "url": "url"})(spark, sf).select(F.col("page_id").alias("pos"), line.alias("line")), 12)
 
 
 @query("""WITH l AS (SELECT conv_id, turn, text, coalesce(length(text) % 7 = 0, FALSE) AS done, role = 'assistant' AND text <> '' AS said FROM conversations), d AS (SELECT conv_id, min(turn) AS z FROM l WHERE done GROUP BY 1),
