@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,16 +117,29 @@ def placement(events: DataFrame, workers: int, group: str = "grp") -> DataFrame:
     """The worker of each submitted item: the least loaded one, ties to the lowest id. ``events(grp, seq, kind, worker)``.
 
     A ``submit`` adds to the load of the chosen worker; a ``finish`` takes one from its worker's, not below 0. The
-    events of a group are folded in one task, as their order asks for.
+    events of a group are folded in one task, as their order asks for: sorted by Spark and read as a stream, of which
+    only the loads are held. Null is a group like others; events of equal seq stand by kind, then worker.
     """
-    zero = f"named_struct('loads', array_repeat(0, {workers}), 'placed', CAST(array() AS array<struct<seq: bigint, worker: int>>))"
-    least = "CAST(array_position(s.loads, array_min(s.loads)) AS int) - 1"
-    step = f"""CASE WHEN x.kind = 'submit' THEN named_struct('loads', transform(s.loads, (v, k) -> CASE WHEN k = {least} THEN v + 1 ELSE v END),
-        'placed', concat(s.placed, array(named_struct('seq', x.seq, 'worker', {least}))))
-      ELSE named_struct('loads', transform(s.loads, (v, k) -> CASE WHEN k = x.worker THEN greatest(v - 1, 0) ELSE v END), 'placed', s.placed) END"""
-    rows = events.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", F.col("worker").cast("int").alias("worker")))).alias("e"))
-    placed = rows.select(group, F.explode(F.expr(f"aggregate(e, {zero}, (s, x) -> {step}).placed")).alias("p"))
-    return placed.select(group, "p.seq", "p.worker")
+    rows = events.select(F.col(group).alias("g"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("kind") == "submit", F.lit(False)).alias("submit"), F.col("worker").cast("int").alias("worker"), F.col("kind").alias("kind"))
+    out = rows.select(F.col("g").alias(group), "seq", "worker").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, loads = None, [0] * workers
+        for batch in batches:
+            chosen = []
+            for g, submit, worker in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if g != now and (g == g or now == now):  # a NaN is the same group as another
+                    now, loads = g, [0] * workers
+                if submit:
+                    least = loads.index(min(loads))
+                    loads[least] += 1
+                    chosen.append(least)
+                elif worker is not None and 0 <= worker < workers and loads[worker]:
+                    loads[worker] -= 1
+            placed = batch.filter(batch.column(2))
+            yield pa.RecordBatch.from_arrays([placed.column(0), placed.column(1), pa.array(chosen, pa.int32())], out.names)
+
+    return rows.repartition("g").sortWithinPartitions("g", "seq", "kind", "worker").mapInArrow(run, out)
 
 
 def first_queued(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:

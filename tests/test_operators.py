@@ -1,6 +1,7 @@
 import base64
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -26,6 +27,34 @@ def test_sparse_summary_counts_missing_as_zero(spark):
     assert got == {"fetch": (4.0, 5.0, 8.0), "a": (-2.0, 0.0, -4.0), "b": (1.0, 2.0, 2.0), "total": (10.0, 12.0, 20.0)}
 
 
+def test_placement_of_long_groups(spark):
+    draw = random.Random(11)
+    kinds, owners = ["submit", "submit", "finish", None], [0, 1, 2, 3, -1, 9, None]
+    rows = [(draw.choice([None, 1, 1, 2]), seq, draw.choice(kinds), draw.choice(owners)) for seq in range(3000)]
+    assert sorted(map(tuple, R.placement(spark.createDataFrame(rows, "grp long, seq long, kind string, worker long"), 4).collect()), key=lambda r: r[1]) == _placed(rows, 4)
+    n = 400_000  # a fold that copies what it has placed takes the square of that
+    rows = spark.range(n).selectExpr("1L AS grp", f"{n} - id AS seq", "CASE WHEN id % 3 > 0 THEN 'submit' ELSE 'finish' END AS kind", "id % 4 AS worker")
+    asked = [(1, n - i, "submit" if i % 3 else "finish", i % 4) for i in reversed(range(n))]
+    began = time.monotonic()
+    got = R.placement(rows, 4).toPandas().sort_values("seq")
+    assert list(zip(got["grp"], got["seq"], got["worker"])) == _placed(asked, 4)
+    assert time.monotonic() - began < 60
+
+
+def _placed(rows, workers):
+    """(grp, seq, worker) of each submit of rows in order of seq."""
+    loads, out = {}, []
+    for g, seq, kind, w in rows:
+        own = loads.setdefault(g, [0] * workers)
+        if kind == "submit":
+            k = min(range(workers), key=lambda i: (own[i], i))
+            own[k] += 1
+            out.append((g, seq, k))
+        elif w is not None and 0 <= w < workers:
+            own[w] = max(own[w] - 1, 0)
+    return out
+
+
 def test_cache_snapshots(spark):
     c = spark.createDataFrame([(1, 1, 60), (1, 2, 40), (1, 3, 60), (2, 1, 101), (3, 1, 100)], "g long, used long, bytes long")
     assert sorted(tuple(r)[:2] for r in R.within_budget(c, "g", ["used"], "bytes", 100).collect()) == [(1, 2), (1, 3), (3, 1)]
