@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import fitting
 from loomline.plans.registry import query, table
-from loomline.sources import blobs, lines, media
+from loomline.sources import lines, media
 from loomline.tables import new_path
 
 _SENTENCE, _WORD = r"[^.!?]+[.!?]*", r"[^\x20\x09-\x0D]+"
@@ -32,19 +32,25 @@ def exact_texts(spark, sf):
 
 @query("""SELECT conv_id, count(*) FILTER (role = 'assistant' AND text <> '') AS tokens, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS text_sha256 FROM conversations GROUP BY 1""")
 def response_lines(spark, sf):
-    """Each conversation's answers as the event lines of a response, in a file that a stream reads by offsets; what users say comes after the end."""
+    """Each conversation's answers as the event lines of a response, in files that a stream reads by offsets; what users say comes after the end.
+
+    A file holds the lines of many responses, each line behind its response's id and a tab: files grow in number with the bytes, not
+    with the responses.
+    """
     turns = table(spark, sf, "conversations")
+    kind = turns.schema["conv_id"].dataType
     event = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
-    told = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, F.struct("turn", event.alias("line"))))), lambda x: x["line"])
-    answer = F.col("role") == "assistant"
-    whole = turns.groupBy("conv_id").agg(told(answer).alias("a"), told(~answer).alias("z"))  # of one conversation
-    content = F.array_join(F.concat("a", F.array(F.lit("data: [DONE]")), "z"), "\n\n")
+    answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    told = turns.select("conv_id", F.when(answer, 0).otherwise(2).alias("part"), "turn", event.alias("line"))
+    ends = turns.select("conv_id").distinct().select("conv_id", F.lit(1).alias("part"), F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"), F.lit("data: [DONE]").alias("line"))
+    ordered = told.unionByName(ends).repartition("conv_id").sortWithinPartitions("conv_id", "part", F.asc_nulls_last("turn"), "line")
     folder = new_path(spark)
-    named = blobs.put(whole.select("conv_id", F.concat(content, F.lit("\n")).cast("binary").alias("content")), "content", f"{folder}/in")
+    ordered.select(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("\t"), "line")).write.option("maxRecordsPerFile", 0).text(f"{folder}/in", lineSep="\n\n")  # a response in one file
     spark.dataSource.register(lines.Lines)
-    urls = [f"{folder}/in/{r['name']}" for r in named.select("name").distinct().toLocalIterator()]  # the list of files that the stream reads
+    urls = spark.read.text(f"{folder}/in").inputFiles()  # the list of files that the stream reads
     out = spark.readStream.format("lines").option("urls", json.dumps(urls)).load().writeStream.format("parquet").option("path", f"{folder}/out")
     out.option("checkpointLocation", f"{folder}/state").trigger(once=True).start().awaitTermination()
-    got = spark.read.schema("url string, offset long, line string").parquet(f"{folder}/out")
-    rows = got.select(F.regexp_extract("url", "([0-9a-f]{64})$", 1).alias("name"), F.col("offset").alias("seq"), F.col("offset").cast("double").alias("at"), "line")
-    return named.join(media.streamed(rows, "name"), "name").select("conv_id", "tokens", F.sha2("text", 256).alias("text_sha256"))
+    got = spark.read.schema("url string, offset long, line string").parquet(f"{folder}/out").where("line <> ''")
+    own = F.nullif(F.substring_index("line", "\t", 1), F.lit("")).cast(kind)
+    rows = got.select(own.alias("conv_id"), F.col("offset").alias("seq"), F.col("offset").cast("double").alias("at"), F.expr("substring(line, instr(line, '\t') + 1)").alias("line"))
+    return media.streamed(rows, "conv_id").select("conv_id", "tokens", F.sha2("text", 256).alias("text_sha256"))

@@ -1,13 +1,14 @@
 """Lines of growing files and HTTP resources as a stream with offsets.
 
 An offset is the number of bytes of each resource up to the end of a whole line. A trigger plans the ranges that have come since and
-tasks read them, each its own, so a range that is read again after a failure holds the same lines.
+tasks read them, so a range that is read again after a failure holds the same lines.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.request import Request, urlopen
 
 import pyarrow.fs as pf
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 #: Bytes that are looked at for the last line's end, and bytes of a task's range, but for longer lines.
 TAIL, RANGE = 1 << 16, 8 << 20
+#: Ranges of a task at most, and resources whose ends are looked for at once.
+SHARED, LOOKS = 128, 16
 
 
 def _is_http(url: str) -> bool:
@@ -57,9 +60,11 @@ def line_end(url: str, start: int, stop: int) -> int:
     return start
 
 
-class _Range(InputPartition):
-    def __init__(self, url: str, start: int, stop: int, last: int) -> None:
-        self.url, self.start, self.stop, self.last = url, start, stop, last
+class _Ranges(InputPartition):
+    """(url, start, stop, last) of each range that a task reads."""
+
+    def __init__(self) -> None:
+        self.ranges: list[tuple[str, int, int, int]] = []
 
 
 class _Reader(DataSourceStreamReader):
@@ -70,30 +75,37 @@ class _Reader(DataSourceStreamReader):
         return {url: 0 for url in self.urls}
 
     def latestOffset(self) -> dict:
-        return {url: line_end(url, 0, size_of(url)) for url in self.urls}
+        with ThreadPoolExecutor(LOOKS) as pool:
+            return dict(zip(self.urls, pool.map(lambda url: line_end(url, 0, size_of(url)), self.urls), strict=True))
 
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        """Ranges that begin and stop anywhere; a range has the lines that begin in it."""
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[_Ranges]:
+        """Ranges that begin and stop anywhere; a range has the lines that begin in it. Short ones share a task."""
+        out, room = [], 0
         for url in self.urls:
             low, high = start.get(url, 0), end[url]
-            out += [_Range(url, at, min(at + RANGE, high), high) for at in range(low, high, RANGE)]
+            for at in range(low, high, RANGE):
+                stop = min(at + RANGE, high)
+                if stop - at > room:
+                    out.append(_Ranges())
+                    room = RANGE
+                out[-1].ranges.append((url, at, stop, high))
+                room -= max(stop - at, RANGE // SHARED)
         return out
 
-    def read(self, part: _Range) -> Iterator[tuple]:
-        at = part.start
-        data = read_range(part.url, at - 1, part.stop) if at else b"\n" + read_range(part.url, 0, part.stop)
-        begun = data.find(b"\n") + 1  # after the end of the line that began before
-        if not begun or begun == len(data):
-            return
-        at, data, stop = at - 1 + begun, data[begun:], part.stop
-        while not data.endswith(b"\n") and stop < part.last:  # the last line reaches into the next range
-            more = read_range(part.url, stop, min(stop + TAIL, part.last))
-            cut = more.find(b"\n") + 1
-            data, stop = data + (more[:cut] if cut else more), stop + len(more)
-        for line in data.split(b"\n")[:-1]:
-            yield part.url, at, line.removesuffix(b"\r").decode(errors="replace")
-            at += len(line) + 1
+    def read(self, part: _Ranges) -> Iterator[tuple]:
+        for url, start, stop, last in part.ranges:
+            data = read_range(url, start - 1, stop) if start else b"\n" + read_range(url, 0, stop)
+            begun = data.find(b"\n") + 1  # after the end of the line that began before
+            if not begun or begun == len(data):
+                continue
+            at, data = start - 1 + begun, data[begun:]
+            while not data.endswith(b"\n") and stop < last:  # the last line reaches into the next range
+                more = read_range(url, stop, min(stop + TAIL, last))
+                cut = more.find(b"\n") + 1
+                data, stop = data + (more[:cut] if cut else more), stop + len(more)
+            for line in data.split(b"\n")[:-1]:
+                yield url, at, line.removesuffix(b"\r").decode(errors="replace")
+                at += len(line) + 1
 
     def commit(self, end: dict) -> None:
         pass

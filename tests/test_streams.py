@@ -1,12 +1,16 @@
 import collections
 import json
+import os
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.plans import texts
+from loomline.plans.registry import SQL
 from loomline.sources import lines, media
 
 
@@ -133,3 +137,33 @@ def test_token_stream_from_lines(spark, site, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out").select("url", F.col("offset").alias("seq"), F.col("offset").cast("double").alias("at"), "line")
     out = media.streamed(rows, "url").collect()
     assert [(r["tokens"], r["text"]) for r in out] == [(2, "Hello")]
+
+
+def test_short_ranges_share_tasks(tmp_path):
+    data = {}
+    for i in range(300):
+        (tmp_path / f"{i:03}").write_bytes(own := b"%d\n" % i * (i % 4))
+        data[str(tmp_path / f"{i:03}")] = own
+    reader = lines._Reader({"urls": json.dumps([*data, str(tmp_path / "none")])})
+    parts = reader.partitions(reader.initialOffset(), end := reader.latestOffset())
+    assert end == {u: len(d) for u, d in data.items()} | {str(tmp_path / "none"): 0}
+    assert [(p[0][-3:], *p[1:]) for part in parts for p in reader.read(part)] == [w for u, d in data.items() for w in want(u[-3:], d)]
+    assert len(parts) == 2  # of at most 128 ranges
+
+
+def test_many_responses_share_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "sf").mkdir()
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{c}\t{t}\n\u00e9\r") for c in range(200) for t in range(4)]
+    rows += [(None, 0, "assistant", "of none"), (None, 1, None, "x"), (-5, None, "assistant", "last"), (-5, 1, "assistant", "first "), (-6, 0, "assistant", None), (-6, 1, "assistant", ""), (-7, 0, "user", "only")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/sf/conversations.parquet")
+    monkeypatch.setattr(texts, "new_path", lambda _: str(tmp_path / "made"))
+    got = {tuple(r) for r in texts.response_lines(spark, f"{tmp_path}/sf").select("conv_id", "tokens", "text_sha256").collect()}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/sf/conversations.parquet/*.parquet'")
+    assert got == set(con.execute(SQL["response_lines"]).fetchall()) and len(got) == 204
+    assert len([n for n in os.listdir(tmp_path / "made/in") if n[0] not in "._"]) <= 16
+
+
+def test_no_responses(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert texts.response_lines(spark, str(tmp_path)).collect() == []
